@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import components, digest, distinct, packing, tokens
+from tracewell.llm import components, digest, distinct, packing, residue, tokens
 from tracewell.runtime import read
 
 MEASURES = ("amount_btc", "fee", "fan_in", "fan_out", "fee_rate_urgency", "port_risk_combined", "ip_observation_count", "observation_spread_s", "risk_score")
@@ -74,7 +74,18 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("item").cast("long").alias("doc_id"), "piece", F.col("size").alias("n_tokens"), "container_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_telemetry, p2_scored, p2_all_days, p5_found, p6_percentiles, p6_daily, p7_ids, p7_decoded, p8_packed)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The residue's kinds, by source."""
+    rows = read(spark, sf_dir, "documents")
+    found = residue.residue(rows, "doc_id", "text").select("doc_id", F.explode("kinds").alias("kind"))
+    return rows.select("doc_id", "source").join(found, "doc_id").groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p2_telemetry, p2_scored, p2_all_days, p5_found, p6_percentiles, p6_daily, p7_ids, p7_decoded, p8_packed, p9_found, p9_kinds)}
 
 ORACLE = {
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
