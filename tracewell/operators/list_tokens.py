@@ -74,6 +74,9 @@ def list_items(cells: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.string()))
 
 
+list_items = list_items.asNondeterministic()  # so that a filter on its result doesn't make the optimizer tokenize twice
+
+
 def list_rows(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """One row for each value in the list cells ``fields``: the key columns, ``field_name``, ``pos`` from 1, ``item``.
 

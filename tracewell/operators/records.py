@@ -142,6 +142,9 @@ def parsed_line(lines: pa.Array) -> pa.Array:
     return to_arrow([parse_line(x) for x in lines.to_pylist()])
 
 
+parsed_line = parsed_line.asNondeterministic()  # so that a filter on its result doesn't make the optimizer parse twice
+
+
 def parse_lines(df: DataFrame, key: str, line: str) -> DataFrame:
     """``key`` and the parsed record (``fields``, ``reason``, ``at``) of each row's line: rows stay where they are, nothing is shuffled.
 
