@@ -153,12 +153,16 @@ def louvain(edges: DataFrame, levels: int = 2, rounds: int = 4) -> DataFrame:
     scratch = Scratch(edges.sparkSession, "louvain")
     graph = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
     names: DataFrame | None = None
-    for _ in range(levels):
+    degree: DataFrame | None = None  # of communities: what lies inside them counts on
+    twice = 0.0
+    for level in range(levels):
         ways = scratch.cut(graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "ways")
-        twice = ways.where("a <> b").agg(F.sum("w")).collect()[0][0]
-        if not twice:
+        if degree is None:
+            degree = ways.groupBy("a").agg(F.sum("w").alias("k"))
+            twice = ways.agg(F.sum("w")).collect()[0][0] or 0.0
+        if not ways.limit(1).count():
             break
-        label = scratch.cut(ways.groupBy("a").agg(F.sum("w").alias("k")).withColumn("c", F.col("a")), "label")
+        label = scratch.cut(degree.withColumn("c", F.col("a")), "label")
         for r in range(rounds):
             tot = label.groupBy("c").agg(F.sum("k").alias("tot"))
             near = ways.where("a <> b").join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("into"))
@@ -173,9 +177,10 @@ def louvain(edges: DataFrame, levels: int = 2, rounds: int = 4) -> DataFrame:
             if not changed and r:
                 break
         named = label.groupBy("c").agg(F.min("a").alias("name"))
-        label = scratch.cut(label.join(named, "c").select("a", F.col("name").alias("c")), "named")
+        label = scratch.cut(label.join(named, "c").select("a", F.col("name").alias("c"), "k"), f"named-{level}")
+        degree = label.groupBy(F.col("c").alias("a")).agg(F.sum("k").alias("k"))
         names = label.select(F.col("a").alias("node"), F.col("c").alias("community")) if names is None else names.join(label.select(F.col("a").alias("community"), F.col("c").alias("up")), "community", "left").select("node", F.coalesce("up", "community").alias("community"))
-        names = scratch.cut(names, f"names-{_}")
+        names = scratch.cut(names, f"names-{level}")
         graph = ways.where("a < b").join(label.select("a", F.col("c").alias("ca")), "a").join(label.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
     return names if names is not None else edges.select(F.col("a").alias("node"), F.col("a").alias("community")).limit(0)
 

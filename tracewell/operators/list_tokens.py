@@ -19,6 +19,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words for a missing value, compared in lower case.
 MISSING = frozenset({"nan", "none"})
@@ -63,7 +64,7 @@ def tokens(cell: str) -> list[str]:
     return [x for x in found if x.lower() not in MISSING] if found else found
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def list_items(cells: pa.Array) -> pa.Array:
     """The values of each cell as an array; a null cell gives an empty array."""
     values, offsets = [], [0]

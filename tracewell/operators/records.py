@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The columns of a ledger file, in order.
 COLUMNS = ("timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "txid", "input_addresses", "output_addresses", "input_amounts", "output_amounts", "fee", "script_type", "geo_country")
@@ -119,7 +120,7 @@ def parse_line(line: str | None) -> Record:
     return Parser(line[:-1] if line.endswith("\r") else line).record()
 
 
-PARSED = "struct<fields:array<string>,reason:string,at:int>"
+PARSED = T.StructType([T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("reason", T.StringType()), T.StructField("at", T.IntegerType())])
 
 
 def to_arrow(records: list[Record]) -> pa.StructArray:
