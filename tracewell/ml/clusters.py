@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.runtime import Scratch, small_side
+from tracewell.runtime import Scratch, small_side, with_row
 
 SAMPLE = 4000  # entities from which density clusters are learnt, at most; the others join the cluster of their nearest
 
@@ -20,7 +20,7 @@ def standardised(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Features less their mean over their population deviation (1 where that is 0); nulls count as 0."""
     x = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features}
     stats = df.agg(*[F.avg(x[f]).alias(f"m_{f}") for f in features], *[F.stddev_pop(x[f]).alias(f"s_{f}") for f in features])
-    return df.crossJoin(F.broadcast(stats)).withColumns({f: (x[f] - F.col(f"m_{f}")) / F.when(F.col(f"s_{f}") > 0, F.col(f"s_{f}")).otherwise(1.0) for f in features}).select(*df.columns)
+    return with_row(df, stats).withColumns({f: (x[f] - F.col(f"m_{f}")) / F.when(F.col(f"s_{f}") > 0, F.col(f"s_{f}")).otherwise(1.0) for f in features}).select(*df.columns)
 
 
 def spanning_tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:

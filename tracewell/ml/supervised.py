@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell.ml.iforest import value
 from tracewell.operators.features import leak_free
+from tracewell.runtime import with_row
 
 
 def assembled(df: DataFrame, key: str, features: Sequence[str], label: str, folds: int, seed: int = 42) -> DataFrame:
@@ -20,7 +21,7 @@ def assembled(df: DataFrame, key: str, features: Sequence[str], label: str, fold
     leak_free(features)
     rows = df.select(F.col(key).alias("key"), F.col(label).cast("double").alias("label"), F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int").alias("fold"), *[value(f).alias(f) for f in features]).where("label IS NOT NULL")
     share = rows.agg(F.avg("label").alias("p"), F.count(F.lit(1)).alias("n"))
-    weighted = rows.crossJoin(F.broadcast(share)).withColumn("weight", F.when(F.col("label") == 1, 0.5 / F.col("p")).otherwise(0.5 / (1 - F.col("p"))))
+    weighted = with_row(rows, share).withColumn("weight", F.when(F.col("label") == 1, 0.5 / F.col("p")).otherwise(0.5 / (1 - F.col("p"))))
     return VectorAssembler(inputCols=list(features), outputCol="x").transform(weighted).select("key", "label", "fold", "weight", "x")
 
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from tracewell import constants as K
 from tracewell.functions import columns as X
 from tracewell.operators.order import numbered
-from tracewell.runtime import small_side
+from tracewell.runtime import small_side, with_row
 
 
 def frequency(df: DataFrame, column: str, name: str) -> DataFrame:
     """Share of each value among the rows that have one."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).select(column, (F.col("n") / F.col("all")).alias(name))
+    return with_row(counts, counts.agg(F.sum("n").alias("all"))).select(column, (F.col("n") / F.col("all")).alias(name))
 
 
 def port_frequency(tx: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def feature_matrix(tx: DataFrame, chains: DataFrame | None = None, owners: DataF
     stats = tx.agg(*[f(F.col(x)).alias(f"{n}_{x}") for x in ("total_in", "fee") for n, f in (("lo", F.min), ("hi", F.max))], F.avg("total_in").alias("mean"), F.stddev_samp("total_in").alias("sd"))
     rows = tx.join(small_side(frequency(tx, "script_type", "script_type_freq")), "script_type", "left").join(small_side(frequency(tx, "src_ip", "src_ip_freq")), "src_ip", "left")
     rows = rows.join(ports.select(F.col("port").alias("src_port"), F.col("freq").alias("sf")), "src_port", "left").join(ports.select(F.col("port").alias("dst_port"), F.col("freq").alias("df")), "dst_port", "left")
-    rows = rows.crossJoin(F.broadcast(stats)).withColumns({"src_port_risk": X.port_risk("src_port", "sf"), "dst_port_risk": X.port_risk("dst_port", "df")})
+    rows = with_row(rows, stats).withColumns({"src_port_risk": X.port_risk("src_port", "sf"), "dst_port_risk": X.port_risk("dst_port", "df")})
     z = F.coalesce(X.rounded((F.col("total_in") - F.col("mean")) / F.nullif("sd", F.lit(0.0)), 4), F.lit(0.0))
     out = [
         *[F.coalesce(x, F.lit(0.0)).alias(x) for x in ("script_type_freq", "src_ip_freq")],
@@ -58,7 +58,7 @@ def feature_matrix(tx: DataFrame, chains: DataFrame | None = None, owners: DataF
         by_entity = got.groupBy("entity_id").agg(F.countDistinct("src_ip").cast("double").alias("entity_ip_diversity"), F.count(F.lit(1)).alias("ne"))
         by_ip = got.where("src_ip IS NOT NULL").groupBy("src_ip").agg(F.countDistinct("entity_id").cast("double").alias("ip_entity_diversity"))
         total = got.agg(F.count(F.lit(1)).alias("nt"))
-        got = got.join(by_entity, "entity_id").join(by_ip, "src_ip", "left").crossJoin(F.broadcast(total)).withColumn("entity_tx_freq", F.col("ne") / F.col("nt")).drop("ne", "nt").fillna(0.0, ["ip_entity_diversity"])
+        got = with_row(got.join(by_entity, "entity_id").join(by_ip, "src_ip", "left"), total).withColumn("entity_tx_freq", F.col("ne") / F.col("nt")).drop("ne", "nt").fillna(0.0, ["ip_entity_diversity"])
     if seen is not None:
         got = got.join(seen.select("txid", F.col("ip_observation_count").cast("double").alias("ip_observation_count"), "observation_spread_s"), "txid", "left").fillna({"ip_observation_count": 1.0, "observation_spread_s": 0.0})
     return got.drop("first_in", "src_ip", "txid")

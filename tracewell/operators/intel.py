@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell import constants as K
 from tracewell.functions import columns as X
-from tracewell.runtime import Scratch, small_side
+from tracewell.runtime import Scratch, small_side, with_row
 
 
 def whitelist(df: DataFrame) -> DataFrame:
@@ -90,4 +90,4 @@ def taint_scores(tx: DataFrame, table: DataFrame, iterations: int = 100, toleran
     own = touch.join(rank.select(F.col("s").alias("node"), "r"), "node").groupBy("row_idx", "t").agg(F.max("r").alias("r"))
     own = own.join(rank.select(F.col("s").alias("t"), F.col("r").alias("tr")), "t").select("row_idx", F.greatest("r", "tr").alias("r"))
     ends = own.agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
-    return own.crossJoin(F.broadcast(ends)).select("row_idx", F.when(F.col("hi") > F.col("lo"), X.rounded((F.col("r") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 100, 4)).otherwise(50.0).alias("taint_score"))
+    return with_row(own, ends).select("row_idx", F.when(F.col("hi") > F.col("lo"), X.rounded((F.col("r") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 100, 4)).otherwise(50.0).alias("taint_score"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewell import constants as K
 from tracewell.functions import columns as X
 from tracewell.operators.order import percentiles
+from tracewell.runtime import with_row
 
 MEASURES = ("amount_btc", "fee", "fan_in", "fan_out", "fee_rate_urgency", "port_risk_combined", "ip_observation_count", "observation_spread_s", "risk_score")
 SEVERITY = ("fan_in", "fan_out", "fee_rate_urgency", "port_risk_combined", "ip_observation_count", "observation_spread_s", "amount_btc")
@@ -32,13 +33,13 @@ def deviation(df: DataFrame, raw: str, key: str) -> DataFrame:
     """``key`` and ``deviation_score``: the raw score turned, scaled to 0-100, one decimal; 0 if all are equal. Rows without a finite score have none."""
     ends = df.agg(F.min(finite(raw)).alias("lo"), F.max(finite(raw)).alias("hi"))
     x = 100 * (F.col("hi") - finite(raw)) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    return df.crossJoin(F.broadcast(ends)).where(finite(raw).isNotNull()).select(key, F.coalesce(X.rounded(F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0)), 1), F.lit(0.0)).alias("deviation_score"))
+    return with_row(df, ends).where(finite(raw).isNotNull()).select(key, F.coalesce(X.rounded(F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0)), 1), F.lit(0.0)).alias("deviation_score"))
 
 
 def fused_priority(df: DataFrame, key: str = "score_id") -> DataFrame:
     """The four part scores, the whitelist's factor, the fused score and its tier. The ends of the port risk come from one aggregate row."""
     ends = df.agg(F.min(finite("port_risk_combined")).alias("lo"), F.max(finite("port_risk_combined")).alias("hi"))
-    rows = df.crossJoin(F.broadcast(ends)).select(
+    rows = with_row(df, ends).select(
         key,
         F.col("risk_score").alias("score_ml"),
         X.pattern_score("detected_type").alias("score_pattern"),
@@ -57,7 +58,7 @@ def severity_index(df: DataFrame, key: str = "score_id", features: Sequence[str]
     n = above[0]
     for a in above[1:]:
         n = n + a
-    return df.crossJoin(F.broadcast(p)).select(key, n.alias("n_above"), X.rounded(0.7 * F.col("risk_score") + 0.3 * 100 * n / len(features), 2).alias("severity_index"))
+    return with_row(df, p).select(key, n.alias("n_above"), X.rounded(0.7 * F.col("risk_score") + 0.3 * 100 * n / len(features), 2).alias("severity_index"))
 
 
 def entity_profile(df: DataFrame) -> DataFrame:

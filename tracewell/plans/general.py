@@ -46,8 +46,8 @@ def address_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heavy(totals: DataFrame, field: str, rows: DataFrame) -> DataFrame:
-    every = rows.agg(F.count(F.lit(1)).alias("rows"))
-    return totals.select(F.lit(field).alias("key_field"), F.col("key").alias("key_text"), "n").join(F.broadcast(every), F.col("n") >= HEAVY * F.col("rows")).select("key_field", "key_text")
+    every = rows.agg(F.count(F.lit(1))).scalar()
+    return totals.where(F.col("n") >= HEAVY * every).select(F.lit(field).alias("key_field"), F.col("key").alias("key_text"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell import constants as K
 from tracewell.functions import columns as X
-from tracewell.operators import chains, entities, ingest, intel, trace
+from tracewell.operators import chains, entities, ingest, intel, order, trace
 from tracewell.operators.correlate import correlate, first_seen, match_stats
 from tracewell.operators.features import feature_matrix, fold_of, port_frequency
 from tracewell.operators.reports import evidence
@@ -211,12 +211,25 @@ def whitelist_coverage(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("label", "side").agg(F.countDistinct("row_idx").alias("n_tx"))
 
 
+def chain_sizes(spark: SparkSession, d: str) -> DataFrame:
+    sizes = chains.peel_chains(base.tx(spark, d)).groupBy("chain_head").agg(F.max("chain_length").alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("n_chains"), X.rounded(F.avg("n"), 4).alias("mean_length"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
+
+
+def holdout(spark: SparkSession, d: str) -> DataFrame:
+    """A split by position: 60 % to learn from, 20 % to tune, 20 % to test."""
+    t = base.tx(spark, d).select("row_idx", F.lit(0).alias("g"))
+    n = t.agg(F.count(F.lit(1))).scalar()
+    at = order.numbered(t, "g", "row_idx").select("row_idx", (F.col("row_no") / n).alias("at"))
+    return at.select("row_idx", F.when(F.col("at") < 0.6, "train").when(F.col("at") < 0.8, "tune").otherwise("test").alias("part"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         pipe_parse, strict_totals, reject_reasons, ingestion_report, fan_stats, peel_disparity, fee_urgency, mixer_buckets, change_address, first_observation, correlate_layers, layer_match_stats, freq_encode, port_risk, port_frequencies,
         minmax_zscore, structural_type, whitelist_side, watchlist_hit, taint_hops, taint_pagerank, taint_converged, entity_components, entity_confidence, peel_chains, trace_forward, trace_backward, traceable_leads, rules_only, light_features,
-        explain_text, telemetry_json, split_folds, type_mix, observation_overlap, full_features, evidence_package, whitelist_coverage,
+        explain_text, telemetry_json, split_folds, type_mix, observation_overlap, full_features, evidence_package, whitelist_coverage, chain_sizes, holdout,
     )
 }
 
@@ -277,6 +290,8 @@ pf AS (SELECT port, count(*) / sum(count(*)) OVER ()::DOUBLE AS freq FROM (SELEC
 pr AS (SELECT port, CASE WHEN port IN ({_ports(K.ZERO_RISK_PORTS)}) THEN 0.0 WHEN port IN ({_ports(K.ANON_PORTS)}) THEN 1.0 ELSE {r('least(1.0 - freq, 0.8)', 4)} END AS risk FROM pf)"""
 ANON = _ports(K.FUSION_ANON_PORTS)
 ORACLE = {
+    "chain_sizes": f"{with_(TX, CHAINS)} SELECT count(*) AS n_chains, {r('avg(chain_length)', 4)} AS mean_length, min(chain_length) AS shortest, max(chain_length) AS longest FROM (SELECT chain_head, max(chain_length) AS chain_length FROM chain GROUP BY 1)",
+    "holdout": f"{with_(TX)}, n AS (SELECT row_idx, (row_number() OVER (ORDER BY row_idx) - 1) / count(*) OVER ()::DOUBLE AS pos FROM tx) SELECT row_idx, CASE WHEN pos < 0.6 THEN 'train' WHEN pos < 0.8 THEN 'tune' ELSE 'test' END AS part FROM n",
     "pipe_parse": f"{with_(TX)} SELECT row_idx, len(ins)::INT AS n_in, len(outs)::INT AS n_out, len(in_amts)::INT AS n_in_amounts, len(out_amts)::INT AS n_out_amounts, {r('total_in', 6)} AS total_in, {r('total_out', 6)} AS total_out FROM tx",
     "strict_totals": f"WITH l AS (SELECT row_idx, {base._list('output_amounts')} AS l, {base._list('output_addresses')} AS o FROM tx_ledger) SELECT row_idx, {r('CASE WHEN len(list_filter(l, lambda x: try_cast(x AS DOUBLE) IS NULL)) = 0 THEN coalesce(list_sum(list_transform(l, lambda x: try_cast(x AS DOUBLE))), 0) ELSE 0 END', 6)} AS total_out, len(o)::INT AS n_out FROM l",
     "reject_reasons": f"{with_(JUDGED)} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM judged GROUP BY 1",

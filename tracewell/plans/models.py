@@ -10,7 +10,7 @@ from tracewell.functions import columns as X
 from tracewell.ml import clusters, iforest, supervised
 from tracewell.operators import ingest, order, scoring
 from tracewell.operators.reports import checksums
-from tracewell.runtime import read
+from tracewell.runtime import read, with_row
 from tracewell.sources import generator
 
 FEATURES = ("amount_btc", "fee", "fan_in", "fan_out", "fee_rate_urgency", "port_risk_combined", "ip_observation_count", "observation_spread_s")
@@ -22,7 +22,7 @@ def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "scored_rows")
     scores = iforest.score(rows, "score_id", FEATURES, iforest.fit(rows, "score_id", FEATURES))
     cut = order.percentiles(scores, ["anomaly_score"], [1 - K.CONTAMINATION]).select(F.get("q", F.lit(0)).alias("cut"))
-    return scores.crossJoin(F.broadcast(cut)).select("score_id", X.rounded("anomaly_score", 6).alias("anomaly_score"), (F.col("anomaly_score") > F.col("cut")).alias("is_outlier"))
+    return with_row(scores, cut).select("score_id", X.rounded("anomaly_score", 6).alias("anomaly_score"), (F.col("anomaly_score") > F.col("cut")).alias("is_outlier"))
 
 
 def rf_calibrated(spark: SparkSession, d: str) -> DataFrame:

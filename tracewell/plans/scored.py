@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tracewell import constants as K
 from tracewell.functions import columns as X
-from tracewell.operators import metrics, order, reports, scoring
+from tracewell.operators import explain, metrics, order, reports, scoring
 from tracewell.operators.scoring import MEASURES, SEVERITY, finite, trimmed
 from tracewell.plans.base import r
-from tracewell.runtime import read, small_side
+from tracewell.runtime import read, small_side, with_row
 
 TOP = 100
 FLAGGED = 40.0
@@ -178,7 +178,7 @@ def contamination_cut(spark: SparkSession, d: str) -> DataFrame:
     """The score from which the top 5 % of rows lie, and how many lie there."""
     rows = _rows(spark, d)
     cut = order.percentiles(rows, ["risk_score"], [1 - K.CONTAMINATION]).select(F.get("q", F.lit(0)).alias("cut"))
-    return rows.crossJoin(F.broadcast(cut)).groupBy("cut").agg(F.count_if(F.col("risk_score") >= F.col("cut")).alias("n_above")).select(X.rounded("cut", 4).alias("cut"), "n_above")
+    return with_row(rows, cut).groupBy("cut").agg(F.count_if(F.col("risk_score") >= F.col("cut")).alias("n_above")).select(X.rounded("cut", 4).alias("cut"), "n_above")
 
 
 def run_union(spark: SparkSession, d: str) -> DataFrame:
@@ -193,11 +193,26 @@ def run_union(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def deviation_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The noteworthy features of every row, farthest from the median first."""
+    rows = _rows(spark, d)
+    found = explain.deviations()
+    return explain.profiled(rows, explain.profile(rows)).select("score_id", F.array_join(F.transform(found, lambda x: x["feature"]), ", ").alias("reasons"))
+
+
+def full_explanation(spark: SparkSession, d: str) -> DataFrame:
+    """The whole text of every row: direct signals, deviations, fallback."""
+    rows = _rows(spark, d)
+    none = F.lit(0)
+    direct = X.signals(none, none, "detected_type", "fee", "amount_btc", "fan_in", "fan_out", none)
+    return explain.profiled(rows, explain.profile(rows)).select("score_id", explain.explanation(F.col("risk_score"), direct).alias("explanation"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         type_counts, risk_tier, funnel, fused_priority, score_breakdown, severity_index, deviation_score, ip_diversity, profile_percentiles, percentile_rank, entity_profile, cluster_summary, community_summary, score_histogram, lead_top25, filtered_view,
-        filter_values, country_top10, asn_top10, cidr_resolve, geo_enrich, range_join, ego_network, ece, calibration_curve, precision_at_k, roc_auc, average_precision, roc_curve, confusion, type_recall, contamination_cut, run_union,
+        filter_values, country_top10, asn_top10, cidr_resolve, geo_enrich, range_join, ego_network, ece, calibration_curve, precision_at_k, roc_auc, average_precision, roc_curve, confusion, type_recall, contamination_cut, run_union, deviation_reasons, full_explanation,
     )
 }
 
@@ -228,7 +243,15 @@ _GEO = lambda j, miss: "CASE " + " ".join(f"WHEN n BETWEEN {X.ip_to_long(x[0])}
 _ISO = "(VALUES " + ", ".join(f"('{a}', '{n}')" for a, _, n in K.COUNTRIES) + ") iso(iso2, country_name)"
 _BIN = " + ".join(f"(p >= {e}::DOUBLE)::INT" for e in metrics.EDGES)
 SCORES = "v AS (SELECT risk_score AS value, count(*) AS n, count(*) FILTER (is_anomaly) AS pos FROM scored_rows WHERE risk_score IS NOT NULL AND NOT isnan(risk_score) GROUP BY 1), c AS (SELECT *, sum(n) OVER w AS n_up, sum(pos) OVER w AS pos_up, sum(n) OVER () AS n_all, sum(pos) OVER () AS pos_all FROM v WINDOW w AS (ORDER BY value DESC))"
+_DEV = ("fan_in", "fan_out", "fee_rate_urgency", "port_risk_combined", "ip_observation_count", "observation_spread_s", "amount_btc", "fee")
+_DEVS = ", ".join(
+    f"CASE WHEN {_FIN(x)} >= p['{x}'].high AND {_FIN(x)} > p['{x}'].med THEN {{'z': coalesce(abs({x} - p['{x}'].med) / nullif(p['{x}'].std, 0), 0), 'o': {-i}, 'f': '{x}'}} END" for i, x in enumerate(_DEV)
+)
 ORACLE = {
+    "deviation_reasons": "WITH l AS (" + " UNION ALL ".join(f"SELECT '{m}' AS m, {m}::DOUBLE AS v FROM scored_rows WHERE isfinite({m}::DOUBLE)" for m in _DEV) + f"""), k AS (SELECT m, v, floor(count(*) OVER (PARTITION BY m ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / count(*) OVER (PARTITION BY m)::DOUBLE * 1000 + 0.5) / 10 AS rk FROM l),
+        s AS (SELECT m, stddev_samp(v) AS std, quantile_cont(v, 0.5) AS med, min(v) FILTER (rk >= 75) AS high FROM k GROUP BY 1), q AS (SELECT map_from_entries(list((m, {{'std': std, 'med': med, 'high': high}}))) AS p FROM s),
+        d AS (SELECT score_id, list_filter([{_DEVS}], lambda x: x IS NOT NULL) AS l FROM scored_rows, q)
+        SELECT score_id, array_to_string(list_transform(list_sort(l, 'DESC')[1:4], lambda x: x.f), ', ') AS reasons FROM d""",
     "type_counts": "SELECT detected_type, count(*) AS n_tx, count(*) FILTER (is_anomaly) AS n_flagged FROM scored_rows GROUP BY 1",
     "risk_tier": f"SELECT run_no, {_TIER('risk_score')} AS tier, count(*) AS n_tx, max(risk_score) AS top_score FROM scored_rows GROUP BY 1, 2",
     "funnel": f"SELECT count(*) AS scored, count(*) FILTER (is_anomaly) AS flagged, count(*) FILTER ({_WL}) AS cleared, count(*) FILTER (is_anomaly AND NOT {_WL}) AS actionable, count(*) FILTER (risk_score >= 80) AS critical FROM scored_rows",

@@ -72,3 +72,9 @@ def input_bytes(df: DataFrame) -> int:
 def by_size(df: DataFrame, each: int = 64 << 20, least: int = 1) -> int:
     """A number of partitions of about ``each`` bytes by Catalyst's estimate."""
     return max(least, min(100_000, math.ceil(input_bytes(df) / each)))
+
+
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row table: a scalar subquery, so a literal in the plan and no join at all."""
+    row = one.select(F.struct(*one.columns).alias("row")).scalar()
+    return df.withColumn("_one", row).select(*df.columns, *[F.col("_one")[c].alias(c) for c in one.columns])
