@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.runtime import Scratch
+from tracewell.runtime import Scratch, with_row
 
 #: Breadth-first rounds go on while the frontier holds this share of what has been reached.
 GROWING = 1 / 6
@@ -105,5 +105,5 @@ def components(df: DataFrame, a: str, b: str) -> DataFrame:
     label = stars(rest, scratch)
     scratch.drop("edges")
     top = label.where(F.col("u") == root).agg(F.coalesce(F.min("v"), F.lit(root)).alias("v"))
-    labels = label.where(F.col("u") != root).select("u", "v").unionByName(reached.crossJoin(F.broadcast(top)))
+    labels = label.where(F.col("u") != root).select("u", "v").unionByName(with_row(reached, top))
     return vertices.join(labels, F.col("address") == F.col("u"), "left").select("address", F.coalesce("v", "address").alias("group_id"))
