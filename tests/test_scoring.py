@@ -101,3 +101,28 @@ def test_generator_is_the_same_on_any_cluster(spark):
     a = generator.transactions(spark, 200).collect()
     b = generator.transactions(spark, 200).repartition(9).orderBy("row_idx").collect()
     assert a == b and {r.attack_type for r in a} > {"Normal"}
+
+
+def test_stored_forest(spark, tmp_path):
+    from tracewell.ml import store
+
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([(i, float(a)) for i, a in enumerate(rng.normal(size=80))], "id int, a double")
+    forest = iforest.fit(df, "id", ["a"], trees=5)
+    assert len(store.save_forest(spark, str(tmp_path / "m"), forest, ["a"])) == 64
+    assert all((x == y).all() for x, y in zip(store.load_forest(spark, str(tmp_path / "m"), ["a"]), forest))
+    assert store.load_forest(spark, str(tmp_path / "m"), ["b"]) is None
+
+
+def test_explanations(spark):
+    from tracewell.operators import explain
+
+    rows = [(i, 10.0 if i else 90.0, 1.0 + i % 3, 0.1 * (i % 5)) for i in range(50)] + [(99, 95.0, 50.0, 0.0), (100, 60.0, None, None)]
+    df = spark.createDataFrame(rows, "id int, score double, fan_in double, fee double")
+    labels = {k: explain.LABELS[k] for k in ("fan_in", "fee")}
+    p = explain.profiled(df, explain.profile(df, labels))
+    none = F.array().cast("array<string>")
+    got = {r.id: r.t for r in p.select("id", explain.explanation(F.col("score"), none, labels).alias("t")).collect()}
+    assert got[1] == "Normal network traffic behavior." and "Input address count of 50" in got[99] and got[100].endswith("Multivariate anomaly.")
+    noted = spark.range(1).select(explain.with_intelligence(F.lit("Old."), F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(3), F.lit("bad")).alias("t"), explain.with_outlier(F.lit("x"), F.lit("Outlier")).alias("o")).collect()[0]
+    assert noted.t == "3 hop(s) from known-bad indicator (bad). Old." and noted.o.endswith("every known group.")

@@ -11,8 +11,8 @@ from tracewell.operators.skew import split_totals
 from tracewell.runtime import read, small_side
 
 LIST_CELLS = ("input_addresses", "output_addresses", "input_amounts", "output_amounts")
-#: Share of the rows from which a key counts as heavy.
-HEAVY = 0.03
+#: Percent of the rows from which a key counts as heavy; whole numbers, so that the bound itself is exact.
+HEAVY = 3
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def address_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heavy(totals: DataFrame, field: str, rows: DataFrame) -> DataFrame:
     every = rows.agg(F.count(F.lit(1))).scalar()
-    return totals.where(F.col("n") >= HEAVY * every).select(F.lit(field).alias("key_field"), F.col("key").alias("key_text"))
+    return totals.where(F.col("n") * 100 >= every * HEAVY).select(F.lit(field).alias("key_field"), F.col("key").alias("key_text"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +101,8 @@ CELLS = " UNION ALL ".join(f"SELECT row_idx, '{c}' AS field_name, {GROUPED.forma
 ORACLE = {
     "p1_found": f"WITH {LINES} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p3_found": f"""WITH {ADDRESSES}
-        SELECT 'entity_id' AS key_field, trim(entity_id) AS key_text FROM scored_rows WHERE trim(entity_id) <> '' GROUP BY 2 HAVING count(*) >= {HEAVY} * (SELECT count(*) FROM scored_rows)
-        UNION ALL SELECT 'address', address FROM hits GROUP BY 2 HAVING count(*) >= {HEAVY} * (SELECT count(*) FROM tx_ledger)""",
+        SELECT 'entity_id' AS key_field, trim(entity_id) AS key_text FROM scored_rows WHERE trim(entity_id) <> '' GROUP BY 2 HAVING count(*) * 100 >= {HEAVY} * (SELECT count(*) FROM scored_rows)
+        UNION ALL SELECT 'address', address FROM hits GROUP BY 2 HAVING count(*) * 100 >= {HEAVY} * (SELECT count(*) FROM tx_ledger)""",
     "p3_entities": f"WITH r AS (SELECT trim(entity_id) AS entity_id, ts, {SATS.format(x='amount_btc')}, score_id FROM scored_rows WHERE trim(entity_id) <> ''), g AS (SELECT *, {GAP.format(k='entity_id', u='score_id')} FROM r) SELECT entity_id, {TOTALS} FROM g GROUP BY 1",
     "p3_addresses": f"WITH {ADDRESSES}, g AS (SELECT *, {GAP.format(k='address', u='row_idx')} FROM hits) SELECT address, {TOTALS} FROM g GROUP BY 1",
     "p4_found": rf"""WITH cells AS ({CELLS}),
