@@ -57,10 +57,10 @@ def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The percentiles of groups whose digests hold every value, through the same digests of single days."""
+    """The percentiles of groups whose digests hold every value, through the same digests of single days; six digits, rounded just off the half, where exact decimals lie."""
     rows = read(spark, sf_dir, "scored_rows")
     found = digest.estimates(digest.combined(digest.daily(rows, "ts", KINDS, MEASURES), MEASURES), MEASURES).where("exact")
-    named = [F.floor(F.col("q")[j] * 1e6 + 0.5) / 1e6 for j in range(3)]
+    named = [F.floor(F.col("q")[j] * 1e6 + 0.50003) / 1e6 for j in range(3)]
     return found.where(F.col("n") <= digest.EXACT).select("kind", "key", "measure", "n", *[x.alias(p) for x, p in zip(named, ("median", "p95", "p99"))])
 
 
@@ -104,7 +104,7 @@ _CASES = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {key} AS key, '{m}' AS me
 ORACLE = {
     "p2_listed": f"""SELECT 'src_ip' AS id_name, concat_ws(',', CASE WHEN grouping(geo_country) = 0 THEN 'geo_country' END, CASE WHEN grouping(asn) = 0 THEN 'asn' END, CASE WHEN grouping(dst_port) = 0 THEN 'dst_port' END) AS level, day, geo_country, asn, dst_port, count(DISTINCT ip)::DOUBLE AS distinct_count
         FROM (SELECT ts::DATE AS day, geo_country, asn, dst_port::VARCHAR AS dst_port, trim(src_ip) AS ip FROM telemetry WHERE trim(src_ip) <> '') GROUP BY day, CUBE (geo_country, asn, dst_port) HAVING count(DISTINCT ip) < {distinct.LISTED}""",
-    "p6_exact": f"WITH c AS ({_CASES}) SELECT kind, key, measure, count(*) AS n, floor(quantile_cont(v, 0.5) * 1e6 + 0.5) / 1e6 AS median, floor(quantile_cont(v, 0.95) * 1e6 + 0.5) / 1e6 AS p95, floor(quantile_cont(v, 0.99) * 1e6 + 0.5) / 1e6 AS p99 FROM c GROUP BY 1, 2, 3 HAVING count(*) <= {digest.EXACT}",
+    "p6_exact": f"WITH c AS ({_CASES}) SELECT kind, key, measure, count(*) AS n, floor(quantile_cont(v, 0.5) * 1e6 + 0.50003) / 1e6 AS median, floor(quantile_cont(v, 0.95) * 1e6 + 0.50003) / 1e6 AS p95, floor(quantile_cont(v, 0.99) * 1e6 + 0.50003) / 1e6 AS p99 FROM c GROUP BY 1, 2, 3 HAVING count(*) <= {digest.EXACT}",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_found": r"""WITH RECURSIVE pairs AS (SELECT nullif(trim(address_a, E' \t\r\n'), '') AS a, nullif(trim(address_b, E' \t\r\n'), '') AS b FROM address_links),
         v AS (SELECT DISTINCT unnest([a, b]) AS x FROM pairs), ids AS (SELECT x, row_number() OVER (ORDER BY encode(x)) AS i FROM v WHERE x IS NOT NULL),
