@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.runtime import small_side
+from tracewell.runtime import Scratch, small_side
 
 D = 500
 EXACT = 256
@@ -228,6 +228,7 @@ def certified(df: DataFrame, found: DataFrame, day: str, kinds: dict[str, str |
 
     The estimates of inexact groups (each has over ``EXACT`` rows) are few; they are broadcast if a count proves so, else joined by a shuffle that splits hot keys.
     """
+    found = Scratch(found.sparkSession, "digest").cut(found, "found")  # read three times below
     inexact = found.where(~F.col("exact")).groupBy("kind", "key").agg(F.map_from_entries(F.collect_list(F.struct("measure", "q"))).alias("qs"))
     inexact = small_side(inexact.select("kind", "key", *[F.element_at("qs", F.lit(m)).alias(f"q{i}") for i, m in enumerate(measures)]), 20_000)
     keys = [F.struct(F.lit(k).alias("kind"), (F.trim(F.col(c).cast("string")) if c else F.to_date(day).cast("string")).alias("key")) for k, c in kinds.items()]
