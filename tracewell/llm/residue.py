@@ -13,52 +13,83 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import residue_rules as rules
-from tracewell.runtime import partitions, small_side
+from tracewell.runtime import Scratch, partitions, small_side
 
-DEPTH = 2  # leading tokens in the path to a leaf
-ALIKE = 0.8  # share of places in which a form must agree with a template
+DEPTH = 3  # leading tokens in the path to a leaf
+ALIKE = 0.7  # share of places in which a form must agree with a template
 LEAF = 100_000  # forms of a leaf that one task mines together
 FLUSH = 100_000  # forms that a task counts before it passes them on
 
 UNITS = re.compile(r"(?<=[.!?。।])\s+|[\n\r\v\f\x85\u2028\u2029]+")
-MASKS = [
-    (re.compile(r"\bCF-\d+(?:/\d+)?", re.I), "⟨ref⟩"),
-    (re.compile(r"\b\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?)?\b|\b\d{1,2}\.\d\d\.\d{4}\b|\b\d{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December)\b", re.I), "⟨date⟩"),
-    (re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}\b|\b(?:[0-9a-f]{1,4}:){3,}[0-9a-f:]*", re.I), "⟨ip⟩"),
-    (re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b", re.I), "⟨hex⟩"),
-    (re.compile(r"\b(?:bc1|[13])(?=[0-9A-Za-z]*[A-Za-z])[0-9A-Za-z]{5,}(?:…|\.{3})?"), "⟨addr⟩"),
-    (re.compile(r"\d+(?:[.,:/]\d+)*"), "⟨n⟩"),
-]
+#: A run of characters that may be a value: it starts with a digit, behind the letters of a reference, an address or a hexadecimal number at most.
+VALUE = re.compile(r"(?<![<\w/.])(?:[Cc][Ff]-|[Bb][Cc]|[A-Fa-f]{1,12})?\d[\w.:…/-]*")
+REF, DATE, ADDRESS = re.compile(r"CF-\d", re.I), re.compile(r"\d{4}-\d\d-\d\d|\d{1,2}\.\d\d\.\d{4}"), re.compile(r"(?:bc1|[13])(?=\w*[A-Za-z])\w{2,}")
+IP4, IP6, HEX = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}"), re.compile(r"(?:[0-9a-f]{0,4}:){3,}[0-9a-f]*", re.I), re.compile(r"[0-9a-f]{8,}", re.I)
+MONTHS = re.compile(r"⟨n⟩ (?:January|February|March|April|May|June|July|August|September|October|November|December)\b", re.I)
+TAILS = ".,:;/-…"
+
+
+def name_of(m: re.Match) -> str:
+    """The kind of a value, with the punctuation behind it."""
+    run = m[0]
+    core = run.rstrip(TAILS)
+    tail = run[len(core) :]
+    if core.isdigit():
+        kind = "⟨n⟩" if len(core) < 8 else "⟨hex⟩"
+    elif REF.match(core):
+        kind = "⟨ref⟩"
+    elif DATE.match(core):
+        kind = "⟨date⟩"
+    elif IP4.match(core) or IP6.match(core):
+        kind = "⟨ip⟩"
+    elif HEX.fullmatch(core):
+        kind = "⟨hex⟩"
+    elif ADDRESS.match(core):
+        kind = "⟨addr⟩"
+    elif core.isalnum():
+        kind = "⟨id⟩"
+    else:
+        kind = WHOLE.sub("⟨n⟩", core)
+    return kind + tail
+
+
+WHOLE = re.compile(r"\d+(?:[.:/-]\d+)*")
 #: Words that bear on a verdict; forms that differ in them never share a template.
 KEYS = frozenset(
     "javascript js script scripts scripting noscript enable activate error errors exception fatal traceback denied forbidden unauthorized found unavailable maintenance session expired permission quota limit requests gateway timeout placeholder dummy filler mock sample stand-in lorem ipsum text here soon item heading fehler error erreur erro ошибка".split()
 )
 
 
-def masked(unit: str) -> str:
-    for pattern, name in MASKS:
-        unit = pattern.sub(name, unit)
-    return " ".join(unit.split())
+def masked(text: str) -> str:
+    """A text with its values replaced by their kinds."""
+    text = VALUE.sub(name_of, text)
+    return MONTHS.sub("⟨date⟩", text) if "⟨n⟩ " in text else text
 
 
 def forms_of(text: str | None) -> tuple[set[str], bool]:
     """The masked forms of a text's lines and sentences, and whether it holds an unfilled slot."""
     if not text or text.isspace():
         return set(), False
-    forms, slot = set(), False
-    for unit in UNITS.split(rules.clean(text)):
-        if unit and not unit.isspace():
-            slot = slot or rules.slot(unit)
-            forms.add(masked(unit))
+    text = rules.clean(text)
+    slot = bool(rules.HINT.search(text)) and any(map(rules.slot, UNITS.split(text)))
+    forms = {" ".join(unit.split()) for unit in UNITS.split(masked(text))}
+    forms.discard("")
     return forms, slot
 
 
+def name(form: str) -> int:
+    """64 bits that stand for a form."""
+    return int.from_bytes(blake2b(form.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def leaf(form: str) -> str:
     """The path of a form in the tree; tokens that hold a value take no part in it."""
     tokens = form.split()
@@ -75,36 +106,58 @@ class Templates:
 
     def verdict(self, form: str) -> str | None:
         tokens = form.lower().split()
-        if len(tokens) >= 5:
-            least = ALIKE * len(tokens)
-            for template, kind in self.all:
-                if sum(a is None or a == b for a, b in zip(template, tokens)) >= least:
-                    for i, (a, b) in enumerate(zip(template, tokens)):
-                        if a != b:
-                            template[i] = None
-                    return kind if kind is None else rules.wording(form)
+        if len(tokens) < 5:  # too few places to differ in
+            return rules.wording(form)
+        least = ALIKE * len(tokens)
+        for template, kind in self.all:
+            if sum(map(eq, template, tokens)) + template.count(None) >= least:
+                template[:] = [a if a == b else None for a, b in zip(template, tokens)]
+                return kind if kind is None else rules.wording(form)
         kind = rules.wording(form)
-        if len(tokens) >= 5:  # shorter forms have too few places to differ in
-            self.all.append((tokens, kind))
+        self.all.append((tokens, kind))
         return kind
 
 
-def count_forms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[str, int] = {}
+UNIT_COLUMNS = "h long, slot boolean, leaf string, form string, n long"
 
-    def batch() -> pa.RecordBatch:
-        forms = list(seen)
-        return pa.RecordBatch.from_arrays([pa.array([leaf(f) for f in forms], pa.string()), pa.array(forms, pa.string()), pa.array(seen.values(), pa.int64())], ["leaf", "form", "n"])
 
-    for b in it:
-        for text in b.column(0).to_pylist():
-            for f in forms_of(text)[0]:
-                seen[f] = seen.get(f, 0) + 1
-        if len(seen) >= FLUSH:
-            yield batch()
-            seen = {}
-    if seen:
-        yield batch()
+def units(rows: DataFrame) -> DataFrame:
+    """One pass over the texts (columns k, t): a row (``k``, ``h``) for each form of a text, a row with ``slot`` for a text with a slot, and, once per task, each form with its leaf and number."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = {}
+
+        def forms(kind: pa.DataType) -> pa.RecordBatch:
+            n = len(seen)
+            none = pa.nulls(n, pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array([v[0] for v in seen.values()], pa.int64()), none, pa.array([leaf(f) for f in seen], pa.string()), pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64())], names)
+
+        kind = None
+        for b in it:
+            kind, at, hashes, slots = b.column(0).type, [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                found, slot = forms_of(t)
+                for f in found:
+                    known = seen.get(f)
+                    if known is None:
+                        seen[f] = known = [name(f), 0]
+                    known[1] += 1
+                    at.append(i)
+                    hashes.append(known[0])
+                if slot:
+                    slots.append(i)
+            n, m = len(at), len(slots)
+            keys = b.column(0).take(pa.array([*at, *slots], pa.int32()))
+            text = pa.nulls(n + m, pa.string())
+            yield pa.RecordBatch.from_arrays([keys, pa.array([*hashes, *[None] * m], pa.int64()), pa.array([False] * n + [True] * m), text, text, pa.nulls(n + m, pa.int64())], names)
+            if len(seen) >= FLUSH:
+                yield forms(kind)
+                seen = {}
+        if seen:
+            yield forms(kind)
+
+    names = ["k", "h", "slot", "leaf", "form", "n"]
+    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, {UNIT_COLUMNS}")
 
 
 def mine(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,47 +165,34 @@ def mine(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, templates = None, Templates()
     for b in it:
         found, kinds = [], []
-        for path, form in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2).to_pylist()):
+        for path, h, form in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2).to_pylist(), b.column(3).to_pylist()):
             if path != at:
                 at, templates = path, Templates()
             if kind := templates.verdict(form):
-                found.append(form)
+                found.append(h)
                 kinds.append(kind)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(kinds, pa.string())], ["form", "kind"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(kinds, pa.string())], ["h", "kind"])
 
 
-def verdicts(df: DataFrame, text: str) -> DataFrame:
-    """The masked forms of all texts that are residue, with their kind."""
-    counted = df.select(F.col(text).alias("t")).where("t is not null").mapInArrow(count_forms, "leaf string, form string, n long")
-    forms = counted.groupBy("leaf", "form").agg(F.sum("n").alias("n"))
+def verdicts(forms: DataFrame) -> DataFrame:
+    """``h`` and ``kind`` of the forms (``leaf``, ``h``, ``form``, ``n``, partial numbers of several tasks) that are residue."""
+    forms = forms.groupBy("leaf", "h", "form").agg(F.sum("n").alias("n"))
     sizes = forms.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("parts")).where("parts > 1")
-    split = forms.join(small_side(sizes), "leaf", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("form"), F.col("parts")), F.lit(0)))
-    ordered = split.repartition(partitions(df.sparkSession), "leaf", "part").sortWithinPartitions("leaf", "part", F.desc("n"), "form")
-    return ordered.select("leaf", "part", "form").mapInArrow(mine, "form string, kind string")
+    split = forms.join(small_side(sizes), "leaf", "left").withColumn("part", F.coalesce(F.pmod(F.col("h"), F.col("parts")), F.lit(0)))
+    ordered = split.repartition(partitions(forms.sparkSession), "leaf", "part").sortWithinPartitions("leaf", "part", F.desc("n"), "form")
+    return ordered.select("leaf", "part", "h", "form").mapInArrow(mine, "h long, kind string")
 
 
 def residue(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` and ``kinds`` (sorted array of error, filler, notice, slot) of each row whose text holds residue.
 
-    Null, empty and blank texts are no residue; a long text is read whole; equal rows are one row. Other columns are not read.
+    Null, empty and blank texts are no residue; a long text is read whole; equal rows are one row. Other columns are not read. The texts are read once: their forms,
+    as 64 bits each, and the distinct forms of each task are written to the shared folder.
     """
-
-    def look(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            keys, forms, slots = [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                found, slot = forms_of(t)
-                for f in found:
-                    keys.append(i)
-                    forms.append(f)
-                if slot:
-                    keys.append(i)
-                    forms.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int32())), pa.array(forms, pa.string())], ["k", "form"])
-
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    units = rows.where("t is not null").mapInArrow(look, f"k {rows.schema['k'].dataType.simpleString()}, form string").select("k", F.xxhash64("form").alias("h"), F.col("form").isNull().alias("slot"))
-    known = verdicts(df, text).select(F.xxhash64("form").alias("h"), "kind")
-    found = units.where(~F.col("slot")).join(small_side(known), "h").select("k", "kind")
-    slots = units.where("slot").select("k", F.lit("slot").alias("kind"))
+    scratch = Scratch(df.sparkSession, "residue")
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL")
+    all_ = scratch.cut(units(rows), "units")
+    known = scratch.cut(verdicts(all_.where("form IS NOT NULL").select("leaf", "h", "form", "n")), "verdicts")
+    found = all_.where("NOT slot").select("k", "h").join(small_side(known), "h").select("k", "kind")
+    slots = all_.where("slot").select("k", F.lit("slot").alias("kind"))
     return found.unionByName(slots).groupBy("k").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).select(F.col("k").alias(key), "kinds")

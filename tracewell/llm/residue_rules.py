@@ -25,7 +25,7 @@ SLOTS = re.compile(
     re.VERBOSE | _,
 )
 #: What any slot holds, for a quick look.
-HINT = re.compile(r"[{\[<$~]|__|@@|\*\||%[a-z(\d]|&lt;|:[a-z][a-z_.]+:|\((?:fill|insert|enter|add|your|complete|tbd|todo)|xxx-", _)
+HINT = re.compile(r"\{(?!\s?\")|\[(?![\d\"-])|<(?!/?(?:html|head|title|body|h\d|p|hr|noscript)\b)|[$~]|__|@@|\*\||%[a-z(\d]|&lt;|:[a-z][a-z_.]+:|\((?:fill|insert|enter|add|your|complete|tbd|todo)|xxx-", _)
 #: Content that makes brackets a slot: what to do, in any of the languages.
 FILL = re.compile(
     r"^(?:insert|enter|fill|add|your|todo|tbd|tba|choose|select|type|put)\b|\bto be (?:added|filled|completed|confirmed|defined)\b|\bhere\b$|^name of\b|^(?:saisir|indiquer|insérer|compléter|ajouter|votre)\b|\bà (?:compléter|remplir|saisir|ajouter|insérer)$"
@@ -108,9 +108,26 @@ WORD = re.compile(r"[^\W\d_]+")
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufe0f]|<\\|[a-z]+\\|>|[\U0001f1e6-\U0001faff\u2600-\u27bf]", _)
 
 
+MOJIBAKE = re.compile("[ÃÂÐÑâà][\u0080-\u00bf\u2018-\u2122ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
+#: What calls for cleaning at all.
+ODD = re.compile("[ÃÂÐÑâà\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufe0f\U0001f1e6-\U0001faff\u2600-\u27bf]|<\\|")
+#: Stems of which the patterns below need at least one; texts in other scripts are always looked at in full.
+STEMS = (
+    "script js browser cookie human exist found find broken removed moved denied permission allowed authori permitted session log sign limit many quota maintenance back error wrong problem request answer time reachable available responding fatal memory segmentation "
+    "panic exception traceback dumped home failed cannot could unable longer retry load skripte seite bericht dürfen fehler sitzung melden wartet wartung versuchen zugriff gefunden anfragen verfügbar página permiso fallado mantenimiento sesión intente inténtelo acceso encontrad "
+    "servicio solicitudes page droit erreur réessayez reconnectez accès trouvé service requêtes introuvable permissão erro manutenção sessão tente serviço solicitações forbidden gateway text copy content wording paragraph words section sentence here soon written supplied "
+    "announced continued insert write enter narrative click heading item bullet point entry relleno redactar aquí aqui ejemplo viendra steht folgt platzhalter maintenance allow"
+).split()
+OTHER_SCRIPT = re.compile("[\u0400-\u04ff\u0900-\u097f\u3040-\u30ff\u4e00-\u9fff]")
+
+
 def clean(text: str) -> str:
     """Without invisible characters, pictures and stray control tokens; common mojibake of UTF-8 read as one-byte text is undone where it can be."""
-    if re.search("[ÃÂÐÑâà][\u0080-\u00bf\u2018-\u2122ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]", text):
+    if text.isascii():
+        return INVISIBLE.sub("", text) if "<|" in text else text
+    if not ODD.search(text):
+        return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+    if MOJIBAKE.search(text):
         for code in ("cp1252", "latin-1"):
             try:
                 text = text.encode(code).decode("utf-8")
@@ -166,17 +183,17 @@ def bare(unit: str) -> str:
 
 def wording(unit: str) -> str | None:
     """The kind of residue that a line or sentence is: ``error``, ``notice``, ``filler``; None for real content and for reports about residue."""
-    if PAYLOAD.search(unit):
+    if "{" in unit and PAYLOAD.search(unit):
         return "error"
     if "<" in unit and (parts := TAG.split(unit))[1:]:
         return next((k for x in parts if x.strip() and (k := wording(x))), None)
-    if REPEATED.search(MASK.sub(" . . . . ", unit)):
-        return "filler"
     u = bare(unit)
     if not u:
         return None
     words = [w.lower() for w in WORD.findall(MASK.sub(" ", u))]
     if len(words) >= 3:
+        if len(words) - len(set(words)) >= 5 and REPEATED.search(MASK.sub(" . . . . ", unit)):
+            return "filler"
         latin = sum(w in LOREM for w in words)
         if latin >= 3 and latin >= 0.6 * len(words):
             return "filler"
@@ -185,6 +202,9 @@ def wording(unit: str) -> str | None:
         letters = sum(map(len, words))
         if letters >= 14 and all(HOME_ROW.issuperset(w) for w in words):
             return "filler"
+    low = u.lower()
+    if not any(stem in low for stem in STEMS) and not OTHER_SCRIPT.search(u):
+        return None
     if TITLE.search(u):
         return "error"
     if REPORT.search(u) or QUOTED.search(u) and not re.search(r"error: ", u, _):
