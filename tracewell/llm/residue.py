@@ -44,6 +44,8 @@ def name_of(m: re.Match) -> str:
     tail = run[len(core) :]
     if core.isdigit():
         kind = "⟨n⟩" if len(core) < 8 else "⟨hex⟩"
+    elif len(core) < 14 and (core.count(".") == 1 and core.replace(".", "").isdigit() or core.count(":") == 1 and core.replace(":", "").isdigit()):
+        kind = "⟨n⟩"
     elif REF.match(core):
         kind = "⟨ref⟩"
     elif DATE.match(core):

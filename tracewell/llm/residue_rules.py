@@ -14,11 +14,11 @@ SLOTS = re.compile(
     r"""\{\{\{?[^{}\n]{0,40}\}?\}\}            # {{name}} {{{name}}} {{name|default}}
     | \{[%!][^{}\n]{1,40}\}                     # {% name %} {!name}
     | \#\{[^{}\n]{1,30}\} | @\{[^{}\n]{1,30}\} | \$\{[^{}\n]{1,30}\} | \$\[[^\[\]\n]{1,30}\]
-    | (?<![\w\])}])\{[A-Za-z][\w. ]{0,30}\} | (?<![\w\])}])\{\d{1,2}\}(?!\w)
+    | (?<![\])}])\{[A-Za-z][\w. ]{0,30}\} | (?<![\])}])\{\d{1,2}\}(?!\w)
     | @@[A-Za-z][\w.]{0,30}@@ | \*\|[A-Za-z][\w. ]{0,30}\|\* | \[\[[A-Za-z][\w. ]{0,30}\]\]
     | <%[=-]?[^<>%\n]{1,40}%> | <<[A-Za-z][\w. ]{0,30}>> | &lt;[A-Za-z][\w. ]{0,30}&gt;
     | (?<![\w%])%[A-Za-z][A-Za-z_.]{1,30}%(?![\w%]) | %\([A-Za-z][\w. ]{0,30}\)[sdf] | (?<![\w%])%(?:\d\$)?[sd](?![\w%])
-    | (?<![\w:/]):[A-Za-z][A-Za-z_.]{1,20}:(?![\w:/]) | (?<![\w~])~[A-Za-z][A-Za-z_.]{1,30}~(?![\w~]) | (?<!\w)__[A-Za-z][A-Za-z_.]{1,30}__(?!\w)
+    | (?<![\w:/]):[A-Za-z][A-Za-z_.]{1,20}:(?![\w:/]) | (?<!~)~[A-Za-z][A-Za-z_.]{1,30}~(?![\w~]) | (?<!\w)__[A-Za-z][A-Za-z_.]{1,30}__(?!\w)
     | \[(?:\.{3,}|\s*_*\s*|…+)\] | _{4,}
     | \[object\ Object\] | (?<![\w])X{3,}(?:-X{3,})+(?![\w])
     | \[[^\[\]\n]{2,60}\] | (?<![<\w])<[^<>\n|]{2,40}>(?!>) | \((?:fill\ in|fill\ out|insert|enter|add|your|complete|tbd|todo)\b[^()\n]{0,40}\)""",
@@ -28,7 +28,7 @@ SLOTS = re.compile(
 HINT = re.compile(r"\{(?!\s?\")|\[(?![\d\"-])|<(?!/?(?:html|head|title|body|h\d|p|hr|noscript)\b)|[$~]|__|@@|\*\||%[a-z(\d]|&lt;|:[a-z][a-z_.]+:|\((?:fill|insert|enter|add|your|complete|tbd|todo)|xxx-", _)
 #: Content that makes brackets a slot: what to do, in any of the languages.
 FILL = re.compile(
-    r"^(?:insert|enter|fill|add|your|todo|tbd|tba|choose|select|type|put)\b|\bto be (?:added|filled|completed|confirmed|defined)\b|\bhere\b$|^name of\b|^(?:saisir|indiquer|insérer|compléter|ajouter|votre)\b|\bà (?:compléter|remplir|saisir|ajouter|insérer)$"
+    r"^(?:insert|enter|fill|add|your|todo|tbd|tba|choose|select|type|put)\b|\bto be (?:added|filled|completed|confirmed|defined)\b|\b(?:here|aquí|aqui|ici|hier)\b$|^name of\b|^(?:saisir|indiquer|insérer|compléter|ajouter|votre)\b|\bà (?:compléter|remplir|saisir|ajouter|insérer)$"
     r"|\b(?:einfügen|eintragen|ergänzen|einsetzen|ausfüllen|eingeben)$|^(?:bitte|hier|ihr|ihre)\b|^(?:indique|indicar|insertar|introduzca|introducir|escriba|añadir|rellenar|completar|su)\b|\b(?:por|a|para) (?:completar|rellenar|definir|preencher|confirmar)$|^(?:inserir|informar|informe|preencher|digite|indicar|seu|sua)\b"
     r"|^(?:укажите|вставить|вставьте|введите|впишите)\b|\b(?:указать|вставить|вписать|заполнить)$|を?(?:入力|記入|挿入)|(?:दर्ज|भरें|डालें|लिखें)",
     _,
@@ -36,7 +36,7 @@ FILL = re.compile(
 #: Names of fields of the domain's forms.
 FIELDS = frozenset("date reviewer analyst amount unit country ip txid tier reference reason score recipient exchange period summary address hop_count first_seen case_id entity_name total_btc case entity hop name number".split())
 #: Words in brackets or angles that are no slots.
-NO_SLOT = frozenset("redacted unknown sic none null script noscript html head body title h1 h2 p hr br div span a b i anonymous omitted removed deleted".split())
+NO_SLOT = frozenset("redacted unknown sic none null script noscript html head body title h1 h2 p hr br div span a b i anonymous omitted removed deleted ul ol li table tr td th tbody thead img code pre em strong u s sub sup form input button label section article nav header footer main meta link style svg n nil eof".split())
 #: Content of code and of other sentences about notation.
 ABOUT = re.compile(
     r"^\W*usage:|\s--[a-z]|\bmerge fields?\b|\bcolumn names?\b|\bexport path\b|\bthe pattern\b|\bquery such as\b|\blog format\b|\bstands? for\b|\brenames?\b|\bpatch \(|\bscreen names?\b|\bplaceholders? (?:in|of|for|such)\b|\bvariables?\b|\bsyntax\b|\bregex\b|\bescaped?\b|\bis written as\b|\bcalled\b|\$\{(?:HOME|PATH|USER|PWD)\}|\]\{\d",
@@ -69,15 +69,15 @@ TITLES = (
     "|страница не найдена|не найдено|доступ запрещ[её]н|ошибка сервера|внутренняя ошибка сервера|сервис недоступен|слишком много запросов|нет доступа|требуется вход"
     "|ページが見つかりません|アクセスが拒否されました|アクセス拒否|サーバーエラー|サーバー内部エラー|内部サーバーエラー|サービス利用不可|पृष्ठ नहीं मिला|पहुँच अस्वीकृत|प्रवेश निषेध|सर्वर त्रुटि|आंतरिक सर्वर त्रुटि|सेवा उपलब्ध नहीं"
 )
-TITLE = re.compile(rf"^\W*(?:(?:http |error |fehler |erreur |erro |ошибка )?(?:\d{{3}}|⟨n⟩)\W{{0,4}})?(?:{TITLES})\W*(?:\(?(?:v?\d+|v?⟨n⟩)\)?\W*)?$", _)
+TITLE = re.compile(rf"^\W*(?:(?:http (?:status |error )?|error |fehler |erreur |erro |ошибка )?(?:\d{{3}}|⟨n⟩)\W{{0,4}})?(?:{TITLES})\W*(?:\(?(?:v?\d+|v?⟨n⟩)\)?\W*)?$", _)
 ERROR = re.compile(
     r"\b(?:page|link|lead|report|view|file|case|map)\b.{0,40}\b(?:does not exist|doesn.t exist|no longer exists|could not be found|cannot be found|was not found|is broken|has been removed|has moved)\b|\bcould ?n[o']t find (?:this|the|that|your) \w+|\bwas removed\b.{0,5}$"
     r"|^\W*(?:sorry, |oops\W+|whoops\W+|uh-oh\W+)?(?:access denied|permission denied)\b|\bno permission to (?:view|see|open)\b|\bnot (?:allowed|authori[sz]ed|permitted) to (?:view|see|open|access)\b"
     r"|\bsession (?:has )?(?:expired|timed out)|\b(?:log|sign) in (?:again|to (?:see|view|continue|read|open))\b|\bplease (?:log|sign) in\b|\byou (?:must|need to) (?:log|sign) in\b|\blogin required\b"
     r"|\brate limit (?:reached|exceeded|hit)|\btoo many (?:visitors|requests|attempts) (?:right now|at|from|in)|\bquota (?:for|of) .{0,30}(?:used up|exceeded|reached)|\blimit (?:has been )?(?:reached|exceeded)\b.{0,20}\b(?:slow|wait|try|later)"
-    r"|\b(?:down|closed|offline) for (?:scheduled )?maintenance\b|\bunder maintenance\b|\bmaintenance (?:is )?in progress\b|\b(?:come|be) back (?:soon|later|shortly)\b"
-    r"|\b(?:unexpected|internal|unknown) error\b.{0,20}\b(?:occurred|happened)|\bsomething went wrong\b|\bmet a problem\b|\bcould not (?:finish|complete|process) (?:the|your) request|\bgave no valid answer\b|\bdid not (?:reply|respond|answer) in time\b|\b(?:backend|server|service|explorer|node)\b.{0,30}\b(?:is )?(?:not reachable|unreachable|not available right now|not responding)\b"
-    r"|^\W*error establishing a\b|\bupstream connect error\b|^\W*fatal(?: error)?:|\bout of memory in\b|^\W*segmentation fault|^\W*panic:|^\W*exception in thread|^\W*traceback \(most recent|^\W*unhandled exception|^\W*core dumped"
+    r"|\bmaintenance window\b|\b(?:down|closed|offline) for (?:scheduled )?maintenance\b|\bunder maintenance\b|\bmaintenance (?:is )?in progress\b|\b(?:come|be) back (?:soon|later|shortly)\b"
+    r"|\berror (?:has )?(?:occurred|happened)\b|\b(?:unexpected|internal|unknown) error\b.{0,20}\b(?:occurred|happened)|\bsomething went wrong\b|\bmet a problem\b|\bcould not (?:finish|complete|process) (?:the|your) request|\bgave no valid answer\b|\bdid not (?:reply|respond|answer) in time\b|\b(?:backend|server|service|explorer|node)\b.{0,30}\b(?:is )?(?:not reachable|unreachable|not available right now|not responding)\b"
+    r"|^\W*error establishing a\b|^\W*connection (?:was )?(?:refused|reset|closed|timed out)\b|^\W*http (?:status|error) (?:\d{3}|⟨n⟩)|^\W*err_[a-z_]{3,}\W*$|\b(?:site|page|server|host) can.?t be reached\b|\bnull pointer (?:in|at|exception)\b|^\W*at [\w.$]+\((?:\w+\.\w+:)?[\w⟨⟩]*\)\W*$|^\W*(?:the |this |a )?[\w-]+ failed to (?:load|open|start|connect|render)\W*$|\bupstream connect error\b|^\W*fatal(?: error)?:|\bout of memory in\b|^\W*segmentation fault|^\W*panic:|^\W*exception in thread|^\W*traceback \(most recent|^\W*unhandled exception|^\W*core dumped"
     r"|^\W*[a-z.]*(?:error|exception): \S|^\W*home ?(?:>|›|»|/) ?(?:\w+ ?(?:>|›|»|/) ?)*error\W*$|^\W*export failed\b|^\W*cannot (?:get|post) /|\b(?:page|lead|report|view|case) is no longer available\b|^\W*retry\?\W*$|^\W*loading\W*$|^\W*(?:failed to|cannot|could not|unable to) (?:load|open|display|connect to|reach) (?:this|the|your) (?:page|view|case|data|map|graph|report|dashboard|explorer|store|database)\b"
     r"|\bdie (?:angeforderte )?seite (?:existiert nicht|wurde nicht gefunden|wurde entfernt)|\bder bericht wurde entfernt\b|\bsie dürfen diese\b.{0,30}\bnicht (?:sehen|öffnen|aufrufen)\b|\bunerwarteter fehler\b|\bihre sitzung ist abgelaufen\b|\bmelden sie sich (?:bitte )?(?:neu |erneut |wieder )?an\b|\bwird gerade gewartet\b|\bwartungsarbeiten\b|\bversuchen sie es (?:später|erneut)\b"
     r"|\bla página (?:solicitada|pedida|que busca)\b.{0,20}\bno existe\b|\bno tiene permiso\b|\balgo ha fallado\b|\bestamos en mantenimiento\b|\bsu sesión ha (?:caducado|expirado)\b|\bha ocurrido un error\b|\bse ha producido un error\b|\bintente (?:lo )?(?:de nuevo|más tarde)\b|\binténtelo (?:de nuevo|más tarde)\b|\binicie sesión\b"
@@ -92,10 +92,11 @@ PAYLOAD = re.compile(r"\{ ?\"(?:error|errors|detail|message|fault)\" ?:", _)
 DUMMY = r"(?:placeholder|dummy|filler|mock|sample|stand-in|blind|test|lorem)"
 FILLER = re.compile(
     rf"^\W*(?:this is|below is|what follows is|here (?:goes|is|comes)|please ignore|following is|the following is|just|only|ignore this)\b.{{0,20}}\b{DUMMY} (?:text|copy|content|wording|paragraph|words|section|sentence)\b|^\W*{DUMMY} (?:text|copy|content|wording|paragraph)\W*(?:\(?v?(?:\d+|⟨n⟩)\)?\W*)?$"
+    r"|\b(?:text|content|section|details?) (?:follows?|to follow|will follow) (?:in|with|soon|later|here|shortly)\b|\bnothing here yet\b|\b(?:type|write|say) something\b|^\W*(?:your|my|some|enter|add) (?:own )?(?:text|content|title|headline|words|name|message) here\b"
     r"|^\W*(?:more )?(?:title|description|body copy|body text|text|content|summary|narrative|caption|heading|name|copy|details?) (?:goes|comes|go|come|belongs?) here\b|^\W*(?:more )?(?:content|text|details?|summary|report|page) (?:is )?coming soon\b|^\W*coming soon\W*$|\bto be (?:written|supplied|announced|continued)\W*$"
     r"|^\W*(?:insert|write|enter|add|type|put) (?:(?:the|your|a|some) )?(?:narrative|text|summary|content|description|title|body)\b.{0,30}$|^\W*click (?:here )?to (?:edit|add)\b|^\W*(?:subheading|body text|body copy|sub-heading)\W*(?:\(?v?(?:\d+|⟨n⟩)\)?\W*)?$|^\W*heading (?:\d|⟨n⟩)\W*$|^\W*(?:first|second|third|fourth|fifth|last|another) (?:item|bullet|point|entry)\W*(?:\(?v?(?:\d+|⟨n⟩)\)?\W*)?$"
-    r"|\bblindtext\b|\bplatzhaltertext\b|\bhier steht (?:später|bald|demnächst)\b|\bhier folgt (?:später|noch)\b|\btext folgt\b|\bfülltext\b|\btexto de relleno\b|\btexto (?:pendiente|por) (?:de )?redactar\b|\baquí (?:irá|va) (?:el )?(?:texto|contenido)\b|\btexto de ejemplo\b"
-    r"|\btexte (?:à rédiger|de remplissage|provisoire|factice)\b|\bfaux texte\b|\bviendra ici\b|\btexto (?:provisório|de preenchimento|a redigir|fictício)\b|\baqui (?:virá|entra|vai) (?:o )?(?:texto|conteúdo)\b|текст[- ](?:заполнитель|рыба|заглушка)|здесь (?:будет|появится|позже)|текст (?:будет|появится) (?:позже|здесь)|ここに.{0,12}(?:入ります|入る|記入|書)|ダミー(?:テキスト|文)|仮の?(?:テキスト|文章)|यहाँ.{0,30}(?:आएगा|लिखें|जोड़ें|लिखा जाएगा)|नमूना पाठ",
+    r"|\bblindtext\b|\bplatzhaltertext\b|\bhier steht (?:später|bald|demnächst)\b|\bhier folgt (?:später|noch)\b|\btext folgt\b|\bfülltext\b|\btexto de relleno\b|\btexto (?:pendiente|por) (?:de )?redactar\b|\baquí (?:irá|va|vendrá|aparecerá)\b|\btexto de ejemplo\b"
+    r"|\btexte (?:à rédiger|de remplissage|provisoire|factice)\b|\bfaux texte\b|\bviendra ici\b|\btexto (?:provisório|de preenchimento|a redigir|fictício)\b|\baqui (?:virá|entra|vai|entrará)\b|\bhier kommt (?:noch|später|bald)\b|\bici (?:viendra|le texte|votre texte)\b|текст[- ](?:заполнитель|рыба|заглушка)|здесь (?:будет|появится|позже)|текст (?:будет|появится) (?:позже|здесь)|ここに.{0,12}(?:入ります|入る|記入|書)|ダミー(?:テキスト|文)|仮の?(?:テキスト|文章)|यहाँ.{0,30}(?:आएगा|लिखें|जोड़ें|लिखा जाएगा)|नमूना पाठ",
     _,
 )
 LOREM = frozenset(
@@ -116,7 +117,7 @@ STEMS = (
     "script js browser cookie human exist found find broken removed moved denied permission allowed authori permitted session log sign limit many quota maintenance back error wrong problem request answer time reachable available responding fatal memory segmentation "
     "panic exception traceback dumped home failed cannot could unable longer retry load skripte seite bericht dürfen fehler sitzung melden wartet wartung versuchen zugriff gefunden anfragen verfügbar página permiso fallado mantenimiento sesión intente inténtelo acceso encontrad "
     "servicio solicitudes page droit erreur réessayez reconnectez accès trouvé service requêtes introuvable permissão erro manutenção sessão tente serviço solicitações forbidden gateway text copy content wording paragraph words section sentence here soon written supplied "
-    "announced continued insert write enter narrative click heading item bullet point entry relleno redactar aquí aqui ejemplo viendra steht folgt platzhalter maintenance allow"
+    "announced continued insert write enter narrative click heading item bullet point entry follow nothing something refused reset timed status err_ site null occurred happened point relleno redactar aquí aqui ejemplo viendra steht folgt platzhalter maintenance allow"
 ).split()
 OTHER_SCRIPT = re.compile("[\u0400-\u04ff\u0900-\u097f\u3040-\u30ff\u4e00-\u9fff]")
 
@@ -170,7 +171,7 @@ def is_slot(s: str) -> bool:
     if first == "<" and not s.startswith(("<<", "<%")):
         if name in NO_SLOT or s[1] in "/!" or "=" in s or re.search(r"\d$", name):
             return False
-        return bool(FILL.search(inner)) or name in FIELDS or (s.isupper() and len(inner) > 1)
+        return len(inner) > 1 and re.fullmatch(r"[^\W\d]+(?:[ _.-][^\W\d]+){0,4}", inner) is not None
     if first in ":~" or s.startswith("%") and s.endswith("%"):
         return name in FIELDS or bool(FILL.search(inner)) or "_" in name and name.split("_")[-1] in FIELDS or re.sub(r"(?<=[a-z])(?=[A-Z])", "_", inner).lower() in FIELDS
     return True
@@ -200,7 +201,7 @@ def wording(unit: str) -> str | None:
         if len(words) >= 4 and len(set(words)) <= 2 and len(u) < 4 * sum(map(len, words)):
             return "filler"
         letters = sum(map(len, words))
-        if letters >= 14 and all(HOME_ROW.issuperset(w) for w in words):
+        if letters >= 14 and sum(len(w) for w in words if HOME_ROW.issuperset(w)) > 0.9 * letters:
             return "filler"
     low = u.lower()
     if not any(stem in low for stem in STEMS) and not OTHER_SCRIPT.search(u):
