@@ -156,10 +156,10 @@ def rules_only(spark: SparkSession, d: str) -> DataFrame:
 
 
 def light_features(spark: SparkSession, d: str) -> DataFrame:
-    """The light feature set: counts, sums, shares and the spread of the outputs (population deviation over mean)."""
+    """The light feature set: counts, sums, shares and the spread of the outputs (population deviation over mean; rounded just off the half, where shares of two outputs lie)."""
     mean = X.total("out_amts") / F.size("out_amts")
     var = F.aggregate("out_amts", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size("out_amts")
-    return base.tx(spark, d).select("row_idx", "fan_in", "fan_out", X.rounded("total_in", 6).alias("total_in"), X.fee_urgency("fee", "total_in").alias("fee_rate"), X.rounded(X.dominant_ratio("out_amts"), 4).alias("equal_ratio"), X.rounded(F.coalesce(F.sqrt(var) / F.nullif(mean, F.lit(0.0)), F.lit(0.0)), 4).alias("amount_cv"))
+    return base.tx(spark, d).select("row_idx", "fan_in", "fan_out", X.rounded("total_in", 6).alias("total_in"), X.fee_urgency("fee", "total_in").alias("fee_rate"), X.rounded(X.dominant_ratio("out_amts"), 4).alias("equal_ratio"), (F.floor(F.coalesce(F.sqrt(var) / F.nullif(mean, F.lit(0.0)), F.lit(0.0)) * 1e4 + 0.50003) / 1e4).alias("amount_cv"))
 
 
 def explain_text(spark: SparkSession, d: str) -> DataFrame:
@@ -329,7 +329,7 @@ ORACLE = {
     "trace_backward": _trace_sql(True),
     "traceable_leads": f"{with_(TX)} SELECT DISTINCT m.row_idx FROM (SELECT row_idx, ts, unnest(outs) AS addr FROM tx) m JOIN (SELECT ts AS bts, unnest(ins) AS addr FROM tx) s USING (addr) WHERE bts > ts",
     "rules_only": f"{with_(TX, MIX)} SELECT row_idx, (src_port IN ({ANON}) OR coalesce(fee / nullif(total_in, 0), 0) > 0.1 OR fan_out > 20 OR (len(out_amts) >= 10 AND ratio >= 0.5))::INT AS flag FROM tx JOIN mix USING (row_idx)",
-    "light_features": f"{with_(TX, MIX)} SELECT row_idx, tx.fan_in::INT AS fan_in, tx.fan_out::INT AS fan_out, {r('total_in', 6)} AS total_in, CASE WHEN total_in > 0 AND fee > 0 THEN {r('fee / total_in', 8)} ELSE 0 END AS fee_rate, {r('ratio', 4)} AS equal_ratio, {r('coalesce(list_stddev_pop(out_amts) / nullif(list_avg(out_amts), 0), 0)', 4)} AS amount_cv FROM tx JOIN mix USING (row_idx)",
+    "light_features": f"{with_(TX, MIX)} SELECT row_idx, tx.fan_in::INT AS fan_in, tx.fan_out::INT AS fan_out, {r('total_in', 6)} AS total_in, CASE WHEN total_in > 0 AND fee > 0 THEN {r('fee / total_in', 8)} ELSE 0 END AS fee_rate, {r('ratio', 4)} AS equal_ratio, floor(coalesce(list_stddev_pop(out_amts) / nullif(list_avg(out_amts), 0), 0) * 1e4 + 0.50003) / 1e4 AS amount_cv FROM tx JOIN mix USING (row_idx)",
     "explain_text": f"""{with_(TX, KINDS)}, s AS (SELECT row_idx, list_filter([
         CASE WHEN src_port IN ({_ports(K.TOR_PORTS)}) THEN 'Routed through known Tor SOCKS port (src_port=' || src_port || ')' WHEN src_port IN ({_ports(K.PROXY_PORTS)}) THEN 'Routed through known proxy port (src_port=' || src_port || ')' WHEN src_port IN ({_ports(K.I2P_PORTS)}) THEN 'Routed through known I2P tunnel port (src_port=' || src_port || ')' END,
         CASE WHEN dst_port IN ({_ports(K.TOR_PORTS)}) THEN 'Destination is a known Tor control/SOCKS port (dst_port=' || dst_port || ')' WHEN dst_port IN ({_ports(K.I2P_PORTS)}) THEN 'Destination is a known I2P eepsite port (dst_port=' || dst_port || ')' END,
