@@ -63,7 +63,8 @@ def partials(df: DataFrame, day: str, kinds: dict[str, str | None], measures: Se
     """Partial digests of each map task's rows: ``kind``, ``key``, ``day`` and the centroids of all measures (``m``, ``mean``, ``weight``).
 
     ``kinds``: name of a grouping to its column, None for the day itself. Null, NaN and infinite values do not count; rows with a null or blank key
-    belong to no group; rows without a day count under a null day (and not for the kind that is the day).
+    belong to no group; rows without a day count under a null day (and not for the kind that is the day). Equal rows count each, ties are kept; very long keys are
+    keys as any. Other columns are not read; an empty table gives no row.
     """
     keys = [F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) if c else F.coalesce(F.to_date(day).cast("string"), F.lit("")) for c in kinds.values()]
     rows = df.select(F.to_date(day).alias("day"), *[k.alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(measures)])

@@ -133,6 +133,7 @@ def sketches(df: DataFrame, day: str | None, dims: Sequence[str], ids: dict[str,
 
     ``ids``: name to hash (see ``hashed``). Dims outside a level are null; so is a null value of a dim inside one, a group of its own. A null day is a day of
     its own. A day has one partial sketch or several: ``merge`` joins them. Columns of ``df`` besides those named are not read.
+    Repeated rows and very long identifiers change nothing; groups without any identifier, and empty tables, give no row.
     """
     rows = df.select((F.to_date(day) if day else F.lit(None).cast("date")).alias("day"), *[F.col(d).cast("string").alias(f"d{i}") for i, d in enumerate(dims)], *[h.alias(f"h{i}") for i, h in enumerate(ids.values())])
     names, sets = list(ids), levels(dims)

@@ -159,7 +159,11 @@ def vocabulary_file(name: str = "byte_bpe_50k", folder: str = FOLDER) -> str:
 
 
 def encoded(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
-    """``key`` and ``ids`` of every row, in place: no shuffle, one Arrow batch at a time. The vocabulary (under 1 MB) travels with the tasks."""
+    """``key`` and ``ids`` of every row, in place: no shuffle, one Arrow batch at a time. The vocabulary (under 1 MB) travels with the tasks.
+
+    A null and an empty text have the empty list; keys may be null or repeated, equal rows come out equally often; a very long text is streamed. Other columns are not read; an empty
+    table gives no row.
+    """
     return with_ids(df.select(key, text), path or vocabulary_file(), "ids array<int>", lambda ids: pa.array(ids, pa.list_(pa.int32())))
 
 
