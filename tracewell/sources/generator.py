@@ -26,7 +26,8 @@ def transactions(spark: SparkSession, total: int, ratio: float = 0.2, seed: int
     ins = F.when(k == "Peel_Chain", F.array(chain(F.col("hop")))).otherwise(F.transform(F.sequence(F.lit(1), F.col("n_in")), lambda i: spare(i, "in")))
     outs = F.when(k == "Peel_Chain", F.array(chain(F.col("hop") + 1), spare(F.lit(0), "peel"))).otherwise(F.transform(F.sequence(F.lit(1), F.col("n_out")), lambda i: spare(i, "out")))
     share = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: F.format_string("%.8f", F.col("amount") / n))
-    out_amounts = F.when(k == "Peel_Chain", F.array(F.format_string("%.8f", F.col("amount") * 0.9), F.format_string("%.8f", F.col("amount") * 0.0999))).otherwise(share(F.col("n_out")))
+    unlike = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: F.format_string("%.8f", F.col("amount") * 2 * i / (n * (n + 1))))
+    out_amounts = F.when(k == "Peel_Chain", F.array(F.format_string("%.8f", F.col("amount") * 0.9), F.format_string("%.8f", F.col("amount") * 0.0999))).when(k == "FanOut_Dispersal", unlike(F.col("n_out"))).otherwise(share(F.col("n_out")))
     port = F.when((k != "Normal") & (u("p") < 0.4), 9050).otherwise(8333)
     return rows.select(
         F.col("id").alias("row_idx"),
