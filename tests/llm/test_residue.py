@@ -51,6 +51,21 @@ def test_templates_pass_on_their_verdict_and_keep_apart_what_counts():
     assert X.leaf("Home > Leads > Error") != X.leaf("Home > Leads > Map")
 
 
+def test_forms_are_judged_beside_more_frequent_ones_that_look_alike(spark):
+    rare = ["The link to the case file is broken.", "Die Seite wurde nicht gefunden.", "The report on the third wallet was removed."]
+    often = ["The link to the case file is attached.", "Die Seite wurde nicht verändert.", "The report on the third wallet was printed."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rare + often * 3)], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.kinds for r in X.residue(df, "doc_id", "text").collect()} == {i: ["error"] for i in range(3)}
+
+
+def test_wildcards_are_no_agreement():
+    t = X.Templates()
+    for a, b in [("closed", "plain"), ("merged", "plain"), ("merged", "odd")]:
+        t.verdict(f"the night shift {a} some alerts about one {b} form")
+    t.verdict("the night shift opened two alerts about one small thing")
+    assert len(t.all) == 2
+
+
 def test_tables(spark):
     rows = [(i, t, "x", "clash") for i, t in enumerate([*REAL, None, "word " * 200_000])] + [(1000 + i, f"A real sentence about row {i}.\n{t}", None, "clash") for i, t in enumerate(t for v in CASES.values() for t in v)]
     rows += rows[-5:]

@@ -1,12 +1,9 @@
-"""Template residue and error-page text: message templates from a fixed-depth prefix tree, classified once, verdicts propagated to all records.
+"""Template residue and error-page text: masked forms of lines and sentences, each classified once, verdicts propagated to all records.
 
 1. Texts are cut into lines and sentences, values (addresses, dates, numbers ...) are masked, and equal masked forms are counted, first within each task.
-2. Forms go to the leaves of a prefix tree of fixed depth: number of tokens, first tokens, and the words that bear on a verdict. Within a leaf a form joins the first template that
-   agrees with it in most places, which then has a wildcard where they differ, or starts a template (He et al., Drain, 2017). Forms come to a task leaf by leaf, so it holds one
-   leaf's templates; a leaf with very many forms is split.
-3. Each template is classified once, by its first form (its most frequent): error, notice, filler or none. Its members inherit the verdict; members of a residue template must bear
-   it out themselves, as they may differ in the word that counts.
-4. Verdicts go back to the records that hold a form of such a template. Unresolved slots, whose sentences are ordinary otherwise, are found record by record.
+2. Each distinct form is classified by its own wording, once, however many records hold it: error, notice, filler or none. A form never takes the verdict of one that only looks
+   alike, as the two may differ in the word that counts; ``Templates`` (a fixed-depth prefix tree: He et al., Drain, 2017) groups forms, but doesn't judge for them.
+3. Verdicts go back to the records that hold such a form. Unresolved slots, whose sentences are ordinary otherwise, are found record by record.
 """
 
 from __future__ import annotations
@@ -25,8 +22,7 @@ from tracewell.runtime import Scratch, partitions, small_side
 
 DEPTH = 3  # leading tokens in the path to a leaf
 ALIKE = 0.7  # share of places in which a form must agree with a template
-LEAF = 100_000  # forms of a leaf that one task mines together
-FLUSH = 100_000  # forms that a task counts before it passes them on
+FLUSH = 100_000  # forms that a task gathers before it passes them on
 
 UNITS = re.compile(r"(?<=[.!?。।])\s+|[\n\r\v\f\x85\u2028\u2029]+")
 #: A run of characters that may be a value: it starts with a digit, behind the letters of a reference, an address or a hexadecimal number at most.
@@ -111,28 +107,27 @@ class Templates:
         if len(tokens) < 5:  # too few places to differ in
             return rules.wording(form)
         least = ALIKE * len(tokens)
-        for template, kind in self.all:
-            if sum(map(eq, template, tokens)) + template.count(None) >= least:
+        for template, _ in self.all:
+            if sum(map(eq, template, tokens)) >= least:  # a wildcard is no agreement
                 template[:] = [a if a == b else None for a, b in zip(template, tokens)]
-                return kind if kind is None else rules.wording(form)
+                return rules.wording(form)
         kind = rules.wording(form)
         self.all.append((tokens, kind))
         return kind
 
 
-UNIT_COLUMNS = "h long, slot boolean, leaf string, form string, n long"
+UNIT_COLUMNS = "h long, slot boolean, form string"
 
 
 def units(rows: DataFrame) -> DataFrame:
-    """One pass over the texts (columns k, t): a row (``k``, ``h``) for each form of a text, a row with ``slot`` for a text with a slot, and, once per task, each form with its leaf and number."""
+    """One pass over the texts (columns k, t): a row (``k``, ``h``) for each form of a text, a row with ``slot`` for a text with a slot, and, once per task, each form with its ``h``."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = {}
+        seen: dict[str, int] = {}
 
         def forms(kind: pa.DataType) -> pa.RecordBatch:
             n = len(seen)
-            none = pa.nulls(n, pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array([v[0] for v in seen.values()], pa.int64()), none, pa.array([leaf(f) for f in seen], pa.string()), pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array(seen.values(), pa.int64()), pa.nulls(n, pa.bool_()), pa.array(seen, pa.string())], names)
 
         kind = None
         for b in it:
@@ -140,49 +135,36 @@ def units(rows: DataFrame) -> DataFrame:
             for i, t in enumerate(b.column(1).to_pylist()):
                 found, slot = forms_of(t)
                 for f in found:
-                    known = seen.get(f)
-                    if known is None:
-                        seen[f] = known = [name(f), 0]
-                    known[1] += 1
+                    h = seen.get(f)
+                    if h is None:
+                        seen[f] = h = name(f)
                     at.append(i)
-                    hashes.append(known[0])
+                    hashes.append(h)
                 if slot:
                     slots.append(i)
             n, m = len(at), len(slots)
             keys = b.column(0).take(pa.array([*at, *slots], pa.int32()))
-            text = pa.nulls(n + m, pa.string())
-            yield pa.RecordBatch.from_arrays([keys, pa.array([*hashes, *[None] * m], pa.int64()), pa.array([False] * n + [True] * m), text, text, pa.nulls(n + m, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([keys, pa.array([*hashes, *[None] * m], pa.int64()), pa.array([False] * n + [True] * m), pa.nulls(n + m, pa.string())], names)
             if len(seen) >= FLUSH:
                 yield forms(kind)
                 seen = {}
         if seen:
             yield forms(kind)
 
-    names = ["k", "h", "slot", "leaf", "form", "n"]
+    names = ["k", "h", "slot", "form"]
     return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, {UNIT_COLUMNS}")
 
 
-def mine(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forms in order of leaves, frequent ones first, to the verdicts of those that are residue."""
-    at, templates = None, Templates()
+def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forms to the verdicts of those that are residue."""
     for b in it:
-        found, kinds = [], []
-        for path, h, form in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2).to_pylist(), b.column(3).to_pylist()):
-            if path != at:
-                at, templates = path, Templates()
-            if kind := templates.verdict(form):
-                found.append(h)
-                kinds.append(kind)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(kinds, pa.string())], ["h", "kind"])
+        kinds = pa.array([rules.wording(form) for form in b.column(1).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([b.column(0), kinds], ["h", "kind"]).filter(kinds.is_valid())
 
 
 def verdicts(forms: DataFrame) -> DataFrame:
-    """``h`` and ``kind`` of the forms (``leaf``, ``h``, ``form``, ``n``, partial numbers of several tasks) that are residue."""
-    forms = forms.groupBy("leaf", "h", "form").agg(F.sum("n").alias("n"))
-    sizes = forms.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("parts")).where("parts > 1")
-    split = forms.join(small_side(sizes), "leaf", "left").withColumn("part", F.coalesce(F.pmod(F.col("h"), F.col("parts")), F.lit(0)))
-    ordered = split.repartition(partitions(forms.sparkSession), "leaf", "part").sortWithinPartitions("leaf", "part", F.desc("n"), "form")
-    return ordered.select("leaf", "part", "h", "form").mapInArrow(mine, "h long, kind string")
+    """``h`` and ``kind`` of the forms (``h``, ``form``, repeated by tasks that share them) that are residue."""
+    return forms.repartition(partitions(forms.sparkSession), "h").dropDuplicates(["h", "form"]).mapInArrow(judge, "h long, kind string")
 
 
 def residue(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -194,7 +176,7 @@ def residue(df: DataFrame, key: str, text: str) -> DataFrame:
     scratch = Scratch(df.sparkSession, "residue")
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL")
     all_ = scratch.cut(units(rows), "units")
-    known = scratch.cut(verdicts(all_.where("form IS NOT NULL").select("leaf", "h", "form", "n")), "verdicts")
+    known = scratch.cut(verdicts(all_.where("form IS NOT NULL").select("h", "form")), "verdicts")
     found = all_.where("NOT slot").select("k", "h").join(small_side(known), "h").select("k", "kind")
     slots = all_.where("slot").select("k", F.lit("slot").alias("kind"))
     return found.unionByName(slots).groupBy("k").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).select(F.col("k").alias(key), "kinds")
