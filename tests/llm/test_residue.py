@@ -1,5 +1,9 @@
 """Template residue: cases, near cases, noise."""
 
+import random
+import re
+import sys
+
 import pytest
 
 from tracewell.llm import residue as X
@@ -75,3 +79,55 @@ def test_tables(spark):
     assert set(got) - {long} == {i for i, *_ in rows if i >= 1000}
     assert got[long] == ["filler"]
     assert X.residue(df.limit(0), "doc_id", "text").count() == 0
+
+
+def example(part, rnd):
+    """A text that a parsed pattern matches, word boundaries aside."""
+    C, out = R.C, ""
+    for op, arg in part:
+        if op is C.LITERAL:
+            out += chr(arg)
+        elif op is C.BRANCH:
+            out += example(rnd.choice(arg[1]), rnd)
+        elif op is C.SUBPATTERN:
+            out += example(arg[3], rnd)
+        elif op is C.MAX_REPEAT:
+            out += "".join(example(arg[2], rnd) for _ in range(rnd.randint(arg[0], min(arg[1], arg[0] + 2))))
+        elif op is C.IN:
+            kind, x = rnd.choice(arg)
+            out += chr(x) if kind is C.LITERAL else chr(x[0]) if kind is C.RANGE else {C.CATEGORY_DIGIT: "4", C.CATEGORY_WORD: "w", C.CATEGORY_NOT_WORD: " ", C.CATEGORY_NOT_SPACE: "s"}[x]
+        elif op is C.NOT_LITERAL or op is C.ANY:
+            out += "-"
+        else:
+            assert op is C.AT, op
+    return out
+
+
+@pytest.mark.parametrize("pattern", ["TITLE", "NOTICE", "ERROR", "FILLER"])
+def test_quick_look_passes_every_alternative(pattern):
+    p, rnd = getattr(R, pattern), random.Random(1)
+    parsed = list(R.parser.parse(p.pattern, p.flags))
+    for alternative in parsed[0][1][1] if len(parsed) == 1 else [parsed]:
+        texts = [example(alternative, rnd) for _ in range(300)]
+        assert any(map(p.search, texts)), texts[0]
+        for t in texts:
+            for u in (t, t.upper(), t.title()):
+                assert not (p.search(u) and R.hopeless(u)), u
+
+
+def test_quick_look_passes_every_title():
+    for title in R.TITLES.replace("[её]", "ё").replace("-?", "-").replace("(?:temporarily )?", "").split("|"):
+        assert R.wording(title) == R.wording(f"403 {title}") == "error", title
+
+
+@pytest.mark.parametrize("text", ["Algo deu errado", "Connection closed", "The server can't be reached", "at pkg.Cls.run(File.java:12)", "Hier kommt noch eine Beschreibung"])
+def test_wordings_without_a_stem(text):
+    assert R.wording(text)
+
+
+def test_quick_look_knows_letters_in_other_cases():
+    letters = sorted({x for text, rest in R.QUICK for t in (text, *set().union(*rest)) for x in t if x.isalpha()})
+    same = re.compile(f"[{''.join(letters)}]", re.I)
+    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if same.fullmatch(c) and c.lower() not in letters]
+    assert all(map(R.OTHER_CASE.fullmatch, odd)), odd
+    assert R.wording("Pleaſe log ın again") == "error"

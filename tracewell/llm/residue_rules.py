@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from re import _constants as C
+from re import _parser as parser
 
 _ = re.IGNORECASE
 
@@ -112,14 +114,97 @@ INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufe
 MOJIBAKE = re.compile("[ÃÂÐÑâà][\u0080-\u00bf\u2018-\u2122ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 #: What calls for cleaning at all.
 ODD = re.compile("[ÃÂÐÑâà\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufe0f\U0001f1e6-\U0001faff\u2600-\u27bf]|<\\|")
-#: Stems of which the patterns below need at least one; texts in other scripts are always looked at in full.
-STEMS = (
-    "script js browser cookie human exist found find broken removed moved denied permission allowed authori permitted session log sign limit many quota maintenance back error wrong problem request answer time reachable available responding fatal memory segmentation "
-    "panic exception traceback dumped home failed cannot could unable longer retry load skripte seite bericht dürfen fehler sitzung melden wartet wartung versuchen zugriff gefunden anfragen verfügbar página permiso fallado mantenimiento sesión intente inténtelo acceso encontrad "
-    "servicio solicitudes page droit erreur réessayez reconnectez accès trouvé service requêtes introuvable permissão erro manutenção sessão tente serviço solicitações forbidden gateway text copy content wording paragraph words section sentence here soon written supplied "
-    "announced continued insert write enter narrative click heading item bullet point entry follow nothing something refused reset timed status err_ site null occurred happened point relleno redactar aquí aqui ejemplo viendra steht folgt platzhalter maintenance allow"
-).split()
-OTHER_SCRIPT = re.compile("[\u0400-\u04ff\u0900-\u097f\u3040-\u30ff\u4e00-\u9fff]")
+#: Characters that match a letter of the patterns without being that letter in lower case.
+OTHER_CASE = re.compile("[\u0130\u0131\u017f\u1c80-\u1c88]")
+CHOICES = 24  # spellings of one piece of a pattern that are spelt out, at most
+
+
+def spelt(op, arg) -> set[str] | None:
+    """All texts, in lower case, that a piece of a parsed pattern matches, if it is certain that they are few."""
+    if op is C.LITERAL:
+        return {chr(arg).lower()}
+    if op is C.AT:
+        return {""}
+    if op is C.IN and all(o is C.LITERAL for o, _ in arg):
+        return {chr(x).lower() for _, x in arg}
+    if op is C.MAX_REPEAT and arg[:2] == (0, 1):
+        parts, optional = [arg[2]], {""}
+    elif op is C.SUBPATTERN:
+        parts, optional = [arg[3]], set()
+    elif op is C.BRANCH:
+        parts, optional = arg[1], set()
+    else:
+        return None
+    found = set(optional)
+    for part in parts:
+        texts = {""}
+        for x in part:
+            more = spelt(*x)
+            if more is None or len(more) * len(texts) > CHOICES:
+                return None
+            texts = {t + m for t in texts for m in more}
+        found |= texts
+    return found if len(found) <= CHOICES else None
+
+
+def needed(part) -> list[frozenset[str]]:
+    """What a text in lower case must hold to match a parsed pattern: of each set at least one; the most telling set comes first."""
+    sets, run = [], {""}
+    for op, arg in part:
+        texts = spelt(op, arg)
+        if texts is not None and len(run) * len(texts) <= CHOICES:
+            run = {r + t for r in run for t in texts}
+            continue
+        sets.append(run)
+        run = texts or {""}
+        if texts is None and op is C.SUBPATTERN:
+            sets += needed(arg[3])
+        elif texts is None and op is C.BRANCH and all(each := [needed(x) for x in arg[1]]):
+            sets.append(set().union(*(x[0] for x in each)))
+        elif texts is None and op is C.MAX_REPEAT and arg[0]:
+            sets += needed(arg[2])
+    return sorted((frozenset(s) for s in [*sets, run] if "" not in s), key=lambda s: -min(map(len, s)))
+
+
+def quick_look(*patterns: re.Pattern) -> list[tuple[str, tuple[frozenset[str], ...]]]:
+    """Derived from the patterns: a text in lower case that matches one of them holds one of these texts, and one of each set beside it."""
+    look: dict[str, set[tuple[frozenset[str], ...]]] = {}
+    for p in patterns:
+        parsed = list(parser.parse(p.pattern, p.flags))
+        alternatives = parsed[0][1][1] if len(parsed) == 1 and parsed[0][0] is C.BRANCH else [parsed]
+        for sets in map(needed, alternatives):
+            for text in sets[0] if sets else [""]:
+                look.setdefault(text, set()).add(tuple(sets[1:]))
+    pairs = sorted({(text, rest) for text, rests in look.items() for rest in rests}, key=lambda x: (len(x[0]), len(x[1])))
+    kept: list[tuple[str, tuple[frozenset[str], ...]]] = []
+    for text, rest in pairs:
+        if not any(t in text and set(r) <= set(rest) for t, r in kept):
+            kept.append((text, rest))
+    return kept
+
+
+def trie(texts: set[str]) -> str:
+    """A pattern that finds any of the texts, letter by letter."""
+    if "" in texts:
+        return ""
+    heads = sorted({t[0] for t in texts})
+    ways = [re.escape(h) + trie({t[1:] for t in texts if t[0] == h}) for h in heads]
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+
+#: What a text must hold for any of the patterns, and a first look for all of it at once.
+QUICK = quick_look(TITLE, NOTICE, ERROR, FILLER)
+FIRST = re.compile(trie({text for text, _ in QUICK}))
+
+
+def hopeless(u: str) -> bool:
+    """Whether it is certain that none of the patterns matches."""
+    low = u.lower()
+    if FIRST.search(low):
+        for text, rest in QUICK:
+            if text in low and all(any(x in low for x in r) for r in rest):
+                return False
+    return not OTHER_CASE.search(u)
 
 
 def clean(text: str) -> str:
@@ -203,8 +288,7 @@ def wording(unit: str) -> str | None:
         letters = sum(map(len, words))
         if letters >= 14 and sum(len(w) for w in words if HOME_ROW.issuperset(w)) > 0.9 * letters:
             return "filler"
-    low = u.lower()
-    if not any(stem in low for stem in STEMS) and not OTHER_SCRIPT.search(u):
+    if hopeless(u):
         return None
     if TITLE.search(u):
         return "error"
