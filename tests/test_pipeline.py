@@ -19,3 +19,11 @@ def test_end_to_end(spark):
     assert [r for r in got if r.whitelisted_side == "output"][0].whitelist_factor == 0.15
     bare = pipeline.run(rows.limit(50), some).collect()
     assert len(bare) == 50 and all(r.score_graph == 0.0 for r in bare)
+
+
+def test_lists_in_any_notation(spark):
+    rows = generator.transactions(spark, 60)
+    lists = [c for c in rows.columns if c.endswith(("_addresses", "_amounts"))]
+    other = rows.withColumns({c: F.concat(F.lit("["), F.replace(c, F.lit("|"), F.lit(", ")), F.lit("]")) for c in lists})
+    none = rows.limit(0).select(F.lit("").alias("address"), F.lit("").alias("entity_name"))
+    assert sorted(pipeline.run(other, none).collect()) == sorted(pipeline.run(rows, none).collect())

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell import constants as K
 from tracewell.functions import columns as X
+from tracewell.operators.list_tokens import list_items
 
 #: Other names for the reasons.
 REASON_ALIASES = {"missing_id": "missing_txid", "duplicate": "duplicate_txid", "bad_timestamp": "unparseable_timestamp", "no_addresses": "empty_addresses", "bad_amount": "negative_or_non_numeric_amount"}
+#: A missing word in a list; a number whose digits are grouped.
+GAP = r"(?i)(?<![\w.])(?:nan|none)(?![\w.])"
+GROUPED = r"^[+-]?\d{1,3}(?:,\d{3})+(?:\.\d*)?$"
 REQUIRED = ("txid", "input_addresses", "output_addresses", "input_amounts", "output_amounts")
 
 
@@ -18,11 +22,22 @@ def check_columns(df: DataFrame) -> None:
         raise ValueError(f"missing columns: {sorted(missing)}")
 
 
-def judged(df: DataFrame, order: str = "row_idx", ts: str = "ts") -> DataFrame:
+def items_of(cell: str, any_notation: bool) -> Column:
+    """The values of a list cell: of a pipe list, or of a list in any of the notations that ``list_tokens`` reads."""
+    return list_items(F.col(cell).cast("string")) if any_notation else X.pipe_strings(cell)
+
+
+def whole_amounts(items: str, cell: str) -> Column:
+    """Amounts of a list in any notation: commas that group digits go, and a missing word beside values stays an item, so that it's no number here either."""
+    plain = F.transform(items, lambda x: F.when(x.rlike(GROUPED), F.replace(x, F.lit(","), F.lit(""))).otherwise(x))
+    return F.when((F.size(items) > 0) & F.col(cell).rlike(GAP), F.concat(plain, F.array(F.lit("nan")))).otherwise(plain)
+
+
+def judged(df: DataFrame, order: str = "row_idx", ts: str = "ts", any_notation: bool = False) -> DataFrame:
     """Canonical columns and ``reason`` (null for accepted rows); the first reason of the fixed order counts.
 
     A row repeats its txid if an earlier row of that txid would be accepted on its own. Rows without a txid have no repeats; they are spread over all partitions.
-    Extra columns are dropped here, so they cannot clash.
+    Extra columns are dropped here, so they cannot clash. Lists are parted by ``|`` alone, as in the original, unless ``any_notation`` asks for ``list_tokens``.
     """
     check_columns(df)
     have = set(df.columns)
@@ -36,11 +51,16 @@ def judged(df: DataFrame, order: str = "row_idx", ts: str = "ts") -> DataFrame:
         F.coalesce(opt("src_port", "int"), F.lit(0)).alias("src_port"),
         F.coalesce(opt("dst_port", "int"), F.lit(0)).alias("dst_port"),
         F.when(fee.isNotNull() & ~F.isnan(fee), fee).otherwise(K.DEFAULT_FEE).alias("fee"),
-        X.pipe_strings("input_addresses").alias("ins"),
-        X.pipe_strings("output_addresses").alias("outs"),
-        X.pipe_strings("input_amounts").alias("in_items"),
-        X.pipe_strings("output_amounts").alias("out_items"),
+        items_of("input_addresses", any_notation).alias("ins"),
+        items_of("output_addresses", any_notation).alias("outs"),
+        items_of("input_amounts", any_notation).alias("in_items"),
+        items_of("output_amounts", any_notation).alias("out_items"),
+        F.col("input_amounts").cast("string").alias("in_cell"),
+        F.col("output_amounts").cast("string").alias("out_cell"),
     )
+    if any_notation:
+        rows = rows.withColumns({f"{k}_items": whole_amounts(f"{k}_items", f"{k}_cell") for k in ("in", "out")})
+    rows = rows.drop("in_cell", "out_cell")
     own = (
         F.when(F.col("txid").isNull() | F.lower("txid").isin("", "nan", "none", "null", "nat"), "missing_txid")
         .when(F.col("ts").isNull(), "unparseable_timestamp")
@@ -55,9 +75,9 @@ def judged(df: DataFrame, order: str = "row_idx", ts: str = "ts") -> DataFrame:
     return rows.withColumn("reason", reason).drop("own")
 
 
-def canonical(df: DataFrame, order: str = "row_idx", ts: str = "ts") -> DataFrame:
+def canonical(df: DataFrame, order: str = "row_idx", ts: str = "ts", any_notation: bool = False) -> DataFrame:
     """The accepted rows with amounts as doubles and their sums."""
-    rows = judged(df, order, ts).where("reason IS NULL").drop("reason")
+    rows = judged(df, order, ts, any_notation).where("reason IS NULL").drop("reason")
     rows = rows.select("*", X.numbers("in_items").alias("in_amts"), X.numbers("out_items").alias("out_amts")).drop("in_items", "out_items")
     return rows.select("*", X.total("in_amts").alias("total_in"), X.total("out_amts").alias("total_out"), F.size("ins").alias("fan_in"), F.size("outs").alias("fan_out"))
 

@@ -19,12 +19,12 @@ SPOKEN = {k: v for k, v in explain.LABELS.items() if k in ("fan_in", "fan_out",
 def run(ledger: DataFrame, whitelist: DataFrame, watchlist: DataFrame | None = None, wire: DataFrame | None = None) -> DataFrame:
     """One row per accepted transaction: entity, type, anomaly, whitelist, watchlist, taint, fused ``risk_score``, ``risk_tier``, ``explanation``.
 
-    ``ledger``: raw rows with ``row_idx`` and ``ts``. Without a watchlist there is no taint; without telemetry a transaction counts as seen once. What a model or an iteration needs is
+    ``ledger``: raw rows with ``row_idx`` and ``ts``, lists in any notation. Without a watchlist there is no taint; without telemetry a transaction counts as seen once. What a model or an iteration needs is
     written to the shared folder once; the rest is one plan.
     """
     spark = ledger.sparkSession
     scratch = Scratch(spark, "pipeline")
-    t = scratch.cut(ingest.canonical(ledger), "tx")
+    t = scratch.cut(ingest.canonical(ledger, any_notation=True), "tx")
     chain = scratch.cut(chains.peel_chains(t), "chains")
     seen = correlate.first_seen(wire) if wire is not None else None
     f = scratch.cut(features.feature_matrix(t, chain, entities.entities(t), seen), "features")
@@ -63,7 +63,7 @@ def run(ledger: DataFrame, whitelist: DataFrame, watchlist: DataFrame | None = N
 
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     ledger = read(spark, d, "tx_ledger")
-    return run(ledger, read(spark, d, "institutional_whitelist"), base.watchlist(base.tx(spark, d)), read(spark, d, "telemetry"))
+    return run(ledger, read(spark, d, "institutional_whitelist"), base.watchlist(ingest.canonical(ledger, any_notation=True)), read(spark, d, "telemetry"))
 
 
 QUERIES = {"pipeline": pipeline}
