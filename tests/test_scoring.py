@@ -87,6 +87,28 @@ def test_hdbscan_finds_blobs():
     assert (label[:110] >= 0).mean() > 0.9 and set(label[110:]) <= {-1, label[0], label[60]}
 
 
+def test_density_clusters_learn_from_all_entities(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(0, 1, (4200, 3)), rng.normal(30, 0.1, (12, 3)), rng.normal(-30, 0.1, (300, 3)), np.full((15, 3), 60.0)])
+    df = spark.createDataFrame([(f"e{i:05}", *map(float, r)) for i, r in enumerate(x)], "e string, a double, b double, c double")
+    got = {r.e: r.behaviour_cluster for r in clusters.behaviour_clusters(df, "e", ["a", "b", "c"]).collect()}
+    label = [got[f"e{i:05}"] for i in range(len(x))]
+    for a, b in ((4200, 4212), (4512, 4527)):
+        assert len(set(label[a:b])) == 1 and label[a] != "Outlier" and label.count(label[a]) == b - a
+    y = np.round(np.vstack([x[:400], x[4190:]]), 1)
+    core = np.array([np.sort(np.sqrt(((y - p) ** 2).sum(1)))[9] for p in y])
+    for alone in (10**9, 0):  # on the driver, and by tasks
+        monkeypatch.setattr(clusters, "ALONE", alone)
+        tree = clusters.reachability_tree(spark, y, 10)
+        assert len(tree) == len(y) - 1 and np.allclose(np.sort(tree[:, 2]), np.sort(clusters.spanning_tree(y, core)[:, 2]))
+
+
+def test_profiles_are_whole():
+    from tracewell.plans import models
+
+    assert set(models.PROFILE) >= {"total_btc", "mean_risk"} and len(models.PROFILE) == 10
+
+
 def test_louvain_finds_cliques(spark):
     edges = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "abc" for i in range(6) for j in range(i)] + [("a0", "b0", 1.0), ("b0", "c0", 1.0)]
     df = spark.createDataFrame(edges, "a string, b string, w double")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.runtime import Scratch, small_side, with_row
+from tracewell.runtime import Scratch, partitions, small_side, with_row
 
-SAMPLE = 4000  # entities from which density clusters are learnt, at most; the others join the cluster of their nearest
+NEAR = 24  # nearest entities that are kept of each; edges beyond them are searched for where a tree needs them
+CELLS = 4_000_000  # distances held at once
+ALONE = 5_000_000  # distances that are no job of their own
 
 
 def standardised(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -44,7 +46,11 @@ def hdbscan(x: np.ndarray, least: int) -> np.ndarray:
     if n < 2 * least:
         return np.zeros(n, np.int64) if n >= least else np.full(n, -1)
     core = np.array([np.partition(np.sqrt(((x - p) ** 2).sum(1)), least - 1)[least - 1] for p in x])
-    tree = spanning_tree(x, core)
+    return selected(spanning_tree(x, core), n, least)
+
+
+def selected(tree: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Labels of ``n`` points by their spanning tree."""
     tree = tree[np.argsort(tree[:, 2], kind="stable")]
     parent, size, kids, height = list(range(2 * n - 1)), [1] * n, {}, {}
 
@@ -119,23 +125,106 @@ def hdbscan(x: np.ndarray, least: int) -> np.ndarray:
     return label
 
 
-def behaviour_clusters(profile: DataFrame, key: str, features: Sequence[str], least: int = 10, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
-    """``key``, ``behaviour_cluster`` ("Cluster 1" .., or "Outlier"). Learnt from the entities with the least keyed hashes, at most ``sample``; every other entity takes the label of its nearest among them."""
-    rows = standardised(profile.select(F.col(key).alias("k"), *features), features)
-    fit = rows.orderBy(F.xxhash64("k", F.lit(seed)), "k").limit(sample).toPandas()
-    x = fit[list(features)].to_numpy(float)
-    label = hdbscan(x, min(least, max(2, len(x)))) if len(x) else np.zeros(0, np.int64)
-    shared = profile.sparkSession.sparkContext.broadcast((x, label))
+def nearest(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Of each of some points: its ``k`` nearest (itself among them), their distances, and a distance below which no other point lies."""
+    norm = (x * x).sum(1)
+    square = norm[ids][:, None] + norm - 2 * (x[ids] @ x.T)
+    near = np.argpartition(square, k - 1, axis=1)[:, :k]
+    d = np.sqrt(((x[near] - x[ids][:, None]) ** 2).sum(2))
+    low = np.take_along_axis(square, near, 1).max(1) - 1e-13 * (norm[ids] + norm.max())  # less what cancellation may hide
+    return np.column_stack([near, d, np.sqrt(np.maximum(low, 0)) if k < len(x) else np.full(len(ids), np.inf)])
+
+
+def outward(x: np.ndarray, ids: np.ndarray, core: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Of each of some points: the nearest point, by mutual reachability, of another part, and its distance."""
+    d = np.zeros((len(ids), len(x)))
+    for column in x.T:
+        d += (column[ids][:, None] - column) ** 2
+    d = np.maximum(np.maximum(np.sqrt(d), core), core[ids][:, None])
+    d[part[ids][:, None] == part] = np.inf
+    to = d.argmin(1)
+    return np.column_stack([to, d[np.arange(len(ids)), to]])
+
+
+def spread(spark: SparkSession, work: Callable[..., np.ndarray], ids: np.ndarray, x: np.ndarray, *more) -> np.ndarray:
+    """``work(x, some of the ids, *more)`` for all ids, in order: a row for each, computed by tasks that share the points."""
+    step = max(1, CELLS // len(x))
+    if len(ids) * len(x) <= ALONE:
+        return np.vstack([work(x, ids[i : i + step], *more) for i in range(0, len(ids), step)])
+    shared = spark.sparkContext.broadcast((work, ids, x, more))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, labels = shared.value
+        work, ids, x, more = shared.value
         for batch in it:
-            y = np.column_stack([np.asarray(batch.column(i + 1)) for i in range(len(features))])
-            near = np.array([int(np.argmin(((known - p) ** 2).sum(1))) for p in y], np.int64)
-            names = ["Outlier" if labels[i] < 0 else f"Cluster {labels[i] + 1}" for i in near]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string())], ["k", "behaviour_cluster"])
+            at = np.asarray(batch.column(0))
+            for i in range(0, len(at), step):
+                some = at[i : i + step]
+                rows = work(x, ids[some], *more)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([r.tobytes() for r in rows], pa.binary())], ["at", "row"])
+
+    found = spark.range(0, len(ids), 1, partitions(spark, 2)).mapInArrow(run, "at long, row binary").toArrow().sort_by("at")
+    shared.destroy()
+    return np.frombuffer(b"".join(found.column("row").to_pylist())).reshape(len(ids), -1)
+
 
-    return rows.mapInArrow(run, "k string, behaviour_cluster string").withColumnRenamed("k", key)
+def reachability_tree(spark: SparkSession, x: np.ndarray, least: int) -> np.ndarray:
+    """The spanning tree of the mutual reachability distances of all points, rows (a, b, distance), by Borůvka's rounds.
+
+    A part's shortest edge outward is looked for among the nearest of its points; only points that may have a shorter one beyond those are compared with all.
+    The largest part waits for the others, whose edges are enough.
+    """
+    n = len(x)
+    k = min(n, max(NEAR, least))
+    table = spread(spark, nearest, np.arange(n), x, k)
+    near, d, low = table[:, :k].astype(np.int64), table[:, k : 2 * k], table[:, 2 * k]
+    core = np.partition(d, least - 1, axis=1)[:, least - 1]
+    reach, low = np.maximum(np.maximum(d, core[near]), core[:, None]), np.maximum(low, core)
+    part, out = np.arange(n), []
+    while len(out) < n - 1:
+        w = np.where(part[near] != part[:, None], reach, np.inf)
+        at = w.argmin(1)
+        to, w = near[np.arange(n), at], w[np.arange(n), at]
+        best = np.full(n, np.inf)
+        np.minimum.at(best, part, w)
+        moves = part != np.bincount(part).argmax()
+        if len(unsure := np.flatnonzero(moves & (low < best[part]))):
+            found = spread(spark, outward, unsure, x, core, part)
+            shorter = found[:, 1] < w[unsure]
+            to[unsure[shorter]], w[unsure[shorter]] = found[shorter, 0].astype(np.int64), found[shorter, 1]
+        order = np.lexsort((w, part))
+        order = order[moves[order]]
+        first = order[np.unique(part[order], return_index=True)[1]]
+        up = np.arange(n)
+
+        def find(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        for i in first[np.argsort(w[first], kind="stable")]:
+            a, b = find(part[i]), find(part[to[i]])
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((i, to[i], w[i]))
+        for p in np.unique(part):
+            up[p] = find(p)
+        part = up[part]
+    return np.array(out).reshape(-1, 3)
+
+
+def behaviour_clusters(profile: DataFrame, key: str, features: Sequence[str], least: int = 10) -> DataFrame:
+    """``key``, ``behaviour_cluster`` ("Cluster 1" .., or "Outlier"), learnt from all entities. Their standardised features and the spanning tree (about 500 bytes an entity) are held by the driver."""
+    spark = profile.sparkSession
+    rows = standardised(profile.select(F.col(key).alias("k"), *features), features).orderBy("k").toArrow()
+    x = np.column_stack([rows.column(f).to_numpy() for f in features])
+    n, least = len(x), min(least, max(2, len(x)))
+    if n < 2 * least:
+        label = np.zeros(n, np.int64) if n >= least else np.full(n, -1)
+    else:
+        label = selected(reachability_tree(spark, x, least), n, least)
+    names = pa.array(["Outlier" if i < 0 else f"Cluster {i + 1}" for i in label], pa.string())
+    return spark.createDataFrame(pa.table({key: rows.column("k"), "behaviour_cluster": names}))
 
 
 def components_2d(profile: DataFrame, key: str, features: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from tracewell.runtime import read, with_row
 from tracewell.sources import generator
 
 FEATURES = ("amount_btc", "fee", "fan_in", "fan_out", "fee_rate_urgency", "port_risk_combined", "ip_observation_count", "observation_spread_s")
-PROFILE = ("tx_count", "mean_btc", "mean_fan_out", "mean_fan_in", "mean_fee_urgency", "mean_port_risk", "distinct_ips", "night_share")
+PROFILE = ("tx_count", "total_btc", "mean_btc", "mean_fan_out", "mean_fan_in", "mean_fee_urgency", "mean_port_risk", "distinct_ips", "night_share", "mean_risk")
 
 
 def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
