@@ -119,6 +119,22 @@ def test_louvain_finds_cliques(spark):
     assert {r.graph_community for r in sizes if r.size == max(x.size for x in sizes)} >= {"Community 1"}
 
 
+def test_louvain_goes_on_until_no_communities_merge(spark):
+    n = 90
+    df = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}", 1.0) for i in range(n)], "a string, b string, w double")
+    names = clusters.louvain(df)
+    got = {r.node: r.community for r in names.collect()}
+    degree = {}
+    for i in range(n + 1):
+        degree[got[f"n{i:03}"]] = degree.get(got[f"n{i:03}"], 0) + (1 if i in (0, n) else 2)
+    between = {}
+    for i in range(n):
+        a, b = sorted((got[f"n{i:03}"], got[f"n{i + 1:03}"]))
+        if a != b:
+            between[a, b] = between.get((a, b), 0) + 1
+    assert len(got) == n + 1 and between and all(w <= degree[a] * degree[b] / (2 * n) + 1e-6 for (a, b), w in between.items())
+
+
 def test_generator_is_the_same_on_any_cluster(spark):
     a = generator.transactions(spark, 200).collect()
     b = generator.transactions(spark, 200).repartition(9).orderBy("row_idx").collect()

@@ -15,6 +15,8 @@ from tracewell.runtime import Scratch, partitions, small_side, with_row
 
 NEAR = 24  # nearest entities that are kept of each; edges beyond them are searched for where a tree needs them
 CELLS = 4_000_000  # distances held at once
+LEAST_GAIN = 1e-7  # modularity that a round of moves must gain to count
+PATIENCE = 5  # rounds of moves without it after which a level of communities ends
 ALONE = 5_000_000  # distances that are no job of their own
 
 
@@ -234,17 +236,19 @@ def components_2d(profile: DataFrame, key: str, features: Sequence[str]) -> Data
     return out.select(key, F.col("a")[0].alias("pc1"), F.col("a")[1].alias("pc2"))
 
 
-def louvain(edges: DataFrame, levels: int = 2, rounds: int = 4) -> DataFrame:
-    """``node``, ``community`` of a weighted undirected graph (``a``, ``b``, ``w``): synchronous Louvain moves, then the same on the graph of communities.
+def louvain(edges: DataFrame) -> DataFrame:
+    """``node``, ``community`` of a weighted undirected graph (``a``, ``b``, ``w``): synchronous Louvain moves until no node gains by one, then the same on the graph of communities, until none merge.
 
-    In a round only the half of the nodes chosen by a keyed hash may move, and only to a smaller-named community among equals, so that neighbours don't swap places. A community is named by its smallest node.
+    In a round only the half of the nodes chosen by a keyed hash may move, so that neighbours don't swap places; the share halves while moves made at once don't raise modularity. A level ends
+    when no node would gain, or after ``PATIENCE`` such rounds, with its best division. A community is named by its smallest node.
     """
     scratch = Scratch(edges.sparkSession, "louvain")
     graph = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
     names: DataFrame | None = None
     degree: DataFrame | None = None  # of communities: what lies inside them counts on
     twice = 0.0
-    for level in range(levels):
+    level = 0
+    while True:
         ways = scratch.cut(graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "ways")
         if degree is None:
             degree = ways.groupBy("a").agg(F.sum("w").alias("k"))
@@ -252,25 +256,43 @@ def louvain(edges: DataFrame, levels: int = 2, rounds: int = 4) -> DataFrame:
         if not ways.limit(1).count():
             break
         label = scratch.cut(degree.withColumn("c", F.col("a")), "label")
-        for r in range(rounds):
+        r, stale, moved, top, kept, last = 0, 0, 0, float("-inf"), "", ""
+        while True:
             tot = label.groupBy("c").agg(F.sum("k").alias("tot"))
             near = ways.where("a <> b").join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("into"))
             own = label.select("a", F.col("c").alias("mine"), "k")
             gain = near.join(tot, "c").join(own, "a").withColumn("g", F.col("into") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)) / twice)
-            best = gain.groupBy("a").agg(F.max_by(F.struct("c", "g"), F.struct(F.col("g"), (F.col("c") == F.col("mine")))).alias("t"), F.max(F.when(F.col("c") == F.col("mine"), F.col("g"))).alias("stay"))
-            moves = F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2)) == 0
-            new = label.join(best, "a", "left").select("a", "k", F.when(moves & (F.col("t.g") > F.coalesce("stay", F.lit(0.0))), F.col("t.c")).otherwise(F.col("c")).alias("c"), F.col("c").alias("old"))
-            new = scratch.cut(new, "label")
-            changed = new.where("c <> old").limit(1).count()
-            label = new.drop("old")
-            if not changed and r:
+            same = F.col("c") == F.col("mine")
+            best = gain.groupBy("a").agg(F.max_by(F.struct("c", "g"), F.struct(F.col("g"), same)).alias("t"), F.max(F.when(same, F.col("g"))).alias("stay"), F.max(F.when(same, F.col("into"))).alias("inside"))
+            wants = F.coalesce(F.col("t.g") > F.coalesce("stay", F.lit(0.0)) + 1e-9, F.lit(False))
+            moves = wants & (F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2 << stale)) == 0)
+            new = label.join(best, "a", "left").select("a", "k", F.when(moves, F.col("t.c")).otherwise(F.col("c")).alias("c"), F.col("c").alias("old"), wants.alias("wants"), moves.alias("moves"), "inside")
+            slot = f"moved-{level}-{r}"
+            new = scratch.cut(new, slot)
+            inside, wanting, moving = new.agg(F.sum("inside"), F.count_if("wants"), F.count_if("moves")).collect()[0]
+            square = new.groupBy("old").agg(F.sum("k").alias("tot")).agg(F.sum(F.col("tot") * F.col("tot"))).collect()[0][0]
+            q = (inside or 0.0) / twice - square / twice**2  # of the labels before the moves, less what no move of this level changes
+            if q > top:
+                scratch.drop(kept)
+                stale, top, kept, found = 0 if q > top + LEAST_GAIN else stale + moved, q, slot, new.select("a", "k", F.col("old").alias("c"))
+            else:
+                stale += moved
+            if last != kept:
+                scratch.drop(last)
+            if not wanting or stale >= PATIENCE:
                 break
+            label, last, moved, r = new.select("a", "k", "c"), slot, int(moving > 0), r + 1
+        label = found
         named = label.groupBy("c").agg(F.min("a").alias("name"))
         label = scratch.cut(label.join(named, "c").select("a", F.col("name").alias("c"), "k"), f"named-{level}")
+        merged = label.where("a <> c").limit(1).count()
         degree = label.groupBy(F.col("c").alias("a")).agg(F.sum("k").alias("k"))
         names = label.select(F.col("a").alias("node"), F.col("c").alias("community")) if names is None else names.join(label.select(F.col("a").alias("community"), F.col("c").alias("up")), "community", "left").select("node", F.coalesce("up", "community").alias("community"))
         names = scratch.cut(names, f"names-{level}")
         graph = ways.where("a < b").join(label.select("a", F.col("c").alias("ca")), "a").join(label.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
+        if not merged:
+            break
+        level += 1
     return names if names is not None else edges.select(F.col("a").alias("node"), F.col("a").alias("community")).limit(0)
 
 
