@@ -109,6 +109,21 @@ def test_profiles_are_whole():
     assert set(models.PROFILE) >= {"total_btc", "mean_risk"} and len(models.PROFILE) == 10
 
 
+def test_calibrated_forests_learn_from_all_other_folds(spark, monkeypatch):
+    from tracewell.ml import supervised
+
+    asked, real = [], supervised.forest
+    monkeypatch.setattr(supervised, "forest", lambda trees, depth: (asked.append((trees, depth)), real(3, 3))[1])
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, float(rng.normal() + 3 * (i % 6 == 0)), float(rng.normal()), i % 6 == 0) for i in range(180)], "id long, a double, b double, y boolean")
+    dealt = supervised.assembled(df, "id", ["a", "b"], "y", 5, 3).groupBy("fold", "part", "label").count().collect()
+    assert {(r.label, r["count"]) for r in dealt} == {(1.0, 2), (0.0, 10)} and len(dealt) == 30
+    got = supervised.out_of_fold(df, "id", ["a", "b"], "y").collect()
+    assert asked == [(300, 30)] * 15
+    assert sorted(r.id for r in got) == list(range(180)) and all(0 <= r.ml_probability <= 100 for r in got)
+    assert np.mean([r.ml_probability for r in got if r.label]) > 30 + np.mean([r.ml_probability for r in got if not r.label])
+
+
 def test_louvain_finds_cliques(spark):
     edges = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "abc" for i in range(6) for j in range(i)] + [("a0", "b0", 1.0), ("b0", "c0", 1.0)]
     df = spark.createDataFrame(edges, "a string, b string, w double")

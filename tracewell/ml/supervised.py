@@ -1,4 +1,4 @@
-"""A calibrated forest: weighted random forests on folds, isotonic calibration on what each left out."""
+"""A calibrated forest: weighted random forests on stratified folds, isotonic calibration on what each left out, averaged."""
 
 from __future__ import annotations
 
@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.ml.iforest import value
-from tracewell.operators.features import leak_free
-from tracewell.runtime import with_row
+from tracewell.operators.features import fold_of, leak_free
+from tracewell.runtime import Scratch, with_row
 
 
-def assembled(df: DataFrame, key: str, features: Sequence[str], label: str, folds: int, seed: int = 42) -> DataFrame:
-    """Vectors with balanced class weights (n / 2 n_class) and a keyed fold."""
+def assembled(df: DataFrame, key: str, features: Sequence[str], label: str, folds: int, parts: int) -> DataFrame:
+    """Vectors with balanced class weights (n / 2 n_class), a stratified ``fold``, and within each fold a stratified ``part``. ``key``: a unique long."""
     leak_free(features)
-    rows = df.select(F.col(key).alias("key"), F.col(label).cast("double").alias("label"), F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int").alias("fold"), *[value(f).alias(f) for f in features]).where("label IS NOT NULL")
+    rows = df.select(F.col(key).alias("key"), F.col(label).cast("double").alias("label"), *[value(f).alias(f) for f in features]).where("label IS NOT NULL")
     share = rows.agg(F.avg("label").alias("p"), F.count(F.lit(1)).alias("n"))
     weighted = with_row(rows, share).withColumn("weight", F.when(F.col("label") == 1, 0.5 / F.col("p")).otherwise(0.5 / (1 - F.col("p"))))
-    return VectorAssembler(inputCols=list(features), outputCol="x").transform(weighted).select("key", "label", "fold", "weight", "x")
+    dealt = fold_of(weighted, "label", "key", folds).withColumnRenamed("fold", "outer")
+    dealt = fold_of(dealt.withColumn("group", F.concat_ws(" ", F.col("label").cast("string"), F.col("outer").cast("string"))), "group", "key", parts).withColumnsRenamed({"fold": "part", "outer": "fold"})
+    return VectorAssembler(inputCols=list(features), outputCol="x").transform(dealt).select("key", "label", "fold", "part", "weight", "x")
 
 
 def forest(trees: int, depth: int, seed: int = 42) -> RandomForestClassifier:
@@ -33,17 +35,22 @@ def probability(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def out_of_fold(df: DataFrame, key: str, features: Sequence[str], label: str, folds: int = 3, trees: int = 30, depth: int = 8) -> DataFrame:
-    """``key``, ``label``, ``ml_probability`` (0-100) of every row by a forest that did not see it, calibrated by isotonic regression on the next fold."""
-    rows = assembled(df, key, features, label, folds)
-    parts = []
+def out_of_fold(df: DataFrame, key: str, features: Sequence[str], label: str, folds: int = 5, parts: int = 3, trees: int = 300, depth: int = 30) -> DataFrame:
+    """``key``, ``label``, ``ml_probability`` (0-100) of every labelled row by models that did not see its fold: the mean of ``parts`` forests, each calibrated by isotonic regression on the part it left out.
+
+    A depth of 30 is the most that Spark's forests take.
+    """
+    scratch = Scratch(df.sparkSession, "supervised")
+    rows = scratch.cut(assembled(df, key, features, label, folds, parts), "rows")
+    found: list[DataFrame] = []
     for k in range(folds):
-        cal = (k + 1) % folds
-        train = rows.where((F.col("fold") != k) & (F.col("fold") != cal)) if folds > 2 else rows.where(F.col("fold") != k)
-        model = forest(trees, depth).fit(train)
-        iso = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight_one").fit(probability(model, rows.where(F.col("fold") == cal)).withColumn("weight_one", F.lit(1.0)))
-        parts.append(iso.transform(probability(model, rows.where(F.col("fold") == k))).select("key", "label", F.col("prediction").alias("p")))
-    out = parts[0]
-    for p in parts[1:]:
+        for c in range(parts):
+            model = forest(trees, depth).fit(rows.where((F.col("fold") != k) & (F.col("part") != c)))
+            left = probability(model, rows.where((F.col("fold") != k) & (F.col("part") == c))).withColumn("weight_one", F.lit(1.0))
+            iso = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight_one").fit(left)
+            scored = iso.transform(probability(model, rows.where(F.col("fold") == k)))
+            found.append(scratch.cut(scored.select("key", "label", F.col("prediction").alias("p")), f"scored-{k}-{c}"))
+    out = found[0]
+    for p in found[1:]:
         out = out.unionByName(p)
-    return out.select(F.col("key").alias(key), "label", (F.col("p") * 100).alias("ml_probability"))
+    return out.groupBy("key", "label").agg((F.avg("p") * 100).alias("ml_probability")).select(F.col("key").alias(key), "label", "ml_probability")
