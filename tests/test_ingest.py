@@ -41,9 +41,9 @@ def test_lists_in_any_notation(spark):
     rows = [row(i, f"t{i}", ins=a, ia=n) for i, (a, n) in enumerate(cells)]
     rows += [row(90, "u", ia='"1,501.26";"2"', ins="a b"), row(91, "v", ia="1|nan"), row(92, "w", ia="[-1]"), row(93, "x", ins="[nan]"), row(94, "y", ia="None"), row(95, "z", ia=None)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r.row_idx: (r.ins, r.in_amts, r.fan_in) for r in ingest.canonical(df, any_notation=True).collect()}
+    got = {r.row_idx: (r.ins, r.in_amts, r.fan_in) for r in ingest.canonical(df).collect()}
     assert got == {i: (["a", "b"], [1.0, 2.0], 2) for i in range(len(cells))} | {90: (["a", "b"], [1501.26, 2.0], 2)}
-    why = {r.row_idx: r.reason for r in ingest.judged(df, any_notation=True).collect()}
+    why = {r.row_idx: r.reason for r in ingest.judged(df).collect()}
     assert [why[i] for i in range(91, 96)] == [*["negative_or_non_numeric_amount"] * 2, "empty_addresses", *["negative_or_non_numeric_amount"] * 2]
 
 

@@ -3,7 +3,8 @@
 The machine reads a cell once. A lexer (one regular expression, so a finite automaton) names each run of
 characters: value, separator, comma, quote, bracket, escape. The state is the open quote, the bracket depth and the item so far:
 
-* a separator, a blank or a bracket ends the item, inside quotes too (``"a;b"`` holds two values);
+* a separator, a blank or a bracket ends the item, inside quotes too (``"a;b"`` holds two values: here whole lists stand in quotes, so the method's
+  rule that only delimiters outside quotes count would give wrong items);
 * a comma ends it as well, except between digits of a number inside quotes, where it groups digits (``"1,501.26"``);
 * quotes and brackets are never part of a value; a backslash makes the next character part of the value;
 * an unclosed quote or bracket ends with the cell.
@@ -77,6 +78,17 @@ def list_items(cells: pa.Array) -> pa.Array:
 
 list_items = list_items.asNondeterministic()  # so that a filter on its result doesn't make the optimizer tokenize twice
 
+#: Cells that any notation reads alike: values of letters, digits, points and signs, parted by ``|``, without a blank or a quote.
+PLAIN = r"^[0-9A-Za-z.+|_-]*$"
+
+
+def any_items(cell: str | Column) -> Column:
+    """As ``list_items``, but plain pipe lists are split by an expression; only cells in other notations go through Python."""
+    x = (F.col(cell) if isinstance(cell, str) else cell).cast("string")
+    plain = F.coalesce(x.rlike(PLAIN), F.lit(True))
+    split = F.filter(F.split(F.coalesce(x, F.lit("")), r"\|"), lambda v: ~F.lower(v).isin("", *sorted(MISSING)))
+    return F.when(plain, split).otherwise(list_items(F.when(~plain, x)))
+
 
 def list_rows(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """One row for each value in the list cells ``fields``: the key columns, ``field_name``, ``pos`` from 1, ``item``.

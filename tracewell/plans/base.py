@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from tracewell import constants as K
 from tracewell.functions import columns as X
 from tracewell.operators import chains, ingest, intel
-from tracewell.runtime import read
+from tracewell.operators.list_tokens import MISSING
+from tracewell.runtime import Scratch, read
 
 
 def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted transactions of the ledger."""
+    """Accepted transactions of the ledger, for plans that read them once."""
     return ingest.canonical(read(spark, sf_dir, "tx_ledger"))
 
 
+def cut_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written to the shared folder once, for plans that read them several times."""
+    return Scratch(spark, "ledger").cut(tx(spark, sf_dir), "tx")
+
+
 def watchlist(t: DataFrame) -> DataFrame:
     """A watchlist drawn from the ledger itself: what anonymiser ports paid to, and from where they were used."""
     anon = t.where(F.col("src_port").isin(*K.FUSION_ANON_PORTS))
@@ -27,7 +33,7 @@ def watchlist(t: DataFrame) -> DataFrame:
 
 def classified(spark: SparkSession, sf_dir: str, t: DataFrame | None = None) -> DataFrame:
     """Transactions with ``kind``, chain length and whitelisted sides."""
-    t = tx(spark, sf_dir) if t is None else t
+    t = cut_tx(spark, sf_dir) if t is None else t
     chain = chains.peel_chains(t).select("row_idx", "chain_length", "chain_head", "hop_position", "fund_ratio")
     side = intel.whitelisted(t, intel.whitelist(read(spark, sf_dir, "institutional_whitelist")))
     rows = t.join(chain, "row_idx", "left").join(side, "row_idx", "left").withColumn("chain_length", F.coalesce("chain_length", F.lit(0)))
@@ -36,10 +42,28 @@ def classified(spark: SparkSession, sf_dir: str, t: DataFrame | None = None) ->
     return rows.withColumn("structural", kind).withColumn("kind", X.final_type("structural", "whitelisted_side"))
 
 
-def _list(cell: str) -> str:
+def _pipe(cell: str) -> str:
     return f"list_filter(list_transform(string_split(CASE WHEN coalesce({cell}, '') IN ('', 'nan', 'None') THEN '' ELSE {cell} END, '|'), lambda x: trim(x)), lambda x: x <> '')"
 
 
+#: Commas between digits directly inside a pair of quotes become "_" and are turned back after the split; no two are closer than three digits.
+GROUPED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '"([0-9.]+),([0-9][0-9.,eE+-]*)"', '"\1_\2"', 'g'), '''([0-9.]+),([0-9][0-9.,eE+-]*)''', '''\1_\2''', 'g'), '"([0-9._]+),([0-9][0-9.,eE+-]*)"', '"\1_\2"', 'g'), '''([0-9._]+),([0-9][0-9.,eE+-]*)''', '''\1_\2''', 'g')"""
+_MISSING = ", ".join(f"'{x}'" for x in sorted(MISSING))
+
+
+def _words(cell: str) -> str:
+    return f"coalesce(regexp_extract_all({cell}, '[0-9A-Za-z.+_-]+'), [])"
+
+
+def _addresses(cell: str) -> str:
+    return f"list_filter({_words(cell)}, lambda x: lower(x) NOT IN ({_MISSING}))"
+
+
+def _amounts(cell: str) -> str:
+    """A missing word beside values stays, as an item that is no number; grouped digits are joined."""
+    return f"list_transform(CASE WHEN len({_addresses(cell)}) = 0 THEN [] ELSE {_words(GROUPED.format(c=cell))} END, lambda x: replace(x, '_', ''))"
+
+
 def _numbers(items: str) -> str:
     return f"list_filter(list_transform({items}, lambda x: try_cast(x AS DOUBLE)), lambda x: x IS NOT NULL)"
 
@@ -54,7 +78,7 @@ def _has(items: str) -> str:
 
 JUDGED = f"""
 led0 AS (SELECT row_idx, trim(txid) AS txid, ts, src_ip, dst_ip, script_type, geo_country, coalesce(src_port, 0) AS src_port, coalesce(dst_port, 0) AS dst_port,
-  CASE WHEN fee IS NOT NULL AND NOT isnan(fee) THEN fee ELSE 0.0001 END AS fee, {_list('input_addresses')} AS ins, {_list('output_addresses')} AS outs, {_list('input_amounts')} AS in_items, {_list('output_amounts')} AS out_items FROM tx_ledger),
+  CASE WHEN fee IS NOT NULL AND NOT isnan(fee) THEN fee ELSE 0.0001 END AS fee, {_addresses('input_addresses')} AS ins, {_addresses('output_addresses')} AS outs, {_amounts('input_amounts')} AS in_items, {_amounts('output_amounts')} AS out_items FROM tx_ledger),
 led1 AS (SELECT *, CASE WHEN txid IS NULL OR lower(txid) IN ('', 'nan', 'none', 'null', 'nat') THEN 'missing_txid' WHEN ts IS NULL THEN 'unparseable_timestamp'
   WHEN NOT ({_has('ins')} AND {_has('outs')}) THEN 'empty_addresses' WHEN NOT ({_valid('in_items')} AND {_valid('out_items')}) OR fee < 0 THEN 'negative_or_non_numeric_amount' END AS own FROM led0),
 judged AS (SELECT *, CASE WHEN own = 'missing_txid' THEN own WHEN max((own IS NULL)::INT) OVER (PARTITION BY txid ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 THEN 'duplicate_txid' ELSE own END AS reason FROM led1)"""

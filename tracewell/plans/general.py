@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.operators.list_tokens import list_items, list_rows
 from tracewell.operators.records import loaded, parse_lines, rejected
 from tracewell.operators.skew import split_totals
+from tracewell.plans.base import GROUPED
 from tracewell.runtime import read, small_side
 
 LIST_CELLS = ("input_addresses", "output_addresses", "input_amounts", "output_amounts")
@@ -94,8 +95,6 @@ wl AS (SELECT DISTINCT lower(trim(address)) AS address FROM institutional_whitel
 stands AS (SELECT row_idx, ts, {SATS.format(x='fee')}, unnest(list_distinct(regexp_extract_all(lower(concat_ws('|', input_addresses, output_addresses)), '[0-9a-z]+'))) AS address FROM tx_ledger),
 hits AS (SELECT row_idx, ts, sats, address FROM stands JOIN wl USING (address))"""
 
-#: Commas between digits directly inside a pair of quotes become "_" and are turned back after the split; no two are closer than three digits.
-GROUPED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '"([0-9.]+),([0-9][0-9.,eE+-]*)"', '"\1_\2"', 'g'), '''([0-9.]+),([0-9][0-9.,eE+-]*)''', '''\1_\2''', 'g'), '"([0-9._]+),([0-9][0-9.,eE+-]*)"', '"\1_\2"', 'g'), '''([0-9._]+),([0-9][0-9.,eE+-]*)''', '''\1_\2''', 'g')"""
 CELLS = " UNION ALL ".join(f"SELECT row_idx, '{c}' AS field_name, {GROUPED.format(c=c) if 'amounts' in c else c} AS cell FROM tx_ledger" for c in LIST_CELLS)
 
 ORACLE = {

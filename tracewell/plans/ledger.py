@@ -53,7 +53,7 @@ def mixer_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def change_address(spark: SparkSession, d: str) -> DataFrame:
-    return entities.change_addresses(base.tx(spark, d))
+    return entities.change_addresses(base.cut_tx(spark, d))
 
 
 def first_observation(spark: SparkSession, d: str) -> DataFrame:
@@ -69,20 +69,20 @@ def layer_match_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def freq_encode(spark: SparkSession, d: str) -> DataFrame:
-    f = feature_matrix(base.tx(spark, d))
+    f = feature_matrix(base.cut_tx(spark, d))
     return f.select("row_idx", X.rounded("script_type_freq", 6).alias("script_type_freq"), X.rounded("src_ip_freq", 6).alias("src_ip_freq"))
 
 
 def port_risk(spark: SparkSession, d: str) -> DataFrame:
-    return feature_matrix(base.tx(spark, d)).select("row_idx", "src_port_risk", "dst_port_risk", "port_risk_combined")
+    return feature_matrix(base.cut_tx(spark, d)).select("row_idx", "src_port_risk", "dst_port_risk", "port_risk_combined")
 
 
 def port_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    return port_frequency(base.tx(spark, d)).select("port", X.rounded("freq", 6).alias("freq"))
+    return port_frequency(base.cut_tx(spark, d)).select("port", X.rounded("freq", 6).alias("freq"))
 
 
 def minmax_zscore(spark: SparkSession, d: str) -> DataFrame:
-    f = feature_matrix(base.tx(spark, d))
+    f = feature_matrix(base.cut_tx(spark, d))
     return f.select("row_idx", X.rounded("amount_btc_scaled", 6).alias("amount_btc_scaled"), X.rounded("fee_scaled", 6).alias("fee_scaled"), X.rounded("value_zscore", 3).alias("value_zscore"))
 
 
@@ -91,41 +91,41 @@ def structural_type(spark: SparkSession, d: str) -> DataFrame:
 
 
 def whitelist_side(spark: SparkSession, d: str) -> DataFrame:
-    return intel.whitelisted(base.tx(spark, d), intel.whitelist(read(spark, d, "institutional_whitelist")))
+    return intel.whitelisted(base.cut_tx(spark, d), intel.whitelist(read(spark, d, "institutional_whitelist")))
 
 
 def watchlist_hit(spark: SparkSession, d: str) -> DataFrame:
-    t = base.tx(spark, d)
+    t = base.cut_tx(spark, d)
     return intel.watched(t, base.watchlist(t))
 
 
 def taint_hops(spark: SparkSession, d: str) -> DataFrame:
-    t = base.tx(spark, d)
+    t = base.cut_tx(spark, d)
     return intel.taint_hops(t, base.watchlist(t))
 
 
 def taint_pagerank(spark: SparkSession, d: str) -> DataFrame:
     """Three rounds, as many as the SQL beside it spells out; ``taint_converged`` goes on to the end."""
-    t = base.tx(spark, d)
+    t = base.cut_tx(spark, d)
     return intel.taint_scores(t, base.watchlist(t), iterations=3, tolerance=0).select("row_idx", X.rounded("taint_score", 3).alias("taint_score"))
 
 
 def taint_converged(spark: SparkSession, d: str) -> DataFrame:
-    t = base.tx(spark, d)
+    t = base.cut_tx(spark, d)
     return intel.taint_scores(t, base.watchlist(t))
 
 
 def entity_components(spark: SparkSession, d: str) -> DataFrame:
-    return entities.entities(base.tx(spark, d)).select("address", "entity_id", "size")
+    return entities.entities(base.cut_tx(spark, d)).select("address", "entity_id", "size")
 
 
 def entity_confidence(spark: SparkSession, d: str) -> DataFrame:
-    e = entities.entities(base.tx(spark, d)).select("entity_id", "confidence", "size").distinct()
+    e = entities.entities(base.cut_tx(spark, d)).select("entity_id", "confidence", "size").distinct()
     return e.groupBy("confidence").agg(F.count(F.lit(1)).alias("n_entities"), F.sum("size").alias("n_addresses"), F.max("size").alias("largest"))
 
 
 def peel_chains(spark: SparkSession, d: str) -> DataFrame:
-    return chains.peel_chains(base.tx(spark, d))
+    return chains.peel_chains(base.cut_tx(spark, d))
 
 
 def _starts(t: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def trace_backward(spark: SparkSession, d: str) -> DataFrame:
 
 
 def traceable_leads(spark: SparkSession, d: str) -> DataFrame:
-    return trace.traceable(base.tx(spark, d))
+    return trace.traceable(base.cut_tx(spark, d))
 
 
 def rules_only(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +193,7 @@ def observation_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 def full_features(spark: SparkSession, d: str) -> DataFrame:
     """All 23 features of every transaction, entities and chains included."""
-    t = base.tx(spark, d)
+    t = base.cut_tx(spark, d)
     return feature_matrix(t, chains.peel_chains(t), entities.entities(t), first_seen(read(spark, d, "telemetry")))
 
 
@@ -212,7 +212,7 @@ def whitelist_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chain_sizes(spark: SparkSession, d: str) -> DataFrame:
-    sizes = chains.peel_chains(base.tx(spark, d)).groupBy("chain_head").agg(F.max("chain_length").alias("n"))
+    sizes = chains.peel_chains(base.cut_tx(spark, d)).groupBy("chain_head").agg(F.max("chain_length").alias("n"))
     return sizes.agg(F.count(F.lit(1)).alias("n_chains"), X.rounded(F.avg("n"), 4).alias("mean_length"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
 
 
@@ -293,7 +293,7 @@ ORACLE = {
     "chain_sizes": f"{with_(TX, CHAINS)} SELECT count(*) AS n_chains, {r('avg(chain_length)', 4)} AS mean_length, min(chain_length) AS shortest, max(chain_length) AS longest FROM (SELECT chain_head, max(chain_length) AS chain_length FROM chain GROUP BY 1)",
     "holdout": f"{with_(TX)}, n AS (SELECT row_idx, (row_number() OVER (ORDER BY row_idx) - 1) / count(*) OVER ()::DOUBLE AS pos FROM tx) SELECT row_idx, CASE WHEN pos < 0.6 THEN 'train' WHEN pos < 0.8 THEN 'tune' ELSE 'test' END AS part FROM n",
     "pipe_parse": f"{with_(TX)} SELECT row_idx, len(ins)::INT AS n_in, len(outs)::INT AS n_out, len(in_amts)::INT AS n_in_amounts, len(out_amts)::INT AS n_out_amounts, {r('total_in', 6)} AS total_in, {r('total_out', 6)} AS total_out FROM tx",
-    "strict_totals": f"WITH l AS (SELECT row_idx, {base._list('output_amounts')} AS l, {base._list('output_addresses')} AS o FROM tx_ledger) SELECT row_idx, {r('CASE WHEN len(list_filter(l, lambda x: try_cast(x AS DOUBLE) IS NULL)) = 0 THEN coalesce(list_sum(list_transform(l, lambda x: try_cast(x AS DOUBLE))), 0) ELSE 0 END', 6)} AS total_out, len(o)::INT AS n_out FROM l",
+    "strict_totals": f"WITH l AS (SELECT row_idx, {base._pipe('output_amounts')} AS l, {base._pipe('output_addresses')} AS o FROM tx_ledger) SELECT row_idx, {r('CASE WHEN len(list_filter(l, lambda x: try_cast(x AS DOUBLE) IS NULL)) = 0 THEN coalesce(list_sum(list_transform(l, lambda x: try_cast(x AS DOUBLE))), 0) ELSE 0 END', 6)} AS total_out, len(o)::INT AS n_out FROM l",
     "reject_reasons": f"{with_(JUDGED)} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM judged GROUP BY 1",
     "ingestion_report": f"{with_(JUDGED)} SELECT 'tx_ledger' AS source, count(*) AS rows_read, count(*) FILTER (reason IS NULL) AS rows_valid, count(reason) AS rows_rejected, min(ts) FILTER (reason IS NULL) AS first_ts, max(ts) FILTER (reason IS NULL) AS last_ts, "
     + ", ".join(f"count(*) FILTER (reason = '{x}') AS {x}" for x in ("missing_txid", "duplicate_txid", "unparseable_timestamp", "empty_addresses", "negative_or_non_numeric_amount"))

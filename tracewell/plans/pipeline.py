@@ -24,7 +24,7 @@ def run(ledger: DataFrame, whitelist: DataFrame, watchlist: DataFrame | None = N
     """
     spark = ledger.sparkSession
     scratch = Scratch(spark, "pipeline")
-    t = scratch.cut(ingest.canonical(ledger, any_notation=True), "tx")
+    t = scratch.cut(ingest.canonical(ledger), "tx")
     chain = scratch.cut(chains.peel_chains(t), "chains")
     seen = correlate.first_seen(wire) if wire is not None else None
     f = scratch.cut(features.feature_matrix(t, chain, entities.entities(t), seen), "features")
@@ -63,7 +63,7 @@ def run(ledger: DataFrame, whitelist: DataFrame, watchlist: DataFrame | None = N
 
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     ledger = read(spark, d, "tx_ledger")
-    return run(ledger, read(spark, d, "institutional_whitelist"), base.watchlist(ingest.canonical(ledger, any_notation=True)), read(spark, d, "telemetry"))
+    return run(ledger, read(spark, d, "institutional_whitelist"), base.watchlist(ingest.canonical(ledger)), read(spark, d, "telemetry"))
 
 
 QUERIES = {"pipeline": pipeline}
