@@ -1,22 +1,26 @@
 """Rows that fail to parse: an error-recovering recursive-descent grammar for delimited records.
 
-    text   := record (newline record)*
+    text   := (anchor record (newline record)*)*
     record := field ("," field)*
     field  := quoted | bare
     quoted := '"' (any but '"' | '""')* '"'      right before "," or the end of the record
     bare   := (any but '"' and ",")*
 
-A broken quote is reported with its place; the parser then resumes at the next anchor: a line start that itself parses as the
-beginning of a record (a timestamp and two addresses). So one lost quote costs one record, not the rest of the file.
+Anchors are validated record starts; no record reaches past the next one. A broken quote is reported with the place of its field, and the parser resumes at the next anchor, so one lost
+quote costs one record however many quotes follow. In delivered lines (``parse_lines``) each line's first character is an anchor by definition, and newlines inside are
+part of its fields. In whole files (``read_files``) an anchor is a line start that itself parses as the beginning of a record: a time and two addresses on the wire (any of the
+three may be blank or odd, but not all). What follows a broken quote up to the next anchor belongs to the broken record.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +34,13 @@ BARE = re.compile(r'[^",]*')
 NUMBER = re.compile(r"([+-]?)((?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+))(?:[eE][+-]?[0-9]+)?")
 PORT_NUMBER = re.compile(r"([0-9]+)(?:\.0+)?")
 WORDS = frozenset({"", "nan", "none", "null"})
-ANCHOR = re.compile(r'[\r\n]+(?="?[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9:]{5,8}[^,\n]{0,12},"?[0-9A-Fa-f:.]*"?,"?[0-9A-Fa-f:.]*"?,)')
+#: The beginning of a record: a time and two fields that may be addresses, or any first field and two addresses.
+BEGINNING = r'(?:[ \t]*"?[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9:.]{5,15}[^",\r\n]{0,12}"?,[ \t]*"?[0-9A-Za-z:. ]{0,45}"?,[ \t]*"?[0-9A-Za-z:. ]{0,45}"?,|[^",\r\n]{0,40},[ \t]*"?(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7})[ \t]*"?,[ \t]*"?(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7})[ \t]*"?,)'
+ANCHOR = re.compile(rf"(?<=[\r\n])(?![\r\n])(?={BEGINNING})")
+ANCHOR_BYTES = re.compile(ANCHOR.pattern.encode())
+NEWLINE = re.compile(r"\r?\n|\r")
+SPLIT = 32 << 20  # bytes of a file that a task reads
+AHEAD = 1 << 20  # bytes read at once beyond them, up to the next anchor
 BLANKS = " \t"
 
 
@@ -50,46 +60,52 @@ def amount(text: str) -> bool:
 
 
 class Parser:
-    """Recursive descent over ``text`` from ``pos``; ``lines`` says whether a newline outside quotes ends a record."""
+    """Recursive descent over ``text``, from anchor to anchor; ``lines`` says whether a newline outside quotes ends a record."""
 
-    def __init__(self, text: str, lines: bool = False):
-        self.text, self.pos, self.lines = text, 0, lines
+    def __init__(self, text: str, anchors: Sequence[int], lines: bool = False):
+        self.text, self.anchors, self.lines, self.pos, self.limit = text, anchors, lines, 0, 0
         self.bare = re.compile(r'[^",\r\n]*') if lines else BARE
         self.ends = ",\r\n" if lines else ","
 
     def field(self, to: Record) -> bool:
-        text, pos = self.text, self.pos
-        if text.startswith('"', pos):
-            m = QUOTED.match(text, pos)
-            if not m:
-                to.reason, to.at = "quoting", pos
-                return False
+        text, start = self.text, self.pos
+        quoted = start < self.limit and text[start] == '"'
+        m = (QUOTED if quoted else self.bare).match(text, start, self.limit)
+        if m:
             self.pos = m.end()
-            to.fields.append(m[1].replace('""', '"') if '""' in m[1] else m[1])
-        else:
-            m = self.bare.match(text, pos)
-            self.pos = m.end()
-            to.fields.append(m[0])
-        if self.pos < len(text) and text[self.pos] not in self.ends:
-            to.reason, to.at = "quoting", self.pos
+            to.fields.append(m[0] if not quoted else m[1].replace('""', '"') if '""' in m[1] else m[1])
+        if not m or self.pos < self.limit and text[self.pos] not in self.ends:
+            to.reason, to.at = "quoting", start if quoted else self.pos
             return False
         return True
 
     def record(self) -> Record:
+        """The record at ``pos``; behind a broken one the parser stands at the next anchor."""
         to = Record(start=self.pos)
-        while self.field(to) and self.text.startswith(",", self.pos):
-            self.pos += 1
-        if to.reason:
-            m = ANCHOR.search(self.text, max(to.at, to.start))
-            self.pos = m.start() if m else len(self.text)
+        if self.text.find('"', self.pos, self.limit) < 0:  # only bare fields up to the anchor
+            m = NEWLINE.search(self.text, self.pos, self.limit) if self.lines else None
+            self.pos = m.start() if m else self.limit
+            to.fields = self.text[to.start : self.pos].split(",")
+        else:
+            while self.field(to) and self.pos < self.limit and self.text[self.pos] == ",":
+                self.pos += 1
+            if to.reason:
+                self.pos = self.limit
         to.end = self.pos
         return judge(to)
 
     def __iter__(self) -> Iterator[Record]:
-        while self.pos < len(self.text):
+        for self.pos, self.limit in zip(self.anchors, [*self.anchors[1:], len(self.text)]):
             yield self.record()
-            m = re.compile(r"\r?\n|\r").match(self.text, self.pos)
-            self.pos = m.end() if m else max(self.pos, len(self.text))
+            while self.lines and self.pos < self.limit:
+                self.pos = NEWLINE.match(self.text, self.pos, self.limit).end()
+                if self.pos < self.limit:
+                    yield self.record()
+
+
+def parse_text(text: str) -> Iterator[Record]:
+    """The records of a file's text."""
+    return iter(Parser(text, [0, *(m.start() for m in ANCHOR.finditer(text))], lines=True)) if text else iter(())
 
 
 def judge(record: Record) -> Record:
@@ -113,11 +129,21 @@ def judge(record: Record) -> Record:
     return record
 
 
+def parse_delivered(lines: Sequence[str | None]) -> list[Record]:
+    """Delivered lines as one text in which each line's start is an anchor; ``at`` counts from there. A carriage return at the very end of a line is not part of it; a null line has no columns."""
+    given = [x[:-1] if x.endswith("\r") else x for x in lines if x is not None]
+    parsed = iter(Parser("".join(given), [0, *accumulate(map(len, given[:-1]))])) if given else iter(())
+    out = []
+    for x in lines:
+        record = next(parsed) if x is not None else Record(reason="columns", at=0)
+        if record.at is not None:
+            record.at -= record.start
+        out.append(record)
+    return out
+
+
 def parse_line(line: str | None) -> Record:
-    """One delivered line, read alone; a carriage return at its very end is not part of it. A null line has no columns."""
-    if line is None:
-        return Record(reason="columns", at=0)
-    return Parser(line[:-1] if line.endswith("\r") else line).record()
+    return parse_delivered([line])[0]
 
 
 PARSED = T.StructType([T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("reason", T.StringType()), T.StructField("at", T.IntegerType())])
@@ -140,7 +166,7 @@ def to_arrow(records: list[Record]) -> pa.StructArray:
 
 @F.arrow_udf(PARSED)
 def parsed_line(lines: pa.Array) -> pa.Array:
-    return to_arrow([parse_line(x) for x in lines.to_pylist()])
+    return to_arrow(parse_delivered(lines.to_pylist()))
 
 
 parsed_line = parsed_line.asNondeterministic()  # so that a filter on its result doesn't make the optimizer parse twice
@@ -182,27 +208,52 @@ def loaded(parsed: DataFrame, key: str) -> DataFrame:
     )
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole ledger files (``file_name``, ``record_no``, ``fields``, ``reason``, ``at``), records over several lines included.
+def read_files(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """Whole ledger files, records over several lines included: ``file_name``, ``at_byte`` (where the piece of the file begins), ``record_no`` within it, ``fields``, ``reason``, ``at``.
 
-    A file is one task's work, so deliver large ledgers in many files; the grammar keeps one record in memory at a time.
+    Files are cut into byte ranges, so a large file is many tasks' work: a range's piece begins at the first anchor in it and ends at the first anchor behind it. A task holds its piece. A
+    range without an anchor has no piece; the one before it takes its bytes.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, length, start in zip(*(c.to_pylist() for c in batch.columns)):
+                begin, content = piece(name, length, start, split)
                 block, first = [], 0
-                for record in Parser(content.decode("utf-8", "replace"), lines=True):
+                for record in parse_text(content.decode("utf-8", "replace")):
                     block.append(record)
                     if len(block) == 10_000:
-                        yield pack(name, first, block)
+                        yield pack(name, begin, first, block)
                         block, first = [], first + len(block)
                 if block:
-                    yield pack(name, first, block)
-
-    def pack(name: str, first: int, block: list[Record]) -> pa.RecordBatch:
-        s = to_arrow(block)
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(block)), pa.array(range(first, first + len(block)), pa.int64()), *s.flatten()], ["file_name", "record_no", "fields", "reason", "at"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(batches, "file_name string, record_no long, fields array<string>, reason string, at int")
+                    yield pack(name, begin, first, block)
+
+    def pack(name: str, begin: int, first: int, block: list[Record]) -> pa.RecordBatch:
+        s, n = to_arrow(block), len(block)
+        return pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([begin] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), *s.flatten()], ["file_name", "at_byte", "record_no", "fields", "reason", "at"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))).alias("start"))
+    return ranges.repartition("path", "start").mapInArrow(batches, "file_name string, at_byte long, record_no long, fields array<string>, reason string, at int")
+
+
+def piece(name: str, length: int, start: int, split: int) -> tuple[int, bytes]:
+    """Where the piece of the range from ``start`` begins, and its bytes (none if no anchor lies in the range)."""
+    system, path = FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file:///") else name)
+    back = min(start, 1)  # an anchor is known by the newline before it
+    with system.open_input_file(path) as f:
+        f.seek(start - back)
+        buffer = f.read(split + back)
+        begin = 0
+        if start:
+            more = f.read(AHEAD)  # a beginning that the range's end cuts through
+            m = ANCHOR_BYTES.search(buffer + more)
+            if not m or m.start() >= back + split:
+                return start, b""
+            begin, buffer = m.start(), buffer + more
+        at = back + split
+        while start - back + len(buffer) < length and not ANCHOR_BYTES.search(buffer, max(at - 1, 0)):
+            at = max(at, buffer.rfind(b"\n") + 1)  # the last line may be cut
+            buffer += f.read(AHEAD)
+        m = ANCHOR_BYTES.search(buffer, back + split)
+    return start - back + begin, buffer[begin : m.start() if m else len(buffer)]

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.runtime import by_size
+from tracewell.runtime import Scratch, by_size
 
 STATE = "key string, part int, n long, total long, measured long, first long, last long, gap long"
 
@@ -60,14 +60,17 @@ def states(done: list[tuple], part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array([part] * len(k), pa.int32()), long(n), long(total), long(measured), long(first), long(last), long(gap)], ["key", "part", "n", "total", "measured", "first", "last", "gap"])
 
 
-def split_totals(df: DataFrame, key: str, at: str, value: str, unique: str, slices: int | None = None) -> DataFrame:
+def split_totals(df: DataFrame, key: str, at: str, value: str, unique: str, slices: int | None = None, costly: bool = False) -> DataFrame:
     """Per key: ``n`` rows, ``total`` and ``measured`` (sum and count of the long ``value``), ``first``, ``last`` and the longest ``gap`` of ``at`` (microseconds).
 
     ``unique`` breaks ties of ``at``, so that equal rows can be split too. Rows with a null or blank key belong to no key and are left out; null times and
-    values count as rows only. An empty table gives no row. ``slices``: partitions, by size unless given. Sums are of integers: no order changes them.
+    values count as rows only. An empty table gives no row. ``slices``: partitions, by size unless given. Sums are of integers: no order changes them. Range
+    partitioning reads its input twice, to sample it and to send it; where that is ``costly``, the narrow rows are written to the shared folder first.
     """
     rows = df.select(F.trim(F.col(key)).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(value).cast("long").alias("value"), F.col(unique).alias("u")).where("key <> ''")
-    slices = slices or by_size(df, 32 << 20, least=int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if costly:
+        rows = Scratch(df.sparkSession, "skew").cut(rows, "rows")
+    slices = slices or by_size(rows if costly else df, 32 << 20, least=int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(slices, "key", "at", "u").sortWithinPartitions("key", "at", "u").select("key", "at", "value")
     return stitch(ranged.mapInArrow(fold, STATE))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators.list_tokens import list_items, list_rows
+from tracewell.operators.list_tokens import any_items, list_rows
 from tracewell.operators.records import loaded, parse_lines, rejected
 from tracewell.operators.skew import split_totals
 from tracewell.plans.base import GROUPED
@@ -21,11 +21,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loaded(parse_lines(read(spark, sf_dir, "raw_lines"), "line_id", "raw_line"), "line_id")
+    """All other lines as transactions; address lists as pipe texts, amounts by their number and their sum in units of 1e-8."""
+    rows = loaded(parse_lines(read(spark, sf_dir, "raw_lines"), "line_id", "raw_line"), "line_id")
+    whole = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + F.floor(F.coalesce(v, F.lit(0.0)) * 1e8 + 0.5))
+    lists = {f"{side}_addresses": F.array_join(f"{side}_addresses", "|") for side in ("input", "output")}
+    sums = {f"{side}_{what}": f(f"{side}_amounts") for side in ("input", "output") for what, f in (("n", F.size), ("sats", whole))}
+    return rows.withColumns({**lists, **sums}).drop("input_amounts", "output_amounts")
 
 
 def sats(x: str) -> Column:
-    """An amount in units of 1e-8 as a long; null for null, NaN and infinite amounts."""
+    """An amount in units of 1e-8 as a long; null for null, NaN and infinite amounts, and from 9e10 on, where a long ends (thousands of times all coins there can be)."""
     return F.when(F.abs(F.col(x)) < 9e10, F.floor(F.col(x) * 1e8 + 0.5))
 
 
@@ -37,13 +42,13 @@ def entity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whitelisted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each ledger row and whitelisted address in it."""
     listed = read(spark, sf_dir, "institutional_whitelist").select(F.lower(F.trim("address")).alias("address")).where("address <> ''").distinct()
-    ledger = read(spark, sf_dir, "tx_ledger").select("row_idx", "ts", sats("fee").alias("sats"), list_items("input_addresses").alias("ins"), list_items("output_addresses").alias("outs"))
+    ledger = read(spark, sf_dir, "tx_ledger").select("row_idx", "ts", sats("fee").alias("sats"), any_items("input_addresses").alias("ins"), any_items("output_addresses").alias("outs"))
     stands = ledger.select("row_idx", "ts", "sats", F.explode(F.array_distinct(F.transform(F.concat("ins", "outs"), F.lower))).alias("address"))
     return stands.join(small_side(listed), "address")
 
 
 def address_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_totals(whitelisted_rows(spark, sf_dir), "address", "ts", "sats", "row_idx")
+    return split_totals(whitelisted_rows(spark, sf_dir), "address", "ts", "sats", "row_idx", costly=True)
 
 
 def heavy(totals: DataFrame, field: str, rows: DataFrame) -> DataFrame:
@@ -97,7 +102,18 @@ hits AS (SELECT row_idx, ts, sats, address FROM stands JOIN wl USING (address))"
 
 CELLS = " UNION ALL ".join(f"SELECT row_idx, '{c}' AS field_name, {GROUPED.format(c=c) if 'amounts' in c else c} AS cell FROM tx_ledger" for c in LIST_CELLS)
 
+_RAW = lambda i: f"regexp_extract(line, '(?s)^(?:{FIELD},){{{i}}}({FIELD})', 1)"
+_AT = lambda i: f"trim(CASE WHEN starts_with(f{i}, '\"') THEN replace(f{i}[2:-2], '\"\"', '\"') ELSE f{i} END, E' \\t')"
+_GIVEN = lambda i: f"CASE WHEN lower({_AT(i)}) NOT IN ('', 'nan', 'none', 'null') THEN {_AT(i)} END"
+_PARTS = lambda i: f"list_filter(list_transform(string_split({_AT(i)}, '|'), lambda x: trim(x)), lambda x: x <> '')"
+_SUM = lambda i: f"coalesce(list_sum(list_transform({_PARTS(i)}, lambda x: floor(coalesce(try_cast(x AS DOUBLE), 0.0) * 1e8 + 0.5)::BIGINT)), 0)::BIGINT"
+LOADED = f"""WITH {LINES}, flds AS (SELECT line_id, {", ".join(f"{_RAW(i)} AS f{i}" for i in range(13))} FROM judged JOIN raw USING (line_id) WHERE reason IS NULL)
+    SELECT line_id, try_cast(replace({_AT(0)}, 'T', ' ') AS TIMESTAMP) AS ts, {_GIVEN(1)} AS src_ip, {_GIVEN(2)} AS dst_ip, try_cast({_GIVEN(3)} AS DOUBLE)::INT AS src_port, try_cast({_GIVEN(4)} AS DOUBLE)::INT AS dst_port, {_GIVEN(5)} AS txid,
+      array_to_string({_PARTS(6)}, '|') AS input_addresses, array_to_string({_PARTS(7)}, '|') AS output_addresses, len({_PARTS(8)})::INT AS input_n, {_SUM(8)} AS input_sats, len({_PARTS(9)})::INT AS output_n, {_SUM(9)} AS output_sats,
+      try_cast({_GIVEN(10)} AS DOUBLE) AS fee, upper({_GIVEN(11)}) AS script_type, upper({_GIVEN(12)}) AS geo_country FROM flds"""
+
 ORACLE = {
+    "p1_loaded": LOADED,
     "p1_found": f"WITH {LINES} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p3_found": f"""WITH {ADDRESSES}
         SELECT 'entity_id' AS key_field, trim(entity_id) AS key_text FROM scored_rows WHERE trim(entity_id) <> '' GROUP BY 2 HAVING count(*) * 100 >= {HEAVY} * (SELECT count(*) FROM scored_rows)
