@@ -53,7 +53,7 @@ def test_components_against_brute_force(spark):
                     if y not in want:
                         want[y] = v
                         todo.append(y)
-    got = {r.u: r.v for r in entities.components(spark.createDataFrame(pairs, "u string, v string")).collect()}
+    got = {r.u: r.v for r in entities.components(spark.createDataFrame(pairs, "a string, b string").repartition(5)).collect()}
     assert got == {v: r for v, r in want.items() if v != r}
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import columns as X
+from tracewell.operators import graph
 from tracewell.operators.order import cumulative
 from tracewell.runtime import Scratch
 
@@ -42,43 +43,34 @@ def change_addresses(tx: DataFrame) -> DataFrame:
 
 
 def edges(tx: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices (``v``, ``first_key``) and edges (``u`` > ``v``): each co-input and the change address with the first input. Mixers give vertices only.
+    """Vertices (``v``, ``first_key``) and pairs (``a``, ``b``): each co-input and the change address with the first input. Mixers give vertices only.
 
-    ``first_key``: the first appearance among the vertices, the order in which entities are numbered.
+    ``first_key``: row and place of the first appearance among the vertices, the order in which entities are numbered.
     """
     mixer = X.is_mixer("fan_in", "fan_out", "out_amts")
     rows = tx.select("row_idx", "ins", mixer.alias("mixer")).join(changes.select("row_idx", "change_address"), "row_idx", "left")
     rows = rows.select("row_idx", "ins", F.when(F.col("mixer"), F.array().cast("array<string>")).otherwise(F.array_compact(F.concat(F.slice("ins", 2, 100_000_000), F.array("change_address")))).alias("links"), F.when(~F.col("mixer"), F.col("change_address")).alias("chg"))
     nodes = rows.select("row_idx", F.posexplode(F.array_compact(F.concat("ins", F.array("chg")))).alias("pos", "v"))
-    vertices = nodes.groupBy("v").agg(F.min(F.col("row_idx") * 1_000_000 + F.col("pos")).alias("first_key"))
-    pairs = rows.select(F.get("ins", F.lit(0)).alias("a"), F.explode("links").alias("b")).where("a <> b")
-    return vertices, pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    vertices = nodes.groupBy("v").agg(F.min(F.struct("row_idx", "pos")).alias("first_key"))
+    return vertices, rows.select(F.get("ins", F.lit(0)).alias("a"), F.explode("links").alias("b")).where("a <> b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``u``, ``v``: each vertex above the smallest of its component with that smallest. Alternating large and small stars; rounds grow with the logarithm of the longest path."""
-    scratch = Scratch(links.sparkSession, "entities")
-    links = scratch.cut(links, "links")
-    state = lambda d: tuple(d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).collect()[0])
-    was = state(links)
-    while True:
-        ways = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        links = scratch.cut(ways.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
-        low = links.groupBy("u").agg(F.min("v").alias("m"))
-        small = links.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        links = scratch.cut(small.distinct(), "links")
-        if (now := state(links)) == was:
-            return links
-        was = now
+def components(pairs: DataFrame) -> DataFrame:
+    """``u``, ``v``: each value of the pairs (``a``, ``b``) above the smallest of its component with that smallest. Values are numbered, so the rounds shuffle longs."""
+    scratch = Scratch(pairs.sparkSession, "entities")
+    linked = scratch.cut(graph.forests(pairs), "forests")
+    ids = scratch.cut(graph.numbered(linked, "x"), "ids")
+    of = lambda side, name: ids.select(F.col("x").alias(side), F.col("id").alias(name))
+    links = linked.where("x <> root").join(of("x", "u"), "x").join(of("root", "v"), "root").select("u", "v").distinct()
+    label = graph.stars(links, scratch)
+    return label.join(of("a", "u"), "u").join(of("b", "v"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def entities(tx: DataFrame) -> DataFrame:
     """``address``, ``entity_id`` (numbered from 0 by first appearance), ``confidence``, ``size``."""
     scratch = Scratch(tx.sparkSession, "entity-graph")
-    vertices, links = edges(tx, change_addresses(tx))
-    vertices = scratch.cut(vertices, "vertices")
-    root = components(links)
+    vertices, pairs = edges(tx, scratch.cut(change_addresses(tx), "changes"))
+    root = components(pairs)
     of = scratch.cut(vertices.join(root.select(F.col("u").alias("v"), F.col("v").alias("r")), "v", "left").select("v", "first_key", F.coalesce("r", "v").alias("root")), "of")
     mixers = tx.where(X.is_mixer("fan_in", "fan_out", "out_amts")).select(F.explode(F.concat("ins", "outs")).alias("v")).distinct().withColumn("mixed", F.lit(1))
     firsts = tx.select(F.get("ins", F.lit(0)).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("txs"))

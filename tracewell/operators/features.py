@@ -82,5 +82,5 @@ def leak_free(features: Sequence[str]) -> None:
 
 def fold_of(df: DataFrame, label: str, key: str, folds: int) -> DataFrame:
     """``df`` with a stratified ``fold``: rows of a label are dealt out in the order of an integer hash of ``key`` (a unique long)."""
-    keyed = df.withColumn("_h", F.pmod(F.col(key) * 7919 + 104729, F.lit(1000003)) * F.lit(10**12) + F.col(key))
+    keyed = df.withColumn("_h", F.struct(F.pmod(F.pmod(F.col(key), F.lit(1000003)) * 7919 + 104729, F.lit(1000003)).alias("h"), F.col(key).alias("k")))
     return numbered(keyed, label, "_h").withColumn("fold", (F.col("row_no") % folds).cast("int")).drop("_h", "row_no")

@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; at 200 bytes a row this is 20 MB.
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
     sc = spark.sparkContext
     if not (base := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tracewell-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -44,6 +46,12 @@ class Scratch:
         self.old[slot] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def measured(self, df: DataFrame, slot: str, **metrics: Column) -> tuple[DataFrame, dict]:
+        """As ``cut``, with aggregates of the rows, taken while they are written."""
+        seen = Observation()
+        self.cut(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]), slot)
+        return self.spark.read.schema(df.schema).parquet(self.old[slot]), seen.get
+
     def delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
