@@ -1,14 +1,13 @@
 """Consolidating pairwise matches into groups: peel the giant component, label the rest by minimum propagation.
 
-1. Breadth-first frontier joins start at the vertex of highest degree. While the frontier grows by a fair share of what it has reached, each round is one join of
-   the frontier with the edges. In most match graphs this takes in the bulk of the giant component in a few rounds.
-2. What was reached is connected, so it becomes one vertex: edges within it are dropped by an anti-join, edges that leave it (those of long chains whose
-   end a frontier would reach only after as many rounds as the chain is long) keep that vertex as their end.
-3. The remaining edges are labelled by minimum propagation in stars: large-star and small-star rounds (Kiveris et al., 2014) halve paths, so the number of rounds grows with
-   the logarithm of the longest chain.
-
-Nothing is collected but counts. Each round is written to the shared folder, which cuts the lineage. A hub's edges are aggregated before they are shuffled and
-joined with one row per vertex, a join that adaptive execution splits where a vertex holds most edges.
+1. Each task replaces its pairs by a forest that links the same values (``graph.forests``), so repeated pairs and paths within a task are gone before a shuffle. Values are numbered in the
+   order of their bytes; from here on only longs move, and the smallest number of a group is its smallest value.
+2. Breadth-first frontier joins start at the vertex of highest degree. Each round is one join of the frontier with the edges. Where only a thin frontier is left (the end of a
+   long chain needs as many rounds as the chain has links), one star round halves all paths, and the search goes on along the shorter ones, until no edge leaves what was reached.
+3. What was reached is a whole component; an anti-join takes its edges away.
+4. The small components that are left are labelled by minimum propagation in stars, in rounds that grow with the logarithm of the longest path.
+
+Nothing is collected but counts. Each round is written to the shared folder, which cuts the lineage. Frontiers are broadcast behind a count of their rows, else shuffled.
 """
 
 from __future__ import annotations
@@ -16,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.runtime import Scratch, with_row
+from tracewell.operators import graph
+from tracewell.runtime import BROADCAST_ROWS, Scratch
 
-#: Breadth-first rounds go on while the frontier holds this share of what has been reached.
-GROWING = 1 / 6
-LEAST_ROUNDS = 4
-MOST_ROUNDS = 64
+#: A frontier below this share of what has been reached is thin; paths are halved once that many rounds have passed.
+THIN = 1 / 6
+ROUNDS = 4
 
 
 def usable(side: str) -> Column:
@@ -30,57 +29,32 @@ def usable(side: str) -> Column:
     return F.when(x != "", x)
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def hint(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def peel(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, str | None]:
-    """Vertices reached from the vertex of highest degree (ties: the smallest), and the smallest of them."""
-    degrees = both_ways(edges).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-    start = degrees.agg(F.max(F.struct("n")).alias("m")).join(degrees, F.col("m.n") == F.col("n")).agg(F.min("u").alias("u")).collect()[0]["u"]
-    if start is None:
-        return None, None
+def peel(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, DataFrame] | None:
+    """The component of the vertex of highest degree (ties: the smallest) as ``u``, its smallest vertex, and the edges (perhaps with halved paths) of all components."""
     spark = edges.sparkSession
-    level = scratch.cut(spark.createDataFrame([(start,)], "u string"), "level-0")
-    reached, size, levels = level, 1, [level]
-    ways = scratch.cut(both_ways(edges), "ways")
-    for k in range(1, MOST_ROUNDS + 1):
-        near = ways.join(level, "u", "left_semi").select(F.col("v").alias("u")).distinct()
-        # neighbours of a level lie in it, the one before or the next: no older level need be looked at
-        near = near.join(levels[-1].unionByName(levels[-2]) if k > 1 else level, "u", "left_anti")
-        level = scratch.cut(near, f"level-{k}")
-        n = level.count()
-        if not n:
-            break
-        levels.append(level)
-        reached, size = reached.unionByName(level), size + n
-        if k >= LEAST_ROUNDS and n < GROWING * size:
-            break
-    reached = scratch.cut(reached, "reached")
-    scratch.drop("ways", *[f"level-{k}" for k in range(MOST_ROUNDS + 1)])
-    return reached, reached.agg(F.min("u")).collect()[0][0]
-
-
-def stars(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges (u above v) to stars: each vertex once as ``u`` with the smallest vertex of its component as ``v``; that vertex itself isn't listed."""
-    edges = scratch.cut(edges, "stars")
-    mark = fingerprint(edges)
+    degrees = graph.both_ways(edges).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    start = degrees.agg(F.max(F.struct("n", (-F.col("u")).alias("o"))).alias("m")).select(-F.col("m.o")).collect()[0][0]
+    if start is None:
+        return None
+    level, n, least = scratch.cut(spark.createDataFrame([(start,)], "u long"), "level"), 1, start
+    reached, size, rounds = scratch.cut(level, "reached-0"), 1, 0
+    k = 0
     while True:
-        ways = both_ways(edges)
-        least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = scratch.cut(large.distinct(), "stars")
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = scratch.cut(small.distinct(), "stars")
-        now = fingerprint(edges)
-        if now == mark:
-            return edges
-        mark = now
-
-
-def fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).collect()[0])
+        k, rounds = k + 1, rounds + 1
+        near = graph.both_ways(edges).join(hint(level, n), "u", "left_semi").select(F.col("v").alias("u")).distinct()
+        level, seen = scratch.measured(near.join(hint(reached, size), "u", "left_anti"), "level", n=F.count(F.lit(1)), least=F.min("u"))
+        n = seen["n"]
+        if not n:
+            return reached, least, edges
+        least, size = min(least, seen["least"]), size + n
+        reached = scratch.cut(reached.unionByName(level), f"reached-{k % 2}")
+        if rounds >= ROUNDS and n < THIN * size:
+            edges, _ = graph.star_round(edges, scratch, "halved")
+            level, n, rounds = reached, size, 0
 
 
 def components(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -89,21 +63,16 @@ def components(df: DataFrame, a: str, b: str) -> DataFrame:
     Pairs with a null or blank side, and pairs of a value with itself, link nothing but still name their values. Repeated and turned pairs count once.
     Other columns are not read. An empty table gives no row.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "components")
-    pairs = df.select(usable(a).alias("a"), usable(b).alias("b"))
-    edges = scratch.cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    vertices = pairs.select(F.explode(F.array("a", "b")).alias("address")).where(F.col("address").isNotNull()).distinct()
-    reached, root = peel(edges, scratch)
-    if reached is None:
-        return vertices.select("address", F.col("address").alias("group_id"))
-    inside = reached.select(F.col("u").alias("x"), F.lit(True).alias("in"))
-    of = lambda side, flag: F.when(F.col(flag), F.lit(root)).otherwise(F.col(side))
-    rest = edges.join(inside.select(F.col("x").alias("u"), F.col("in").alias("iu")), "u", "left").join(inside.select(F.col("x").alias("v"), F.col("in").alias("iv")), "v", "left")
-    rest = rest.where(F.col("iu").isNull() | F.col("iv").isNull()).select(of("u", "iu").alias("u"), of("v", "iv").alias("v"))
-    rest = rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    label = stars(rest, scratch)
-    scratch.drop("edges")
-    top = label.where(F.col("u") == root).agg(F.coalesce(F.min("v"), F.lit(root)).alias("v"))
-    labels = label.where(F.col("u") != root).select("u", "v").unionByName(with_row(reached, top))
-    return vertices.join(labels, F.col("address") == F.col("u"), "left").select("address", F.coalesce("v", "address").alias("group_id"))
+    scratch = Scratch(df.sparkSession, "components")
+    linked = scratch.cut(graph.forests(df.select(usable(a).alias("a"), usable(b).alias("b"))), "forests")
+    ids = scratch.cut(graph.numbered(linked, "x"), "ids")
+    of = lambda x, name: ids.select(F.col("x").alias(x), F.col("id").alias(name))
+    edges = scratch.cut(linked.where("x <> root").join(of("x", "u"), "x").join(of("root", "v"), "root").select("u", "v").distinct(), "edges")
+    peeled = peel(edges, scratch)
+    if peeled is None:
+        return ids.select(F.col("x").alias("address"), F.col("x").alias("group_id"))
+    reached, root, edges = peeled
+    label = graph.stars(edges.join(reached, "u", "left_anti"), scratch)
+    name = ids.where(F.col("id") == root).select("x").scalar()
+    groups = label.join(of("group_id", "v"), "v").select("u", "group_id").unionByName(reached.select("u", name.alias("group_id")))
+    return ids.join(groups, F.col("id") == F.col("u"), "left").select(F.col("x").alias("address"), F.coalesce("group_id", "x").alias("group_id"))
