@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewell import constants as K
 from tracewell.functions import columns as X
 from tracewell.operators.order import numbered
-from tracewell.runtime import small_side, with_row
+from tracewell.runtime import Scratch, with_row
 
 
 def frequency(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -27,9 +27,11 @@ def port_frequency(tx: DataFrame) -> DataFrame:
 
 def feature_matrix(tx: DataFrame, chains: DataFrame | None = None, owners: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
     """``row_idx`` and the features; those of chains, entities and telemetry only where these are given."""
-    ports = F.broadcast(port_frequency(tx))
+    scratch = Scratch(tx.sparkSession, "features")
+    ports = scratch.small(port_frequency(tx), "ports")
     stats = tx.agg(*[f(F.col(x)).alias(f"{n}_{x}") for x in ("total_in", "fee") for n, f in (("lo", F.min), ("hi", F.max))], F.avg("total_in").alias("mean"), F.stddev_samp("total_in").alias("sd"))
-    rows = tx.join(small_side(frequency(tx, "script_type", "script_type_freq")), "script_type", "left").join(small_side(frequency(tx, "src_ip", "src_ip_freq")), "src_ip", "left")
+    shares = [scratch.small(frequency(tx, x, f"{x}_freq"), x) for x in ("script_type", "src_ip")]
+    rows = tx.join(shares[0], "script_type", "left").join(shares[1], "src_ip", "left")
     rows = rows.join(ports.select(F.col("port").alias("src_port"), F.col("freq").alias("sf")), "src_port", "left").join(ports.select(F.col("port").alias("dst_port"), F.col("freq").alias("df")), "dst_port", "left")
     rows = with_row(rows, stats).withColumns({"src_port_risk": X.port_risk("src_port", "sf"), "dst_port_risk": X.port_risk("dst_port", "df")})
     z = F.coalesce(X.rounded((F.col("total_in") - F.col("mean")) / F.nullif("sd", F.lit(0.0)), 4), F.lit(0.0))

@@ -32,17 +32,22 @@ def unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(pairs)).where(F.abs("value") < float("inf"))
 
 
-def percentiles(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
-    """Exact percentiles with linear interpolation: ``measure`` and ``q`` (array)."""
-    placed = cumulative(unpivoted(df, columns).groupBy("measure", "value").agg(F.count(F.lit(1)).alias("n")), "measure", "value")
+def quantiles_of(placed: DataFrame, group: str, quantiles: Sequence[float]) -> DataFrame:
+    """The group, ``total`` and ``q`` (array) from ``cumulative`` counts of its distinct values: exact percentiles with linear interpolation."""
     aggs = []
     for j, q in enumerate(quantiles):
         at = q * (F.col("total") - 1)
         for name, k in ((f"l{j}", F.floor(at)), (f"h{j}", F.ceil(at))):
             aggs.append(F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("value"))).alias(name))
-    out = placed.groupBy("measure").agg(F.max("total").alias("total"), *aggs)
+    out = placed.groupBy(group).agg(F.max("total").alias("total"), *aggs)
     values = [F.col(f"l{j}") + (F.col(f"h{j}") - F.col(f"l{j}")) * (q * (F.col("total") - 1) - F.floor(q * (F.col("total") - 1))) for j, q in enumerate(quantiles)]
-    return out.select("measure", F.array(*values).alias("q"))
+    return out.select(group, "total", F.array(*values).alias("q"))
+
+
+def percentiles(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
+    """Exact percentiles of columns: ``measure`` and ``q`` (array)."""
+    placed = cumulative(unpivoted(df, columns).groupBy("measure", "value").agg(F.count(F.lit(1)).alias("n")), "measure", "value")
+    return quantiles_of(placed, "measure", quantiles).drop("total")
 
 
 def weak_rank(df: DataFrame, column: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import columns as X
-from tracewell.runtime import Scratch
+from tracewell.runtime import Scratch, hinted
 
 MOST_NODES = 200
 
@@ -26,22 +26,25 @@ def trace(tx: DataFrame, starts: DataFrame, hops: int = 6, backward: bool = Fals
     first, in order of what they take in. Only the edges of the frontier are joined; the step table is not materialised.
     """
     scratch = Scratch(tx.sparkSession, "trace")
-    made = tx.select(F.col("row_idx").alias("a"), F.col("ts").alias("ats"), F.explode(F.array_distinct("ins" if backward else "outs")).alias("addr"))
-    spent = tx.select(F.col("row_idx").alias("b"), F.col("ts").alias("bts"), F.explode(F.array_distinct("outs" if backward else "ins")).alias("addr"))
+    ends = ("ins", "outs") if backward else ("outs", "ins")
+    made, spent = (tx.select(F.col("row_idx").alias(k), F.col("ts").alias(f"{k}ts"), F.explode(F.array_distinct(e)).alias("addr")) for k, e in zip("ab", ends))
     later = "bts < ats" if backward else "bts > ats"
-    facts = tx.select(F.col("row_idx").alias("row"), "kind", "whitelisted_side", "fan_in", "fan_out", "total_in")
-    frontier = scratch.cut(starts.select(F.col("seed"), F.col("seed").alias("row"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("hop")), "hop-0")
-    seen = frontier
+    # only addresses with a step at all are kept; a frontier then meets the steps of its own addresses
+    last = spent.groupBy("addr").agg((F.min("bts") if backward else F.max("bts")).alias("bts"))
+    made = scratch.cut(made.join(last, "addr").where(later).drop("bts"), "made")
+    facts = tx.select(F.col("row_idx").alias("row"), "kind", "whitelisted_side", "total_in")
+    frontier, got = scratch.measured(starts.select(F.col("seed"), F.col("seed").alias("row"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("hop"), F.lit(True).alias("open")), "hop-0", n=F.count(F.lit(1)))
+    seen, n = frontier, got["n"]
     for hop in range(1, hops + 1):
-        open_ = frontier if hop == 1 else frontier.join(facts.where("kind <> 'CoinJoin_Mixer' AND whitelisted_side IS NULL"), "row", "left_semi")
-        near = open_.select("seed", F.col("row").alias("a")).join(made, "a").join(spent, "addr").where(later)
-        found = near.groupBy("seed", F.col("b").alias("row")).agg(F.min("a").alias("parent")).join(seen.select("seed", "row"), ["seed", "row"], "left_anti")
+        near = hinted(frontier.where("open").select("seed", F.col("row").alias("a")), n).join(made, "a")
+        found = near.join(spent, "addr").where(later).groupBy("seed", F.col("b").alias("row")).agg(F.min("a").alias("parent")).join(seen.select("seed", "row"), ["seed", "row"], "left_anti")
         # a trace is full at `most`: what can't be among its nearest needs no further steps
         room = Window.partitionBy("seed").orderBy(F.desc("total_in"), "row")
-        found = found.join(facts.select("row", "total_in"), "row").withColumn("k", F.row_number().over(room)).where(F.col("k") <= most)
-        frontier = scratch.cut(found.select("seed", "row", "parent", F.lit(hop).alias("hop")), f"hop-{hop}")
+        found = found.join(facts, "row").withColumn("k", F.row_number().over(room)).where(F.col("k") <= most)
+        frontier, got = scratch.measured(found.select("seed", "row", "parent", F.lit(hop).alias("hop"), F.expr("kind <> 'CoinJoin_Mixer' AND whitelisted_side IS NULL").alias("open")), f"hop-{hop}", n=F.count(F.lit(1)))
+        n = got["n"]
         seen = seen.unionByName(frontier)
-        if not frontier.limit(1).count():
+        if not n:
             break
     rows = seen.join(tx.select(F.col("row_idx").alias("row"), "txid", "ts", "kind", "whitelisted_side", "whitelisted_entity", "fan_in", "fan_out", "total_in", "out_amts", "fee"), "row")
     kept = rows.withColumn("k", F.row_number().over(Window.partitionBy("seed").orderBy("hop", F.desc("total_in"), "row"))).where(F.col("k") <= most)

@@ -42,6 +42,11 @@ def classified(spark: SparkSession, sf_dir: str, t: DataFrame | None = None) ->
     return rows.withColumn("structural", kind).withColumn("kind", X.final_type("structural", "whitelisted_side"))
 
 
+def cut_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written to the shared folder once: traces read it in every hop."""
+    return Scratch(spark, "classified").cut(classified(spark, sf_dir), "rows")
+
+
 def _pipe(cell: str) -> str:
     return f"list_filter(list_transform(string_split(CASE WHEN coalesce({cell}, '') IN ('', 'nan', 'None') THEN '' ELSE {cell} END, '|'), lambda x: trim(x)), lambda x: x <> '')"
 

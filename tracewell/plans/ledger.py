@@ -134,12 +134,12 @@ def _starts(t: DataFrame) -> DataFrame:
 
 
 def trace_forward(spark: SparkSession, d: str) -> DataFrame:
-    t = base.classified(spark, d)
+    t = base.cut_classified(spark, d)
     return trace.trace(t, _starts(t), HOPS).drop("whitelisted_entity", "txid")
 
 
 def trace_backward(spark: SparkSession, d: str) -> DataFrame:
-    t = base.classified(spark, d)
+    t = base.cut_classified(spark, d)
     return trace.trace(t, _starts(t), HOPS, backward=True).drop("whitelisted_entity", "txid")
 
 
@@ -199,7 +199,7 @@ def full_features(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_package(spark: SparkSession, d: str) -> DataFrame:
     """The evidence file: leads with their traces, as one JSON text each."""
-    t = base.classified(spark, d)
+    t = base.cut_classified(spark, d)
     return evidence(t, trace.trace(t, _starts(t), HOPS))
 
 

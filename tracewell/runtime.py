@@ -52,6 +52,11 @@ class Scratch:
         self.cut(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]), slot)
         return self.spark.read.schema(df.schema).parquet(self.old[slot]), seen.get
 
+    def small(self, df: DataFrame, slot: str, most: int = BROADCAST_ROWS) -> DataFrame:
+        """As ``cut``, with a broadcast hint if the rows, counted while they are written, are at most ``most``: the plan runs once, not once to count and once to use."""
+        done, seen = self.measured(df, slot, n=F.count(F.lit(1)))
+        return F.broadcast(done) if seen["n"] <= most else done
+
     def delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -68,6 +73,11 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def hinted(df: DataFrame, n: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if its known number of rows ``n`` allows it."""
+    return F.broadcast(df) if n <= most else df
+
+
 def partitions(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * factor)
 
