@@ -48,6 +48,18 @@ def test_rank_errors_and_exact_groups(spark):
                 assert abs(err - true) < 1e-9
 
 
+def test_estimates_beyond_the_bound_become_exact(spark):
+    df = table(spark)
+    found = G.estimates(G.combined(G.daily(df, "t", KINDS, M), M), M)
+    rows = G.certified(df, found, "t", KINDS, M, bound=1e-5).collect()
+    want = groups(df)
+    assert {(r.kind, r.key, r.measure) for r in rows} == set(want) and len(rows) == len(want)
+    assert max(max(r.rank_error) for r in rows) <= 1e-5 and any(r.exact and r.n > G.EXACT for r in rows)
+    for r in rows:
+        if r.exact:
+            assert r.n == len(want[(r.kind, r.key, r.measure)]) and np.allclose(r.q, np.quantile(want[(r.kind, r.key, r.measure)], G.QUANTILES))
+
+
 def test_days_combine_in_any_order(spark):
     df = table(spark, 6000)
     days = G.daily(df, "t", KINDS, M)

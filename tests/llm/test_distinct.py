@@ -37,8 +37,8 @@ def test_against_exact_counts(spark):
     assert {(r.level, r.day, r.g, r.h) for r in got} == set(want)
     for r in got:
         n = want[(r.level, r.day, r.g, r.h)]
-        assert r.low <= n <= r.high or abs(r.distinct_count / n - 1) < 5 * D.ERROR
-        assert n >= D.LISTED or r.distinct_count == n
+        assert r.low <= n <= r.high or abs(r.distinct_count / n - 1) < 5 * D.SIZE.error
+        assert n >= D.SIZE.listed or r.distinct_count == n
 
 
 def test_merging_days_gives_the_sketch_of_all_rows(spark):
@@ -55,9 +55,9 @@ def test_error_of_full_sketches():
     errors = []
     for n in (5_000, 50_000, 400_000):
         for _ in range(8):
-            index, mask = D.registers(rng.integers(0, 2**64, n, dtype=np.uint64))
-            errors.append(D.full(np.zeros(n, np.int64), index, mask, 1)[1][0] / n - 1)
-    assert np.sqrt(np.mean(np.square(errors))) < 1.6 * D.ERROR and abs(np.mean(errors)) < 0.01
+            index, mask = D.registers(rng.integers(0, 2**64, n, dtype=np.uint64), D.SIZE)
+            errors.append(D.full(np.zeros(n, np.int64), index, mask, 1, D.SIZE)[1][0] / n - 1)
+    assert np.sqrt(np.mean(np.square(errors))) < 1.6 * D.SIZE.error and abs(np.mean(errors)) < 0.01
 
 
 def test_states_round_trip():
@@ -72,7 +72,7 @@ def test_small_and_large_join_without_loss(spark):
     days = D.merge(D.sketches(big.unionByName(one), "t", ["g", "h"], {"i": D.hashed("i")}), KEYS)
     alone = D.merge(D.sketches(big, "t", ["g", "h"], {"i": D.hashed("i")}), KEYS).where("level = ''").collect()[0]
     both = D.union(days, ["id_name", "level", "g", "h"]).where("level = ''").collect()[0]
-    assert both.sketch == alone.sketch and abs(both.distinct_count / 5000 - 1) < 5 * D.ERROR
+    assert both.sketch == alone.sketch and abs(both.distinct_count / 5000 - 1) < 5 * D.SIZE.error
 
 
 def test_empty_and_null_only(spark):
@@ -81,3 +81,12 @@ def test_empty_and_null_only(spark):
     assert D.merge(D.sketches(df.selectExpr("t", "g", "h", "cast(null AS string) AS i"), "t", ["g", "h"], {"i": D.hashed("i")}), KEYS).count() == 0
     nulls = df.selectExpr("cast(null AS timestamp_ntz) AS t", "cast(null AS string) AS g", "cast(null AS int) AS h", "repeat('y', 100000) AS i")
     assert {r.distinct_count for r in D.merge(D.sketches(nulls, "t", ["g", "h"], {"i": D.hashed("i")}), KEYS).collect()} == {1.0}
+
+
+def test_full_sketches_of_many_tasks_meet_in_two_steps(spark):
+    size = D.Size(6)
+    df = spark.range(0, 40_000, 1, 16).selectExpr("timestamp_ntz'2026-07-01' AS t", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS g", "1 AS h", "concat('x', id % 9000) AS i")
+    got = {r.g: r for r in D.merge(D.sketches(df, "t", ["g", "h"], {"i": D.hashed("i")}, size), KEYS, size).where("level = 'g,h'").collect()}
+    one = {r.g: r for r in D.merge(D.sketches(df.coalesce(1), "t", ["g", "h"], {"i": D.hashed("i")}, size), KEYS, size).where("level = 'g,h'").collect()}
+    assert got == one and all(len(r.sketch) == size.m for r in got.values())
+    assert all(abs(got[g].distinct_count / n - 1) < 5 * size.error for g, n in (("a", 3000), ("b", 6000)))

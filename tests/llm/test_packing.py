@@ -53,5 +53,13 @@ def test_partitions_exchange_what_does_not_fit(spark):
     assert 200 <= few < none
 
 
+def test_certificate(spark):
+    df = spark.createDataFrame([(f"d{i}", 1 + i % 40) for i in range(2000)], "doc string, n int")
+    items = P.pieces(df, "doc", "n", 100)
+    r = P.certificate(P.fill(items, 100, each=300), 100).collect()[0]
+    assert r["items"] == 2000 and r.total_size == 2000 * 20.5 and r.bound <= r.containers <= r.bound + 1 and r.fullest <= 100
+    assert P.certificate(P.fill(items.limit(0), 100), 100).collect()[0].containers == 0
+
+
 def test_empty(spark):
     assert pack(spark, []) == [] and pack(spark, [("a", 0)]) == []

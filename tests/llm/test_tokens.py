@@ -16,7 +16,7 @@ def transducer():
 
 def samples():
     rng = random.Random(5)
-    yield from ("", "a", " ", "\n\n\n", "<|endoftext|>", "don't  we'll\t'RE", "naïve é日本語 👍🏽", "\x00\x1f�", "a" * 9000, " " * 9000, "\n \n" * 3000, "1" * 9000, "日" * 4000, "=-" * 4000)
+    yield from ("", "a", " ", "\n\n\n", "<|endoftext|>", "don't  we'll\t'RE", "naïve é日本語 👍🏽", "\x00\x1f�", "a" * 9000, " " * 9000, "\n \n" * 3000, "1" * 9000, "日" * 4000, "=-" * 4000, "a!\x1c" * 900, "! " * 3000, "日本、" * 900, "x\x85y\u2003z" * 500, " \n\n  a" * 800)
     for _ in range(60):
         parts = rng.choice([["the", "ing", "an", "ti"], [" ", "\n", "\t", "a"], ["é", "日", "м", "👍"], list("etaoinshr"), ["'s", "'re", "'", " '"]])
         yield "".join(rng.choice(parts) for _ in range(rng.randrange(400, 3000)))

@@ -2,7 +2,8 @@
 
 Sorted values are clustered under a size function of their quantile: a cluster may span at most one unit of k(q) = d / (2 pi) * asin(2 q - 1), so clusters are
 small near the ends. Digests are merged by clustering their centroids again. A group of up to ``EXACT`` values keeps them all, so its percentiles are exact.
-For the others a second pass over the rows counts how many lie below each estimate, which gives the rank error itself rather than a bound.
+For the others a second pass over the rows counts how many lie below each estimate, which gives the rank error itself rather than a bound; an estimate beyond the allowed error is replaced by the exact
+percentile, from counts of the group's distinct values. Partial digests of groups that hold more than a handful of a task's rows are merged per day in two steps, first by group, day and a salt.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.runtime import Scratch, small_side
+from tracewell.operators import order
+from tracewell.runtime import Scratch
 
 D = 500
 EXACT = 256
 QUANTILES = (0.5, 0.95, 0.99)
 BUFFER = 1 << 18
-#: Rank error that no estimate exceeds after a few merges: half of the widest cluster, doubled for each of two further mergings.
+#: Rank error that is allowed: half of the widest cluster, doubled for each of two further mergings. Estimates beyond it are replaced by exact percentiles.
 BOUND = 4 * np.pi / D / 2
+SALTS = 64  # tasks over which the partial digests of one group and day are spread at first
 
 
 def clustered(group: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,10 +172,16 @@ def merge_rows(batch: pa.RecordBatch, measures: int, parts: int) -> list[pa.Reco
 
 
 def daily(df: DataFrame, day: str, kinds: dict[str, str | None], measures: Sequence[str]) -> DataFrame:
-    """One digest per kind, key and day. Rows of a key stay together and in order of days, so ``combined`` needs no further shuffle."""
-    n = len(measures)
-    ordered = partials(df, day, kinds, measures).repartition("kind", "key").sortWithinPartitions("kind", "key", "day")
-    return ordered.mapInArrow(lambda it: folded(it, n, 3), DIGEST)
+    """One digest per kind, key and day. Rows of a key stay together and in order of days, so ``combined`` needs no further shuffle.
+
+    Of a group with many values, a task per salt merges the partial digests of a day, then a task per day those; only one digest a day comes to the task of the key.
+    """
+    n, by = len(measures), ["kind", "key", "day"]
+    partial = Scratch(df.sparkSession, "digests").cut(partials(df, day, kinds, measures).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))), "partial")
+    heavy = F.size("m") > EXACT
+    merged = lambda rows: rows.sortWithinPartitions(*by).select(*NAMES).mapInArrow(lambda it: folded(it, n, 3), DIGEST)
+    days = merged(merged(partial.where(heavy).repartition(*by, "salt")).repartition(*by))
+    return merged(partial.where(~heavy).select(*NAMES).unionByName(days).repartition("kind", "key"))
 
 
 def combined(days: DataFrame, measures: Sequence[str]) -> DataFrame:
@@ -224,14 +233,15 @@ def estimates(digests: DataFrame, measures: Sequence[str], quantiles: Sequence[f
     return digests.mapInArrow(run, "kind string, key string, day date, measure string, n long, exact boolean, q array<double>")
 
 
-def certified(df: DataFrame, found: DataFrame, day: str, kinds: dict[str, str | None], measures: Sequence[str], quantiles: Sequence[float] = QUANTILES) -> DataFrame:
-    """``found`` (totals of ``estimates``) with ``rank_error`` of each percentile, counted over the rows; 0 for exact groups.
+def certified(df: DataFrame, found: DataFrame, day: str, kinds: dict[str, str | None], measures: Sequence[str], quantiles: Sequence[float] = QUANTILES, bound: float = BOUND) -> DataFrame:
+    """``found`` (totals of ``estimates``) with ``rank_error`` of each percentile, counted over the rows; 0 for exact groups. None exceeds ``bound``.
 
     The estimates of inexact groups (each has over ``EXACT`` rows) are few; they are broadcast if a count proves so, else joined by a shuffle that splits hot keys.
     """
-    found = Scratch(found.sparkSession, "digest").cut(found, "found")  # read three times below
+    scratch = Scratch(found.sparkSession, "digest")
+    found = scratch.cut(found, "found")  # read twice below
     inexact = found.where(~F.col("exact")).groupBy("kind", "key").agg(F.map_from_entries(F.collect_list(F.struct("measure", "q"))).alias("qs"))
-    inexact = small_side(inexact.select("kind", "key", *[F.element_at("qs", F.lit(m)).alias(f"q{i}") for i, m in enumerate(measures)]), 20_000)
+    inexact = scratch.small(inexact.select("kind", "key", *[F.element_at("qs", F.lit(m)).alias(f"q{i}") for i, m in enumerate(measures)]), "inexact", 20_000)
     keys = [F.struct(F.lit(k).alias("kind"), (F.trim(F.col(c).cast("string")) if c else F.to_date(day).cast("string")).alias("key")) for k, c in kinds.items()]
     finite = [F.when(F.abs(F.col(m).cast("double")) < float("inf"), F.col(m).cast("double")).alias(f"v{i}") for i, m in enumerate(measures)]
     rows = df.select(F.array(*keys).alias("keys"), *finite).select(F.inline("keys"), *[f"v{i}" for i in range(len(measures))])
@@ -242,7 +252,17 @@ def certified(df: DataFrame, found: DataFrame, day: str, kinds: dict[str, str |
             counts += [F.sum((F.col(f"v{i}") < at).cast("int")).alias(f"l{i}_{j}"), F.sum((F.col(f"v{i}") <= at).cast("int")).alias(f"h{i}_{j}")]
     counted = rows.join(inexact, ["kind", "key"]).groupBy("kind", "key").agg(*counts)
     pairs = [F.struct(F.lit(m).alias("measure"), F.array(*[F.struct(F.col(f"l{i}_{j}").alias("l"), F.col(f"h{i}_{j}").alias("h")) for j in range(len(quantiles))]).alias("c")) for i, m in enumerate(measures)]
-    by_measure = counted.select("kind", "key", F.inline(F.array(*pairs)))
-    joined = found.join(small_side(by_measure, 20_000 * len(measures)), ["kind", "key", "measure"], "left")
+    by_measure = scratch.small(counted.select("kind", "key", F.inline(F.array(*pairs))), "counted", 20_000 * len(measures))
+    joined = found.join(by_measure, ["kind", "key", "measure"], "left")
     error = F.transform(F.col("c"), lambda x, j: F.greatest(F.lit(0.0), x["l"] / F.col("n") - F.element_at(F.array(*map(F.lit, quantiles)), j + 1), F.element_at(F.array(*map(F.lit, quantiles)), j + 1) - x["h"] / F.col("n")))
-    return joined.select("kind", "key", "measure", "n", "exact", "q", F.when(F.col("exact"), F.array(*[F.lit(0.0)] * len(quantiles))).otherwise(error).alias("rank_error"))
+    done = joined.select("kind", "key", "measure", "n", "exact", "q", F.when(F.col("exact"), F.array(*[F.lit(0.0)] * len(quantiles))).otherwise(error).alias("rank_error"))
+    far = F.array_max("rank_error") > bound
+    done, seen = scratch.measured(done, "done", far=F.count_if(far))
+    if not seen["far"]:
+        return done
+    wanted = scratch.small(done.where(far).select("kind", "key", "measure"), "far")
+    values = rows.select("kind", "key", F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"v{i}").alias("value")) for i, m in enumerate(measures)]))).where("value IS NOT NULL")
+    counts = values.join(wanted, ["kind", "key", "measure"]).groupBy("kind", "key", "measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    placed = order.cumulative(counts.select(F.struct("kind", "key", "measure").alias("g"), "value", "n"), "g", "value")
+    exact = order.quantiles_of(placed, "g", quantiles).select("g.kind", "g.key", "g.measure", F.col("total").alias("n"), F.lit(True).alias("exact"), "q", F.array(*[F.lit(0.0)] * len(quantiles)).alias("rank_error"))
+    return done.where(~far).unionByName(exact)

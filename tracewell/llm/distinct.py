@@ -3,16 +3,18 @@
 A sketch has 2^p registers of one byte: the largest rank seen and whether the two ranks below it were seen as well. The rank is the place of the lowest
 set bit of the identifier's hash beside the register's index, so rank k has probability 2^-k. Merging two sketches gives exactly the sketch of the
 union. The count is the maximum-likelihood estimate; its relative standard error is sqrt(4.63 / (8 * 2^p)), 1.19 % for p = 12, where HyperLogLog needs
-a quarter more space for the same error. A sketch of fewer than 2^p / 4 identifiers lists 32 bits of each hash instead, in no more space: such counts are exact.
+a quarter more space for the same error. A sketch of fewer than 2^p / 8 identifiers lists their 64-bit hashes instead, in no more space: such counts are exact but for
+equal hashes of different identifiers, of which n identifiers hold a pair with a chance of n^2 / 2^65 (under 1e-14 in any list).
 
-Map tasks fold their rows into sparse sketches of all wanted groupings, only sketches are shuffled, and a merge reads them in key order with one group in memory.
-A hot identifier or group is thus as cheap as any other.
+Map tasks fold their rows into sparse sketches of all wanted groupings, and only sketches are shuffled. Full sketches, of which a large group has one for each million rows, are merged in
+two steps, first by group and a salt, then by group; a merge reads sketches in key order with one group in memory. A hot identifier or group is thus as cheap as any other.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -21,14 +23,40 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-P = 12
-M = 1 << P
-RANKS = 64 - P + 1
-LOW = 20
-LISTED = M // 4  # hashes that a sketch lists, in no more space than a full one, before it turns to registers
-ERROR = math.sqrt(4.631289 / (8 * M))
-BIAS = 1 + 0.48147376527720065 / M
+from tracewell.runtime import Scratch
+
 BUFFER = 1 << 20  # rows that a map task folds at once
+SALTS = 64  # tasks over which the full sketches of one group are spread at first
+
+
+@dataclass(frozen=True)
+class Size:
+    """The size of sketches: 2^p registers, or fewer than ``listed`` hashes of eight bytes."""
+
+    p: int = 12
+
+    @property
+    def m(self) -> int:
+        return 1 << self.p
+
+    @property
+    def ranks(self) -> int:
+        return 64 - self.p + 1
+
+    @property
+    def listed(self) -> int:
+        return self.m // 8
+
+    @property
+    def error(self) -> float:
+        return math.sqrt(4.631289 / (8 * self.m))
+
+    @property
+    def bias(self) -> float:
+        return 1 + 0.48147376527720065 / self.m
+
+
+SIZE = Size()
 
 
 def hashed(identifier: str | Column) -> Column:
@@ -37,12 +65,12 @@ def hashed(identifier: str | Column) -> Column:
     return F.when(x != "", F.xxhash64(x))
 
 
-def registers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def registers(h: np.ndarray, size: Size) -> tuple[np.ndarray, np.ndarray]:
     """Register index and rank mask (one bit) of each hash."""
     h = h.astype(np.uint64)
-    rest = h & np.uint64((1 << (64 - P)) - 1)
+    rest = h & np.uint64((1 << (64 - size.p)) - 1)
     low = rest & (~rest + np.uint64(1))
-    return (h >> np.uint64(64 - P)).astype(np.int64), np.where(rest == 0, np.uint64(1 << (64 - P)), low).astype(np.int64)
+    return (h >> np.uint64(64 - size.p)).astype(np.int64), np.where(rest == 0, np.uint64(1 << (64 - size.p)), low).astype(np.int64)
 
 
 def to_state(mask: np.ndarray) -> np.ndarray:
@@ -64,49 +92,44 @@ def merged(key: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[at], (np.bitwise_or.reduceat(mask, at) if len(key) else mask)
 
 
-def listed(h: np.ndarray) -> np.ndarray:
-    """32 bits of each hash: the register's index and the 20 low bits, from which the rank follows unless they are all 0."""
-    h = h.astype(np.uint64)
-    return (h >> np.uint64(64 - P) << np.uint64(LOW) | h & np.uint64((1 << LOW) - 1)).astype(np.int64)
-
-
-def entries(sketch: bytes) -> tuple[bool, np.ndarray]:
+def entries(sketch: bytes, size: Size) -> tuple[bool, np.ndarray]:
     """Whether the sketch is full, and its used registers (register << 8 | byte) or listed hashes."""
-    if len(sketch) == M:
+    if len(sketch) == size.m:
         dense = np.frombuffer(sketch, np.uint8)
         used = np.flatnonzero(dense)
         return True, used.astype(np.int64) << 8 | dense[used]
-    return False, np.frombuffer(sketch, "<u4").astype(np.int64)
+    return False, np.frombuffer(sketch, "<i8")
 
 
-def full(group: np.ndarray, index: np.ndarray, mask: np.ndarray, groups: int) -> tuple[list[bytes], np.ndarray]:
+def full(group: np.ndarray, index: np.ndarray, mask: np.ndarray, groups: int, size: Size) -> tuple[list[bytes], np.ndarray]:
     """Full sketches of ``groups`` groups from rank masks, and their counts."""
-    key, mask = merged(group << P | index, mask)
+    key, mask = merged(group << size.p | index, mask)
     state = to_state(mask)
-    dense = np.zeros((groups, M), np.uint8)
-    dense[key >> P, key & (M - 1)] = state
-    return [d.tobytes() for d in dense], estimate(key >> P, state, groups)
+    dense = np.zeros((groups, size.m), np.uint8)
+    dense[key >> size.p, key & (size.m - 1)] = state
+    return [d.tobytes() for d in dense], estimate(key >> size.p, state, groups, size)
 
 
 def split(starts: np.ndarray, array: np.ndarray) -> list[np.ndarray]:
     return np.split(array, starts[1:]) if len(starts) else []
 
 
-def estimate(group: np.ndarray, state: np.ndarray, groups: int) -> np.ndarray:
+def estimate(group: np.ndarray, state: np.ndarray, groups: int, size: Size = SIZE) -> np.ndarray:
     """Maximum-likelihood counts of ``groups`` sketches given the bytes of all their used registers.
 
     With rate x a register, rank k is seen with probability 1 - exp(-x / 2^k); the derivative of the log-likelihood is
     sum(seen_k / 2^k / expm1(x / 2^k)) - unseen, falling and convex, so Newton's steps from the left are monotone.
     """
-    top, rho = state >> 2, 2.0 ** -np.arange(RANKS + 2)
-    seen = np.zeros(groups * (RANKS + 2))
-    unseen = np.bincount(group, np.where(top >= RANKS, 0, rho[np.minimum(top, RANKS)]) - 1.0, groups) + M
-    np.add.at(seen, group * (RANKS + 2) + top, 1)
+    ranks, m = size.ranks, size.m
+    top, rho = state >> 2, 2.0 ** -np.arange(ranks + 2)
+    seen = np.zeros(groups * (ranks + 2))
+    unseen = np.bincount(group, np.where(top >= ranks, 0, rho[np.minimum(top, ranks)]) - 1.0, groups) + m
+    np.add.at(seen, group * (ranks + 2) + top, 1)
     for below, bit in ((1, 2), (2, 1)):
         valid, has = top > below, (state & bit) > 0
-        np.add.at(seen, (group * (RANKS + 2) + top - below)[valid & has], 1)
+        np.add.at(seen, (group * (ranks + 2) + top - below)[valid & has], 1)
         unseen += np.bincount(group[valid & ~has], rho[(top - below)[valid & ~has]], groups)
-    seen = seen.reshape(groups, RANKS + 2)
+    seen = seen.reshape(groups, ranks + 2)
     many = seen.sum(1)
     x = np.where(many > 0, many / np.maximum(unseen + seen @ rho / 2, 1e-300), 0)
     live = np.flatnonzero(many > 0)
@@ -121,14 +144,14 @@ def estimate(group: np.ndarray, state: np.ndarray, groups: int) -> np.ndarray:
         step = -value / slope
         x[live] += step
         live = live[np.abs(step) > 1e-10 * x[live]]
-    return x * M / BIAS
+    return x * m / size.bias
 
 
 def levels(dims: Sequence[str]) -> list[tuple[int, ...]]:
     return [c for n in range(len(dims), -1, -1) for c in combinations(range(len(dims)), n)]
 
 
-def sketches(df: DataFrame, day: str | None, dims: Sequence[str], ids: dict[str, Column]) -> DataFrame:
+def sketches(df: DataFrame, day: str | None, dims: Sequence[str], ids: dict[str, Column], size: Size = SIZE) -> DataFrame:
     """Partial sketches per day and every combination of ``dims``: ``id_name``, ``level`` (the columns grouped by), ``day``, the dims as strings, ``sketch``.
 
     ``ids``: name to hash (see ``hashed``). Dims outside a level are null; so is a null value of a dim inside one, a group of its own. A null day is a day of
@@ -162,7 +185,7 @@ def sketches(df: DataFrame, day: str | None, dims: Sequence[str], ids: dict[str,
                     once = np.r_[True, (group[1:] != group[:-1]) | (value[1:] != value[:-1])] if len(group) else np.zeros(0, bool)
                     group, value, codes = group[once], value[once], [c[once] for c in codes]
                 start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-                groups, out = group[start], [small(x) for x in split(start, value)]
+                groups, out = group[start], [small(x, size) for x in split(start, value)]
                 cols, rest = {}, groups
                 for i in reversed(s):
                     cols[i] = uniques[i + 1].take(pa.array(rest % len(uniques[i + 1])))
@@ -187,11 +210,19 @@ def sketches(df: DataFrame, day: str | None, dims: Sequence[str], ids: dict[str,
     return rows.mapInArrow(run, f"id_name string, level string, day date, {', '.join(f'`{d}` string' for d in dims)}, sketch binary")
 
 
-def merge(partial: DataFrame, keys: Sequence[str]) -> DataFrame:
+def merge(partial: DataFrame, keys: Sequence[str], size: Size = SIZE) -> DataFrame:
     """Sketches merged per ``keys``, with ``distinct_count`` and its bounds ``low`` and ``high``: three standard errors, or none where the sketch still lists its hashes.
 
-    Partial sketches come to their group's task in key order; at most one group is open at a time, so memory doesn't grow with the number of partial sketches.
+    The partial sketches are written to the shared folder. Full ones are merged per group and salt before they meet the others of their group.
     """
+    partial = Scratch(partial.sparkSession, "sketches").cut(partial.select(*keys, "sketch", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")), "partial")
+    heavy = F.octet_length("sketch") == size.m
+    spread = combined(partial.where(heavy), [*keys, "salt"], size)
+    return combined(partial.where(~heavy).select(*keys, "sketch").unionByName(spread.select(*keys, "sketch")), keys, size)
+
+
+def combined(partial: DataFrame, keys: Sequence[str], size: Size) -> DataFrame:
+    """Sketches come to their group's task in key order; at most one group is open at a time, so memory doesn't grow with their number."""
     schema = partial.select(*keys).schema
     kinds = [f.dataType.simpleString() for f in schema]
 
@@ -201,20 +232,20 @@ def merge(partial: DataFrame, keys: Sequence[str]) -> DataFrame:
         for i, span in enumerate(spans):
             few = np.unique(np.concatenate([x for f, x in span if not f] or [np.zeros(0, np.int64)]))
             many = [x for f, x in span if f]
-            if not many and len(few) < LISTED:
-                out[i], n[i] = few.astype("<u4").tobytes(), len(few)
+            if not many and len(few) < size.listed:
+                out[i], n[i] = few.astype("<i8").tobytes(), len(few)
                 continue
             many = np.concatenate([*many, np.zeros(0, np.int64)])
             group.append(np.full(len(few) + len(many), len(large)))
-            index += [few >> LOW, many >> 8]
-            low = few & ((1 << LOW) - 1)
-            mask += [low & -low, to_mask(many & 255)]
+            at, low = registers(few, size)
+            index += [at, many >> 8]
+            mask += [low, to_mask(many & 255)]
             large.append(i)
         if large:
-            dense, counts = full(np.concatenate(group), np.concatenate(index), np.concatenate(mask), len(large))
+            dense, counts = full(np.concatenate(group), np.concatenate(index), np.concatenate(mask), len(large), size)
             for i, d, c in zip(large, dense, counts.tolist()):
                 out[i], n[i] = d, c
-        error = np.array([3 * ERROR if len(x) == M else 0 for x in out])
+        error = np.array([3 * size.error if len(x) == size.m else 0 for x in out])
         cols = [pa.array([h[i] for h in heads], kind) for i, kind in enumerate(arrow)]
         return pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.binary()), pa.array(n), pa.array(n * (1 - error)), pa.array(n * (1 + error))], [*keys, "sketch", "distinct_count", "low", "high"])
 
@@ -231,10 +262,10 @@ def merge(partial: DataFrame, keys: Sequence[str]) -> DataFrame:
                         heads, spans = [], []
                     heads.append(head)
                     spans.append([])
-                spans[-1].append(entries(sketch))
+                spans[-1].append(entries(sketch, size))
                 if len(spans[-1]) > 64:  # keeps a group with many partial sketches small
                     joined = finish(heads[-1:], spans[-1:])
-                    spans[-1] = [entries(joined.column(len(keys))[0].as_py())]
+                    spans[-1] = [entries(joined.column(len(keys))[0].as_py(), size)]
         if heads:
             yield finish(heads, spans)
 
@@ -242,15 +273,15 @@ def merge(partial: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ordered.mapInArrow(run, f"{', '.join(f'`{k}` {t}' for k, t in zip(keys, kinds))}, sketch binary, distinct_count double, low double, high double")
 
 
-def small(h: np.ndarray) -> bytes:
+def small(h: np.ndarray, size: Size) -> bytes:
     """The sketch of one group's hashes."""
-    entry = np.unique(listed(h))
-    if len(entry) < LISTED and (entry & ((1 << LOW) - 1)).all():
-        return entry.astype("<u4").tobytes()
-    index, mask = registers(h)
-    return full(np.zeros(len(h), np.int64), index, mask, 1)[0][0]
+    entry = np.unique(h)
+    if len(entry) < size.listed:
+        return entry.astype("<i8").tobytes()
+    index, mask = registers(entry, size)
+    return full(np.zeros(len(entry), np.int64), index, mask, 1, size)[0][0]
 
 
-def union(merged_: DataFrame, keys: Sequence[str]) -> DataFrame:
+def union(merged_: DataFrame, keys: Sequence[str], size: Size = SIZE) -> DataFrame:
     """Merged sketches joined further, over days or groups: the keys that are left."""
-    return merge(merged_, keys)
+    return merge(merged_, keys, size)

@@ -1,9 +1,9 @@
 """Filling fixed-capacity containers with items: best-fit decreasing per partition, certified by dual-feasible functions, with repacking of what is not full.
 
 Items are spread over partitions of bounded size by a hash. Each is packed by best-fit decreasing, and a lower bound from dual-feasible functions
-(Fekete & Schepers, 2001) says how many containers its items need at least. Partitions whose count lies above the bound have a gap; as does the whole while its count lies
-above the bound of all items. The items of containers that are not nearly full then change partitions, by another hash, and are packed again, until
-the bound certifies the count, a round saves nothing, or the rounds are used up.
+(Fekete & Schepers, 2001) says how many containers its items need at least. A partition that reaches its bound is certified; all but its emptiest container, which is the rounding of that bound, stay as they
+are. Partitions with a gap exchange the items of their containers that are not nearly full, by another hash, and with them go the items of the emptiest containers of the certified
+ones; what changed partitions is packed again. Rounds end when the bound of all items certifies the whole count, when a round saves nothing, or when they are used up.
 """
 
 from __future__ import annotations
@@ -66,11 +66,11 @@ def lower_bound(size: np.ndarray, count: np.ndarray, capacity: int) -> int:
     return best
 
 
-PACKED = "item string, piece int, size int, part int, bin int, filled int, bins int, bound int"
+PACKED = "item string, piece int, size int, part int, bin int, filled int, emptiest boolean, gap int"
 
 
 def packed(items: DataFrame, parts: int, seed: int, capacity: int) -> DataFrame:
-    """Items (item, piece, size) with their containers (part, bin), how far those are filled, and the partition's count and bound."""
+    """Items (item, piece, size) with their containers (part, bin), how far those are filled, whether it is the emptiest of its partition, and by how many containers the partition exceeds its bound."""
 
     def run(table: pa.Table) -> pa.Table:
         size = table.column("size").to_numpy()
@@ -79,13 +79,18 @@ def packed(items: DataFrame, parts: int, seed: int, capacity: int) -> DataFrame:
         bin_ = best_fit(size, capacity)
         bins = int(bin_.max()) + 1
         bound = lower_bound(*np.unique(size, return_counts=True), capacity)
-        filled = np.bincount(bin_, size, bins).astype(np.int32)[bin_]
-        full = lambda x: pa.array(np.full(len(size), x), pa.int32())
-        return pa.table([table.column("item"), table.column("piece"), table.column("size"), table.column("part"), pa.array(bin_, pa.int32()), pa.array(filled), full(bins), full(bound)], names=[x.split()[0] for x in PACKED.split(", ")])
+        filled = np.bincount(bin_, size, bins).astype(np.int32)
+        return pa.table([table.column("item"), table.column("piece"), table.column("size"), table.column("part"), pa.array(bin_, pa.int32()), pa.array(filled[bin_]), pa.array(bin_ == filled.argmin()), pa.array(np.full(len(size), bins - bound), pa.int32())], names=[x.split()[0] for x in PACKED.split(", ")])
 
     return items.select("item", "piece", "size", F.pmod(F.xxhash64("item", "piece", F.lit(seed)), F.lit(parts)).cast("int").alias("part")).groupBy("part").applyInArrow(run, PACKED)
 
 
+def bound_of(items: DataFrame, capacity: int) -> tuple[int, int]:
+    """The number of items and the bound of all of them, from the counts of their sizes (at most ``capacity`` different ones)."""
+    sizes = items.groupBy("size").count().collect()
+    return sum(r["count"] for r in sizes), lower_bound(np.array([r["size"] for r in sizes]), np.array([r["count"] for r in sizes]), capacity) if sizes else 0
+
+
 def fill(items: DataFrame, capacity: int, each: int = EACH, rounds: int = ROUNDS) -> DataFrame:
     """``item``, ``piece``, ``size``, ``container_id`` of all items; sizes must be 1 to ``capacity``. No item is split or left out; equal items are packed each for itself.
 
@@ -93,34 +98,35 @@ def fill(items: DataFrame, capacity: int, each: int = EACH, rounds: int = ROUNDS
     """
     scratch = Scratch(items.sparkSession, "packing")
     todo = scratch.cut(items, "items")
-    sizes = todo.groupBy("size").count().collect()
-    if not sizes:
+    total, bound = bound_of(todo, capacity)
+    if not total:
         return todo.select("item", "piece", "size", F.lit("").alias("container_id"))
-    total = sum(r["count"] for r in sizes)
-    bound = lower_bound(np.array([r["size"] for r in sizes]), np.array([r["count"] for r in sizes]), capacity)
-    name = F.concat_ws("-", F.lit(0), "part", "bin").alias("container_id")
-    current = scratch.cut(packed(todo, math.ceil(total / each), 0, capacity).select("item", "piece", "size", "filled", name), "packed")
+    loose = F.col("emptiest") | (F.col("gap") > 0) & (F.col("filled") < capacity * (1 - SLACK))
+    id_ = F.struct("part", "bin")
+    measures = {"all": F.count_distinct(id_), "open": F.count_distinct(F.when(loose, id_)), "items": F.count_if(loose)}
+    current = scratch.cut(packed(todo, math.ceil(total / each), 0, capacity).withColumn("round", F.lit(0)), "packed")
     scratch.drop("items")
     done: list[DataFrame] = []
-    count = current.agg(F.count_distinct("container_id")).collect()[0][0]
+    closed = 0
     for k in range(1, rounds + 1):
-        if count <= bound:
-            break
-        loose = F.col("filled") < capacity * (1 - SLACK)
-        open_ = current.where(loose)
-        n, before = open_.agg(F.count(F.lit(1)), F.count_distinct("container_id")).collect()[0]
-        if before < 2:
+        n = current.agg(*[m.alias(name) for name, m in measures.items()]).collect()[0]
+        if closed + n["all"] <= bound or n["open"] < 2:
             break
-        again = packed(open_, math.ceil(n / each), k, capacity).select("item", "piece", "size", "filled", F.concat_ws("-", F.lit(k), "part", "bin").alias("container_id"))
-        again = scratch.cut(again, f"again-{k}")
-        after = again.agg(F.count_distinct("container_id")).collect()[0][0]
-        if after >= before:
+        again = scratch.cut(packed(current.where(loose), math.ceil(n["items"] / each), k, capacity).withColumn("round", F.lit(k)), f"again-{k}")
+        if again.agg(F.count_distinct(id_)).collect()[0][0] >= n["open"]:
             break
         done.append(current.where(~loose))
-        current, count = again, count - before + after
+        current, closed = again, closed + n["all"] - n["open"]
     for part in done:
         current = current.unionByName(part)
-    return current.select("item", "piece", "size", "container_id")
+    return current.select("item", "piece", "size", F.concat_ws("-", "round", "part", "bin").alias("container_id"))
+
+
+def certificate(filled: DataFrame, capacity: int) -> DataFrame:
+    """One row on a result of ``fill``: items, their total size, containers, how full the fullest is, and the bound: the containers that any packing of these items needs at least."""
+    total, bound = bound_of(filled, capacity)
+    per = filled.groupBy("container_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("items"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"), F.count(F.lit(1)).alias("containers"), F.max("size").alias("fullest"), F.lit(bound).cast("long").alias("bound"))
 
 
 def pieces(counts: DataFrame, key: str, tokens: str, capacity: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import components, digest, distinct, packing, residue, tokens
-from tracewell.runtime import read
+from tracewell.runtime import Scratch, read
 
 MEASURES = ("amount_btc", "fee", "fan_in", "fan_out", "fee_rate_urgency", "port_risk_combined", "ip_observation_count", "observation_spread_s", "risk_score")
 KINDS = {"detected_type": "detected_type", "entity_id": "entity_id", "day": None}
@@ -43,6 +43,19 @@ def p2_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_telemetry(spark, sf_dir).where("low = high").drop("low", "high")
 
 
+def p2_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by full sketches, of 2^8 registers here, so that most groups leave the list form: whether each lies within five standard errors of the exact number beside it."""
+    size = distinct.Size(8)
+    wire, keys = read(spark, sf_dir, "telemetry"), ["level", "day", *WIRE]
+    found = distinct.merge(distinct.sketches(wire, "ts", WIRE, {"src_ip": distinct.hashed("src_ip")}, size), keys, size).where(F.octet_length("sketch") == size.m)
+    ids = wire.select(F.to_date("ts").alias("day"), *[F.col(c).cast("string").alias(c) for c in WIRE], distinct.hashed("src_ip").alias("h")).where("h IS NOT NULL")
+    exact = ids.cube(*WIRE, "day").agg(F.grouping("day").alias("gd"), *[F.grouping(c).alias(f"g_{c}") for c in WIRE], F.count_distinct("h").alias("n")).where("gd = 0")
+    exact = exact.select(F.concat_ws(",", *[F.when(F.col(f"g_{c}") == 0, c) for c in WIRE]).alias("level"), "day", *WIRE, "n")
+    same = [F.equal_null(found[k], exact[k]) for k in keys]
+    near = F.abs(F.col("distinct_count") / F.col("n") - 1) <= 5 * size.error
+    return found.join(exact, same).select(*[found[k] for k in keys], F.col("n").alias("exact_count"), near.alias("within"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.components(read(spark, sf_dir, "address_links"), "address_a", "address_b")
 
@@ -64,6 +77,12 @@ def p6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("n") <= digest.EXACT).select("kind", "key", "measure", "n", *[x.alias(p) for x, p in zip(named, ("median", "p95", "p99"))])
 
 
+def p6_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups whose percentiles come from clustered digests: whether each rank error, counted over the rows, is within the bound."""
+    done = p6_percentiles(spark, sf_dir).where(F.col("n") > digest.EXACT)
+    return done.select("kind", "key", "measure", "n", (F.col("rank_error") <= digest.BOUND).alias("within"))
+
+
 def p6_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same percentiles of single days per type: the digests that ``p6_percentiles`` combines."""
     rows = read(spark, sf_dir, "scored_rows")
@@ -82,9 +101,24 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's (piece's) container of ``CAPACITY`` tokens."""
-    sizes = tokens.counted(read(spark, sf_dir, "documents"), "doc_id", "text")
-    done = packing.fill(packing.pieces(sizes, "doc_id", "n_tokens", CAPACITY), CAPACITY)
-    return done.select(F.col("item").cast("long").alias("doc_id"), "piece", F.col("size").alias("n_tokens"), "container_id")
+    return _filled(spark, sf_dir).select(F.col("item").cast("long").alias("doc_id"), "piece", F.col("size").alias("n_tokens"), "container_id")
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(packing.pieces(tokens.counted(read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY), CAPACITY)
+
+
+def p8_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers there are and how many any packing needs."""
+    return packing.certificate(_filled(spark, sf_dir), CAPACITY)
+
+
+def p8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that came out, those of more than one piece though they fit a container, and containers filled beyond their capacity."""
+    done = Scratch(spark, "whole").cut(_filled(spark, sf_dir), "filled")
+    texts = done.groupBy("item").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("size"))
+    over = done.groupBy("container_id").agg(F.sum("size").alias("size")).agg(F.count_if(F.col("size") > CAPACITY).alias("n_over")).scalar()
+    return texts.agg(F.count(F.lit(1)).alias("n_texts"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= CAPACITY)).alias("n_cut_needlessly")).withColumn("n_overfull", over)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,12 +132,16 @@ def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source").join(found, "doc_id").groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_telemetry, p2_scored, p2_all_days, p2_listed, p5_found, p6_percentiles, p6_daily, p6_exact, p7_ids, p7_decoded, p8_packed, p9_found, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p2_telemetry, p2_scored, p2_all_days, p2_listed, p2_registers, p5_found, p6_percentiles, p6_daily, p6_exact, p6_bounded, p7_ids, p7_decoded, p8_packed, p8_certificate, p8_whole, p9_found, p9_kinds)}
 
 _CASES = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {key} AS key, '{m}' AS measure, {m}::DOUBLE AS v FROM scored_rows WHERE isfinite({m}::DOUBLE) AND {key} <> ''" for kind, key in (("detected_type", "trim(detected_type)"), ("entity_id", "trim(entity_id)"), ("day", "ts::DATE::VARCHAR")) for m in MEASURES)
 ORACLE = {
+    "p2_registers": f"""SELECT concat_ws(',', CASE WHEN grouping(geo_country) = 0 THEN 'geo_country' END, CASE WHEN grouping(asn) = 0 THEN 'asn' END, CASE WHEN grouping(dst_port) = 0 THEN 'dst_port' END) AS level, day, geo_country, asn, dst_port, count(DISTINCT ip) AS exact_count, true AS within
+        FROM (SELECT ts::DATE AS day, geo_country, asn, dst_port::VARCHAR AS dst_port, trim(src_ip) AS ip FROM telemetry WHERE trim(src_ip) <> '') GROUP BY day, CUBE (geo_country, asn, dst_port) HAVING count(DISTINCT ip) >= {distinct.Size(8).listed}""",
+    "p6_bounded": f"WITH c AS ({_CASES}) SELECT kind, key, measure, count(*) AS n, true AS within FROM c GROUP BY 1, 2, 3 HAVING count(*) > {digest.EXACT}",
+    "p8_whole": "SELECT count(*) FILTER (text <> '') AS n_texts, 0::BIGINT AS n_cut_needlessly, 0::BIGINT AS n_overfull FROM documents",
     "p2_listed": f"""SELECT 'src_ip' AS id_name, concat_ws(',', CASE WHEN grouping(geo_country) = 0 THEN 'geo_country' END, CASE WHEN grouping(asn) = 0 THEN 'asn' END, CASE WHEN grouping(dst_port) = 0 THEN 'dst_port' END) AS level, day, geo_country, asn, dst_port, count(DISTINCT ip)::DOUBLE AS distinct_count
-        FROM (SELECT ts::DATE AS day, geo_country, asn, dst_port::VARCHAR AS dst_port, trim(src_ip) AS ip FROM telemetry WHERE trim(src_ip) <> '') GROUP BY day, CUBE (geo_country, asn, dst_port) HAVING count(DISTINCT ip) < {distinct.LISTED}""",
+        FROM (SELECT ts::DATE AS day, geo_country, asn, dst_port::VARCHAR AS dst_port, trim(src_ip) AS ip FROM telemetry WHERE trim(src_ip) <> '') GROUP BY day, CUBE (geo_country, asn, dst_port) HAVING count(DISTINCT ip) < {distinct.SIZE.listed}""",
     "p6_exact": f"WITH c AS ({_CASES}) SELECT kind, key, measure, count(*) AS n, floor(quantile_cont(v, 0.5) * 1e6 + 0.50003) / 1e6 AS median, floor(quantile_cont(v, 0.95) * 1e6 + 0.50003) / 1e6 AS p95, floor(quantile_cont(v, 0.99) * 1e6 + 0.50003) / 1e6 AS p99 FROM c GROUP BY 1, 2, 3 HAVING count(*) <= {digest.EXACT}",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_found": r"""WITH RECURSIVE pairs AS (SELECT nullif(trim(address_a, E' \t\r\n'), '') AS a, nullif(trim(address_b, E' \t\r\n'), '') AS b FROM address_links),

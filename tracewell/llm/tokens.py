@@ -1,9 +1,10 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer: a streaming transducer with bounded lookahead.
 
-Two bounds make memory constant. The pre-tokenizer's pattern looks at most one character past a match, so pre-tokens come from the text one after the other and are
-encoded in blocks that end behind a visible character. Within a long pre-token, the merge list itself bounds how far to the right a merge can depend on what follows (``lookahead``): tokens that end
+A text is read in blocks, whatever its length, and the ids of a block are emitted once they are stable. Two bounds keep what is held constant. The pre-tokenizer's pattern never joins a visible
+character with a blank behind it, so a block ends at such a place. Where a block has none (scripts without blanks, long runs), the text goes on pre-token by pre-token; and within a
+pre-token longer than a block, the merge list itself bounds how far to the right a merge can depend on what follows (``lookahead``): tokens that end
 that far before the end of what has been read can't change any more; they are emitted, and encoding goes on behind them, since the encoding of a text that starts at a
-token boundary doesn't depend on what lies before it (Berglund & van der Merwe, 2023). Texts shorter than a block are encoded at once.
+token boundary doesn't depend on what lies before it (Berglund & van der Merwe, 2023). The merges within a block are done by the installed library.
 """
 
 from __future__ import annotations
@@ -91,7 +92,9 @@ class Transducer:
         self.ranks = ranks_of(content)
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.length = {i: len(t) for t, i in self.ranks.items()}
-        self.pattern, self.ahead, self.block = regex.compile(PATTERN), ahead, max(block, 4 * ahead)
+        # white space as the library's pattern has it, not as Python does
+        own = PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
+        self.pattern, self.ahead, self.block = regex.compile(own), ahead, max(block, 4 * ahead)
 
     def pieces(self, piece: bytes) -> Iterator[list[int]]:
         """Ids of one long pre-token, emitted once they are stable."""
@@ -111,25 +114,31 @@ class Transducer:
                 pos = len(piece)
             yield ids
 
+    def boundary(self, text: str, start: int, end: int) -> int:
+        """The last place up to ``end`` where a blank stands behind a visible character; 0 if there is none behind ``start``."""
+        at = end + 1
+        while at > start:
+            at = max(text.rfind(" ", start + 1, at), text.rfind("\n", start + 1, at))
+            if at > start and not text[at - 1].isspace():
+                return at
+        return 0
+
     def stream(self, text: str) -> Iterator[list[int]]:
-        if len(text) <= self.block:
-            yield self.encoding.encode_ordinary(text)
-            return
-        start = safe = 0  # a block ends behind a visible character: only then is its end the end of a pre-token, whatever follows
-        for m in self.pattern.finditer(text):
-            if m.end() - m.start() > self.block:
-                if m.start() > start:
-                    yield self.encoding.encode_ordinary(text[start : m.start()])
-                yield from self.pieces(m[0].encode("utf-8", "replace"))
-                start = safe = m.end()
+        start = 0
+        while start < len(text):
+            end = start + self.block
+            at = len(text) if end >= len(text) else self.boundary(text, start, end)
+            if at:
+                yield self.encoding.encode_ordinary(text[start:at])
+                start = at
                 continue
-            if m.end() - start > self.block and safe > start:
-                yield self.encoding.encode_ordinary(text[start:safe])
-                start = safe
-            if not text[m.end() - 1].isspace():
-                safe = m.end()
-        if len(text) > start:
-            yield self.encoding.encode_ordinary(text[start:])
+            m = self.pattern.match(text, start)
+            piece = m[0].encode("utf-8", "replace")
+            if len(piece) > self.block:
+                yield from self.pieces(piece)
+            else:
+                yield self.encoding._encode_single_piece(piece)
+            start = m.end()
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; the empty list for an empty and for a null text. Special tokens' strings are ordinary text."""
@@ -161,7 +170,7 @@ def vocabulary_file(name: str = "byte_bpe_50k", folder: str = FOLDER) -> str:
 def encoded(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """``key`` and ``ids`` of every row, in place: no shuffle, one Arrow batch at a time. The vocabulary (under 1 MB) travels with the tasks.
 
-    A null and an empty text have the empty list; keys may be null or repeated, equal rows come out equally often; a very long text is streamed. Other columns are not read; an empty
+    A null and an empty text have the empty list; keys may be null or repeated, equal rows come out equally often; a text is read in blocks, but its ids are one cell of the result. Other columns are not read; an empty
     table gives no row.
     """
     return with_ids(df.select(key, text), path or vocabulary_file(), "ids array<int>", lambda ids: pa.array(ids, pa.list_(pa.int32())))
