@@ -125,6 +125,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
 
 
+def p9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mined templates that are residue, with their kinds and the number of documents that hold them."""
+    return residue.templates(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The residue's kinds, by source."""
     rows = read(spark, sf_dir, "documents")
@@ -132,7 +137,7 @@ def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source").join(found, "doc_id").groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_telemetry, p2_scored, p2_all_days, p2_listed, p2_registers, p5_found, p6_percentiles, p6_daily, p6_exact, p6_bounded, p7_ids, p7_decoded, p8_packed, p8_certificate, p8_whole, p9_found, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p2_telemetry, p2_scored, p2_all_days, p2_listed, p2_registers, p5_found, p6_percentiles, p6_daily, p6_exact, p6_bounded, p7_ids, p7_decoded, p8_packed, p8_certificate, p8_whole, p9_found, p9_templates, p9_kinds)}
 
 _CASES = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {key} AS key, '{m}' AS measure, {m}::DOUBLE AS v FROM scored_rows WHERE isfinite({m}::DOUBLE) AND {key} <> ''" for kind, key in (("detected_type", "trim(detected_type)"), ("entity_id", "trim(entity_id)"), ("day", "ts::DATE::VARCHAR")) for m in MEASURES)
 ORACLE = {

@@ -1,9 +1,12 @@
-"""Template residue and error-page text: masked forms of lines and sentences, each classified once, verdicts propagated to all records.
-
-1. Texts are cut into lines and sentences, values (addresses, dates, numbers ...) are masked, and equal masked forms are counted, first within each task.
-2. Each distinct form is classified by its own wording, once, however many records hold it: error, notice, filler or none. A form never takes the verdict of one that only looks
-   alike, as the two may differ in the word that counts; ``Templates`` (a fixed-depth prefix tree: He et al., Drain, 2017) groups forms, but doesn't judge for them.
-3. Verdicts go back to the records that hold such a form. Unresolved slots, whose sentences are ordinary otherwise, are found record by record.
+"""Template residue and error-page text: message templates are mined, each is classified once, and its verdict propagated to all records that hold it.
+
+1. Texts are cut into lines and sentences (units), and values (addresses, dates, numbers ...) are masked.
+2. Units are sorted into a prefix tree of fixed depth (after He et al., Drain, 2017): by the number of tokens, then the leading tokens, then what is constant behind them. A token is variable unless a
+   verdict may depend on it; so a leaf is one template, whatever the order in which its units come, matching is one look-up however many templates a branch has, and units that differ in a
+   word that counts never share a template.
+3. Templates, with the number of records that hold them, are aggregated in each task, then over all; each is classified once (``residue_rules.verdict``: wording rules, then a classifier fitted
+   on labelled wordings): error, notice, filler or none.
+4. Verdicts go back to the records by the templates' keys. Unresolved slots, whose sentences are ordinary otherwise, are found record by record.
 """
 
 from __future__ import annotations
@@ -11,17 +14,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
-from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import residue_rules as rules
-from tracewell.runtime import Scratch, partitions, small_side
+from tracewell.runtime import Scratch
 
 DEPTH = 3  # leading tokens in the path to a leaf
-ALIKE = 0.7  # share of places in which a form must agree with a template
 FLUSH = 100_000  # forms that a task gathers before it passes them on
 
 UNITS = re.compile(r"(?<=[.!?。।])\s+|[\n\r\v\f\x85\u2028\u2029]+")
@@ -60,12 +61,6 @@ def name_of(m: re.Match) -> str:
 
 
 WHOLE = re.compile(r"\d+(?:[.:/-]\d+)*")
-#: Words that bear on a verdict; forms that differ in them never share a template.
-KEYS = frozenset(
-    "javascript js script scripts scripting noscript enable activate error errors exception fatal traceback denied forbidden unauthorized found unavailable maintenance session expired permission quota limit requests gateway timeout placeholder dummy filler mock sample stand-in lorem ipsum text here soon item heading fehler error erreur erro ошибка".split()
-)
-
-
 def masked(text: str) -> str:
     """A text with its values replaced by their kinds."""
     text = VALUE.sub(name_of, text)
@@ -83,100 +78,104 @@ def forms_of(text: str | None) -> tuple[set[str], bool]:
     return forms, slot
 
 
-def name(form: str) -> int:
-    """64 bits that stand for a form."""
-    return int.from_bytes(blake2b(form.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+FILLER = "⟨filler⟩"  # the template of all units that are filler by the look of their words
 
 
-def leaf(form: str) -> str:
-    """The path of a form in the tree; tokens that hold a value take no part in it."""
-    tokens = form.split()
-    head = [t.lower() if "⟨" not in t else "*" for t in tokens[:DEPTH]]
-    keys = sorted(KEYS.intersection(t.strip(".,:;!?\"'()").lower() for t in tokens))
-    return " ".join([str(len(tokens)), *head, *keys])
+def template_of(form: str) -> tuple[str, str]:
+    """The branch of a form in the tree, and its template."""
+    if rules.mere_filler(form):
+        return "", FILLER
+    tokens = list(map(rules.constant, form.split()))
+    return " ".join([str(len(tokens)), *(t.lower() for t in tokens[:DEPTH])]), " ".join(tokens)
 
 
-class Templates:
-    """The templates of one leaf."""
+def name(path: tuple[str, str]) -> int:
+    """64 bits that stand for a leaf."""
+    return int.from_bytes(blake2b("\0".join(path).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
-    def __init__(self):
-        self.all: list[tuple[list[str | None], str | None]] = []
 
-    def verdict(self, form: str) -> str | None:
-        tokens = form.lower().split()
-        if len(tokens) < 5:  # too few places to differ in
-            return rules.wording(form)
-        least = ALIKE * len(tokens)
-        for template, _ in self.all:
-            if sum(map(eq, template, tokens)) >= least:  # a wildcard is no agreement
-                template[:] = [a if a == b else None for a, b in zip(template, tokens)]
-                return rules.wording(form)
-        kind = rules.wording(form)
-        self.all.append((tokens, kind))
-        return kind
+def verdict(template: str) -> str | None:
+    return "filler" if template == FILLER else rules.verdict(template)
 
 
-UNIT_COLUMNS = "h long, slot boolean, form string"
+UNIT_COLUMNS = "h long, slot boolean, template string, n long"
 
 
 def units(rows: DataFrame) -> DataFrame:
-    """One pass over the texts (columns k, t): a row (``k``, ``h``) for each form of a text, a row with ``slot`` for a text with a slot, and, once per task, each form with its ``h``."""
+    """One pass over the texts (columns k, t): a row (``k``, ``h``) for each template of a text, a row with ``slot`` for a text with a slot, and, once per task, each template with its key ``h`` and the number ``n`` of
+    the task's texts that hold it."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        seen: dict[str, int] = {}  # forms to keys
+        mined: dict[int, list] = {}  # keys to template and number of texts
 
-        def forms(kind: pa.DataType) -> pa.RecordBatch:
-            n = len(seen)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array(seen.values(), pa.int64()), pa.nulls(n, pa.bool_()), pa.array(seen, pa.string())], names)
+        def templates(kind: pa.DataType) -> pa.RecordBatch:
+            n = len(mined)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array(mined, pa.int64()), pa.nulls(n, pa.bool_()), pa.array([t for t, _ in mined.values()], pa.string()), pa.array([c for _, c in mined.values()], pa.int64())], names)
 
         kind = None
         for b in it:
             kind, at, hashes, slots = b.column(0).type, [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 found, slot = forms_of(t)
+                keys = set()
                 for f in found:
                     h = seen.get(f)
                     if h is None:
-                        seen[f] = h = name(f)
-                    at.append(i)
-                    hashes.append(h)
+                        path = template_of(f)
+                        seen[f] = h = name(path)
+                        mined.setdefault(h, [path[1], 0])
+                    keys.add(h)
+                for h in keys:
+                    mined[h][1] += 1
+                at += [i] * len(keys)
+                hashes += keys
                 if slot:
                     slots.append(i)
             n, m = len(at), len(slots)
-            keys = b.column(0).take(pa.array([*at, *slots], pa.int32()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array([*hashes, *[None] * m], pa.int64()), pa.array([False] * n + [True] * m), pa.nulls(n + m, pa.string())], names)
+            who = b.column(0).take(pa.array([*at, *slots], pa.int32()))
+            yield pa.RecordBatch.from_arrays([who, pa.array([*hashes, *[None] * m], pa.int64()), pa.array([False] * n + [True] * m), pa.nulls(n + m, pa.string()), pa.nulls(n + m, pa.int64())], names)
             if len(seen) >= FLUSH:
-                yield forms(kind)
-                seen = {}
-        if seen:
-            yield forms(kind)
+                yield templates(kind)
+                seen, mined = {}, {}
+        if mined:
+            yield templates(kind)
 
-    names = ["k", "h", "slot", "form"]
+    names = ["k", "h", "slot", "template", "n"]
     return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, {UNIT_COLUMNS}")
 
 
 def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forms to the verdicts of those that are residue."""
+    """Templates to the verdicts of those that are residue."""
     for b in it:
-        kinds = pa.array([rules.wording(form) for form in b.column(1).to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([b.column(0), kinds], ["h", "kind"]).filter(kinds.is_valid())
+        kinds = pa.array([verdict(t) for t in b.column(1).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*b.columns, kinds], ["h", "template", "n", "kind"]).filter(kinds.is_valid())
 
 
-def verdicts(forms: DataFrame) -> DataFrame:
-    """``h`` and ``kind`` of the forms (``h``, ``form``, repeated by tasks that share them) that are residue."""
-    return forms.repartition(partitions(forms.sparkSession), "h").dropDuplicates(["h", "form"]).mapInArrow(judge, "h long, kind string")
+def classified(units_: DataFrame) -> DataFrame:
+    """``h``, ``template``, ``n`` (texts that hold it) and ``kind`` of the mined templates that are residue."""
+    mined = units_.where("template IS NOT NULL").groupBy("h").agg(F.min("template").alias("template"), F.sum("n").alias("n"))
+    return mined.mapInArrow(judge, "h long, template string, n long, kind string")
 
 
 def residue(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` and ``kinds`` (sorted array of error, filler, notice, slot) of each row whose text holds residue.
 
-    Null, empty and blank texts are no residue; a long text is read whole; equal rows are one row. Other columns are not read. The texts are read once: their forms,
-    as 64 bits each, and the distinct forms of each task are written to the shared folder.
+    Null, empty and blank texts are no residue; a long text is read whole; equal rows are one row. Other columns are not read. The texts are read once: the keys of their templates,
+    64 bits each, and the templates of each task are written to the shared folder.
     """
     scratch = Scratch(df.sparkSession, "residue")
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL")
-    all_ = scratch.cut(units(rows), "units")
-    known = scratch.cut(verdicts(all_.where("form IS NOT NULL").select("h", "form")), "verdicts")
-    found = all_.where("NOT slot").select("k", "h").join(small_side(known), "h").select("k", "kind")
+    all_ = scratch.cut(units(given(df, key, text)), "units")
+    known = scratch.small(classified(all_).select("h", "kind"), "verdicts")
+    found = all_.where("NOT slot").select("k", "h").join(known, "h").select("k", "kind")
     slots = all_.where("slot").select("k", F.lit("slot").alias("kind"))
     return found.unionByName(slots).groupBy("k").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).select(F.col("k").alias(key), "kinds")
+
+
+def given(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL")
+
+
+def templates(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``template``, ``kind`` and ``n_records`` of the templates that are residue: what to look at before records are left out."""
+    return classified(Scratch(df.sparkSession, "residue").cut(units(given(df, key, text)), "units")).select("template", "kind", F.col("n").alias("n_records"))

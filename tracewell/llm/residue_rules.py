@@ -4,30 +4,33 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from re import _constants as C
 from re import _parser as parser
 
+from tracewell.llm import residue_concepts as concepts
+
 _ = re.IGNORECASE
 
 # Wording by kind, in the languages of the corpus.
 
 #: Notations of unfilled slots; those that other texts use too are judged by their content below.
 SLOTS = re.compile(
-    r"""\{\{\{?[^{}\n]{0,40}\}?\}\}            # {{name}} {{{name}}} {{name|default}}
-    | \{[%!][^{}\n]{1,40}\}                     # {% name %} {!name}
-    | \#\{[^{}\n]{1,30}\} | @\{[^{}\n]{1,30}\} | \$\{[^{}\n]{1,30}\} | \$\[[^\[\]\n]{1,30}\]
-    | (?<![\])}])\{[A-Za-z][\w. ]{0,30}\} | (?<![\])}])\{\d{1,2}\}(?!\w)
-    | @@[A-Za-z][\w.]{0,30}@@ | \*\|[A-Za-z][\w. ]{0,30}\|\* | \[\[[A-Za-z][\w. ]{0,30}\]\]
-    | <%[=-]?[^<>%\n]{1,40}%> | <<[A-Za-z][\w. ]{0,30}>> | &lt;[A-Za-z][\w. ]{0,30}&gt;
-    | (?<![\w%])%[A-Za-z][A-Za-z_.]{1,30}%(?![\w%]) | %\([A-Za-z][\w. ]{0,30}\)[sdf] | (?<![\w%])%(?:\d\$)?[sd](?![\w%])
-    | (?<![\w:/]):[A-Za-z][A-Za-z_.]{1,20}:(?![\w:/]) | (?<!~)~[A-Za-z][A-Za-z_.]{1,30}~(?![\w~]) | (?<!\w)__[A-Za-z][A-Za-z_.]{1,30}__(?!\w)
+    r"""\{\{\{?[^{}\n]*\}?\}\}                # {{name}} {{{name}}} {{name|default}}
+    | \{[%!][^{}\n]+\}                         # {% name %} {!name}
+    | \#\{[^{}\n]+\} | @\{[^{}\n]+\} | \$\{[^{}\n]+\} | \$\[[^\[\]\n]+\]
+    | (?<![\])}])\{[A-Za-z][\w. ]*\} | (?<![\])}])\{\d{1,2}\}(?!\w)
+    | @@[A-Za-z][\w.]*@@ | \*\|[A-Za-z][\w.: ]*\|\* | \[\[[A-Za-z][\w. ]*\]\] | %%[A-Za-z][\w.]*%%
+    | <%[=-]?[^<>%\n]+%> | <<[A-Za-z][\w. ]*>> | &lt;[A-Za-z][\w. ]*&gt;
+    | (?<![\w%])%[A-Za-z][A-Za-z_.]+%(?![\w%]) | %\([A-Za-z][\w. ]*\)[sdf] | (?<![\w%])%(?:\d\$)?[sd](?![\w%])
+    | (?<![\w:/]):[A-Za-z][A-Za-z_.]+:(?![\w:/]) | (?<!~)~[A-Za-z][A-Za-z_.]+~(?![\w~]) | (?<!\w)__[A-Za-z][A-Za-z_.]+__(?!\w)
     | \[(?:\.{3,}|\s*_*\s*|…+)\] | _{4,}
     | \[object\ Object\] | (?<![\w])X{3,}(?:-X{3,})+(?![\w])
-    | \[[^\[\]\n]{2,60}\] | (?<![<\w])<[^<>\n|]{2,40}>(?!>) | \((?:fill\ in|fill\ out|insert|enter|add|your|complete|tbd|todo)\b[^()\n]{0,40}\)""",
+    | \[[^\[\]\n]{2,}\] | (?<![<\w])<[^<>\n|]{2,}>(?!>) | \((?:fill\ in|fill\ out|insert|enter|add|your|complete|tbd|todo)\b[^()\n]*\)""",
     re.VERBOSE | _,
 )
 #: What any slot holds, for a quick look.
-HINT = re.compile(r"\{(?!\s?\")|\[(?![\d\"-])|<(?!/?(?:html|head|title|body|h\d|p|hr|noscript)\b)|[$~]|__|@@|\*\||%[a-z(\d]|&lt;|:[a-z][a-z_.]+:|\((?:fill|insert|enter|add|your|complete|tbd|todo)|xxx-", _)
+HINT = re.compile(r"\{(?!\s?\")|\[(?!-|\d+\]|\")|<(?!/?(?:html|head|title|body|h\d|p|hr|noscript)\b(?! \w))|[$~]|__|@@|\*\||%[a-z(\d%]|&lt;|:[a-z][a-z_.]+:|\((?:fill|insert|enter|add|your|complete|tbd|todo)|xxx-", _)
 #: Content that makes brackets a slot: what to do, in any of the languages.
 FILL = re.compile(
     r"^(?:insert|enter|fill|add|your|todo|tbd|tba|choose|select|type|put)\b|\bto be (?:added|filled|completed|confirmed|defined)\b|\b(?:here|aquí|aqui|ici|hier)\b$|^name of\b|^(?:saisir|indiquer|insérer|compléter|ajouter|votre)\b|\bà (?:compléter|remplir|saisir|ajouter|insérer)$"
@@ -257,6 +260,8 @@ def is_slot(s: str) -> bool:
         if name in NO_SLOT or s[1] in "/!" or "=" in s or re.search(r"\d$", name):
             return False
         return len(inner) > 1 and re.fullmatch(r"[^\W\d]+(?:[ _.-][^\W\d]+){0,4}", inner) is not None
+    if s.startswith("%%"):
+        return True
     if first in ":~" or s.startswith("%") and s.endswith("%"):
         return name in FIELDS or bool(FILL.search(inner)) or "_" in name and name.split("_")[-1] in FIELDS or re.sub(r"(?<=[a-z])(?=[A-Z])", "_", inner).lower() in FIELDS
     return True
@@ -277,17 +282,9 @@ def wording(unit: str) -> str | None:
     if not u:
         return None
     words = [w.lower() for w in WORD.findall(MASK.sub(" ", u))]
-    if len(words) >= 3:
-        if len(words) - len(set(words)) >= 5 and REPEATED.search(MASK.sub(" . . . . ", unit)):
-            return "filler"
-        latin = sum(w in LOREM for w in words)
-        if latin >= 3 and latin >= 0.6 * len(words):
-            return "filler"
-        if len(words) >= 4 and len(set(words)) <= 2 and len(u) < 4 * sum(map(len, words)):
-            return "filler"
-        letters = sum(map(len, words))
-        if letters >= 14 and sum(len(w) for w in words if HOME_ROW.issuperset(w)) > 0.9 * letters:
-            return "filler"
+    latin = sum(w in LOREM for w in words)
+    if latin >= 3 and latin >= 0.6 * len(words) or words[:2] == ["lorem", "ipsum"] and len(words) == 2:
+        return "filler"
     if hopeless(u):
         return None
     if TITLE.search(u):
@@ -301,3 +298,44 @@ def wording(unit: str) -> str | None:
     if FILLER.search(u):
         return "filler"
     return None
+
+
+#: Runs of letters in the patterns and the notions: what a verdict can depend on.
+_CLASSES = re.compile(r"\\[a-zA-Z]|\[[^\]]*\]|\{[^}]*\}")
+FRAGMENTS = frozenset(
+    x.lower() for source in (*(p.pattern for p in (TITLE, NOTICE, ERROR, FILLER, REPORT, PAYLOAD, TAG)), *concepts.NOTIONS.values(), concepts.REPORTING) for x in WORD.findall(_CLASSES.sub(" ", source))
+) | LOREM
+LONG = re.compile(trie({x for x in FRAGMENTS if len(x) > 3}))
+PLAIN_WORD = re.compile(r"([(]?)([A-Za-z\u00c0-\u024f\u0400-\u04ff]+)([.,;:!?)]*)")
+VARIABLE = "word"
+
+
+@lru_cache(1 << 18)
+def constant(word: str) -> str:
+    """A token as templates have it: itself if a verdict may depend on it, else a stand-in with its punctuation."""
+    m = PLAIN_WORD.fullmatch(word)
+    if not m or OTHER_CASE.search(word) or (low := m[2].lower()) in FRAGMENTS or LONG.search(low):
+        return word
+    return f"{m[1]}{VARIABLE}{m[3]}"
+
+
+def mere_filler(form: str) -> bool:
+    """Whether a line is a word over and over, pseudo-Latin, or keys beside each other: told by all of its words, so before any of them becomes variable."""
+    words = [w.lower() for w in WORD.findall(MASK.sub(" ", bare(form)))]
+    if len(words) < 3:
+        return False
+    if len(words) - len(set(words)) >= 5 and REPEATED.search(MASK.sub(" . . . . ", form)):
+        return True
+    if len(words) >= 4 and len(set(words)) <= 2 and len(bare(form)) < 4 * sum(map(len, words)):
+        return True
+    letters = sum(map(len, words))
+    return letters >= 14 and sum(len(w) for w in words if HOME_ROW.issuperset(w)) > 0.9 * letters
+
+
+def verdict(template: str) -> str | None:
+    """The kind of residue that a template is, by the wording rules, else by the fitted classifier, which no report passes."""
+    if kind := wording(template):
+        return kind
+    if REPORT.search(template) or QUOTED.search(template):
+        return None
+    return concepts.kind_of(bare(template))
