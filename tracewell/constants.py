@@ -43,14 +43,10 @@ RESERVED = (
     ("240.0.0.0", "255.255.255.255", "RESERVED", "RFC-1112 Reserved"),
 )
 
-# ISO countries (alpha-2, numeric, name).
-COUNTRIES = (
-    ("AE", "784", "United Arab Emirates"), ("AU", "036", "Australia"), ("BR", "076", "Brazil"), ("CA", "124", "Canada"), ("CH", "756", "Switzerland"), ("CN", "156", "China"), ("DE", "276", "Germany"),
-    ("FR", "250", "France"), ("GB", "826", "United Kingdom"), ("IN", "356", "India"), ("JP", "392", "Japan"), ("KR", "410", "South Korea"), ("NG", "566", "Nigeria"), ("NL", "528", "Netherlands"),
-    ("RU", "643", "Russia"), ("SE", "752", "Sweden"), ("SG", "702", "Singapore"), ("UA", "804", "Ukraine"), ("US", "840", "United States"), ("ZA", "710", "South Africa"),
-)
-
-# Label columns that no model may read.
+# Label and score columns that no model may read.
 LABEL_COLUMNS = frozenset(
-    "is_labeled_suspicious attack_type chain_id chain_hop remaining_balance change_address peel_amount peel_destination_type risk_score is_anomaly detected_type risk_tier explanation ml_probability score_ml score_pattern whitelisted_side".split()
-)
+    {
+        "attack_type", "is_labeled_suspicious", "detected_type", "label", "is_anomaly", "watchlist_label", "watchlist_hit", "watchlist_indicator", "risk_score",
+        "score_ml", "score_pattern", "score_network", "score_graph", "whitelist_factor", "ml_probability", "y", "target",
+    }
+)

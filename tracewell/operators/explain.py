@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import columns as X
-from tracewell.operators.order import cumulative, unpivoted
-from tracewell.runtime import with_row
+from tracewell.operators.order import cumulative, quantiles_of, unpivoted
+from tracewell.runtime import Scratch, with_row
 
 THRESHOLD = 75.0
 MOST = 4
@@ -21,6 +21,90 @@ LABELS: Mapping[str, tuple[str, str]] = {
 }
 
 
+#: The profiled features with their label, the side on which a value is noteworthy, their tag, how values are written, and what a noteworthy value means.
+FEATURES: Mapping[str, tuple[str, str, str, str, str]] = {
+    "fan_in": ("Input address count", "high", "mass_consolidation", "%d", " — mass input consolidation pattern"),
+    "fan_out": ("Output address count", "high", "rapid_dispersal", "%d", " — rapid 1-to-many dispersal pattern"),
+    "fan_ratio": ("Fan-in / fan-out ratio", "low", "fan_ratio_anomaly", "%.4f", ""),
+    "peel_chain_disparity": ("Peel-pattern disparity", "high", "peel_pattern_candidate", "%.6f", " — peel-pattern output asymmetry"),
+    "fee_rate_urgency": ("Fee rate urgency", "high", "fee_spike_urgency", "%.6f", " — miner-priority overpayment (time-sensitive hop)"),
+    "value_zscore_abs": ("Transaction value |Z-score|", "high", "volume_outlier", "%.4f", " — statistically anomalous transaction volume"),
+    "entity_ip_diversity": ("Entity IP diversity", "high", "ip_anonymization", "%.4f", " — entity broadcasts from anomalously many IPs"),
+    "ip_entity_diversity": ("IP entity diversity", "high", "shared_infrastructure", "%.4f", " — multiple entities sharing the same IP relay"),
+    "port_risk_combined": ("Port risk score", "high", "proxy_tunneling", "%.4f", " — proxy/Tor/tunneling port profile"),
+    "peel_chain_length": ("Multi-hop peel chain length", "high", "multihop_peel_chain", "%d", " — multi-hop peel chain (%d linked hops)"),
+    "fund_diminishment_ratio": ("Fund diminishment ratio", "high", "progressive_peeling", "%.6f", " — progressive fund siphoning across hops"),
+    "amount_btc_scaled": ("Scaled BTC amount", "high", "high_value_transfer", "%.4f", " — unusually large transfer value"),
+    "fee_scaled": ("Scaled fee", "high", "fee_anomaly", "%.4f", " — fee deviates from typical range"),
+    "src_port_risk": ("Source port risk", "high", "src_port_anomaly", "%.4f", " — source port associated with anonymization"),
+    "dst_port_risk": ("Destination port risk", "high", "dst_port_anomaly", "%.4f", " — destination port associated with hidden services"),
+    "ip_observation_count": ("Telemetry observation count", "high", "relay_propagation", "%d", " — multi-relay observation profile"),
+    "observation_spread_s": ("Telemetry observation spread (s)", "high", "observation_delay_spread", "%.2fs", " — wide temporal spread across relay observations"),
+}
+
+
+def written(value: Column, form: str) -> Column:
+    """A value as reasons show it; rounded before it is written, so that no engine's ties matter."""
+    if form == "%d":
+        return value.cast("long").cast("string")
+    digits = int(form[2])
+    return F.concat(F.format_string(form[:4], X.rounded(value, digits)), F.lit(form[4:]))
+
+
+def dataset_profile(df: DataFrame, features: Iterable[str] = tuple(FEATURES)) -> DataFrame:
+    """``measure`` with mean, sample deviation, least, greatest, median, p75, p95 and p99: exact, from counts of distinct values."""
+    features = [f for f in features if f in df.columns]
+    values = unpivoted(df, features)
+    stats = values.groupBy("measure").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    placed = cumulative(values.groupBy("measure", "value").agg(F.count(F.lit(1)).alias("n")), "measure", "value")
+    q = quantiles_of(placed, "measure", (0.5, 0.75, 0.95, 0.99)).select("measure", *[F.get("q", F.lit(j)).alias(n) for j, n in enumerate(("median", "p75", "p95", "p99"))])
+    return stats.join(q, "measure")
+
+
+def telemetry(df: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each noteworthy feature of a row: ``key``, feature_name, label, observed_value, dataset_median, dataset_p95, percentile_rank, heuristic_flag, audit_reason.
+
+    A value is noteworthy if its percentile rank reaches the threshold and it exceeds the median (for features of the low side: the reverse); or if it is a disparity, observation count (of at least 2) or spread
+    above 0 and the median, or a chain of at least two hops. The rank is the share of values at most as large. Missing and infinite values, and features that ``df`` lacks, give no row.
+    """
+    names = [f for f in FEATURES if f in df.columns]
+    pairs = F.array(*[F.struct(F.lit(f).alias("measure"), F.col(f).cast("double").alias("value")) for f in names])
+    values = Scratch(df.sparkSession, "telemetry").cut(df.select(F.col(key).alias("k"), F.inline(pairs)).where(F.abs("value") < float("inf")), "values")
+    placed = cumulative(values.groupBy("measure", "value").agg(F.count(F.lit(1)).alias("n")), "measure", "value")
+    stats = F.broadcast(quantiles_of(placed, "measure", (0.5, 0.95)).select("measure", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("p95")))  # a row a feature
+    v, m, rank = F.col("value"), F.col("median"), F.col("rank")
+    low = F.col("measure").isin(*[f for f in names if FEATURES[f][1] == "low"])
+    special = (
+        F.col("measure").isin("peel_chain_disparity", "observation_spread_s") & (v > 0) & (v > m)
+        | (F.col("measure") == "peel_chain_length") & (v >= 2)
+        | (F.col("measure") == "ip_observation_count") & (v >= 2) & (v > m)
+    )
+    noteworthy = F.when(low, (rank <= 100 - threshold) & (v < m)).otherwise((rank >= threshold) & (v > m)) | special
+    # ranks of distinct values, of which only the noteworthy ones meet the rows
+    ranked = placed.join(stats, "measure").withColumn("rank", F.floor((F.col("before") + F.col("n")) / F.col("total") * 1000 + 0.5) / 10).where(noteworthy)
+    by_name = lambda of: F.coalesce(*[F.when(F.col("measure") == f, of(f)) for f in names])
+    rows = values.join(ranked.select("measure", "value", "median", "p95", "rank"), ["measure", "value"])
+    means = lambda f: F.concat(F.lit(FEATURES[f][4].split("%d")[0]), v.cast("long").cast("string"), F.lit(FEATURES[f][4].split("%d")[1])) if "%d" in FEATURES[f][4] else F.lit(FEATURES[f][4])
+    reason = lambda f: F.concat(F.lit(FEATURES[f][0] + " of "), written(v, FEATURES[f][3]), F.lit(" is in the "), F.format_string("%.1f", rank), F.lit("th percentile (dataset median: "), written(m, FEATURES[f][3]), F.lit(")"), means(f))
+    return rows.select(
+        F.col("k").alias(key), F.col("measure").alias("feature_name"), by_name(lambda f: F.lit(FEATURES[f][0])).alias("label"), X.rounded(v, 6).alias("observed_value"), X.rounded(m, 6).alias("dataset_median"), X.rounded("p95", 6).alias("dataset_p95"),
+        rank.alias("percentile_rank"), by_name(lambda f: F.lit(FEATURES[f][2])).alias("heuristic_flag"), by_name(reason).alias("audit_reason"),
+    )
+
+
+def telemetry_lists(df: DataFrame, key: str) -> DataFrame:
+    """``key`` and ``telemetry``, the JSON list of a row's noteworthy features in their order; rows without any are missing."""
+    place = F.array_position(F.array(*map(F.lit, FEATURES)), F.col("feature_name"))
+    item = F.struct("feature_name", "label", "observed_value", "dataset_median", "dataset_p95", "percentile_rank", F.array("heuristic_flag").alias("heuristic_flags"), "audit_reason")
+    lists = telemetry(df, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(place.alias("o"), item.alias("i")))).alias("l"))
+    return lists.select(key, F.to_json(F.transform("l", lambda x: x["i"])).alias("telemetry"))
+
+
+def regulated(text: Column) -> Column:
+    """Whether an explanation speaks of a regulated entity; false for a missing one."""
+    return F.coalesce(text.contains("Regulated"), F.lit(False))
+
+
 def profile(df: DataFrame, features: Mapping[str, tuple[str, str]] = LABELS, threshold: float = THRESHOLD) -> DataFrame:
     """Per feature: mean, sample deviation, median, and the values from (up to) which the percentile rank is noteworthy. All exact, from counts of distinct values."""
     values = unpivoted(df, list(features))

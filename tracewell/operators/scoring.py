@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewell import constants as K
 from tracewell.functions import columns as X
 from tracewell.operators.order import percentiles
-from tracewell.runtime import with_row
+from tracewell.runtime import Scratch, with_row
 
 MEASURES = ("amount_btc", "fee", "fan_in", "fan_out", "fee_rate_urgency", "port_risk_combined", "ip_observation_count", "observation_spread_s", "risk_score")
 SEVERITY = ("fan_in", "fan_out", "fee_rate_urgency", "port_risk_combined", "ip_observation_count", "observation_spread_s", "amount_btc")
@@ -36,15 +36,20 @@ def deviation(df: DataFrame, raw: str, key: str) -> DataFrame:
     return with_row(df, ends).where(finite(raw).isNotNull()).select(key, F.coalesce(X.rounded(F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0)), 1), F.lit(0.0)).alias("deviation_score"))
 
 
-def fused_priority(df: DataFrame, key: str = "score_id") -> DataFrame:
-    """The four part scores, the whitelist's factor, the fused score and its tier. The ends of the port risk come from one aggregate row."""
+def fused_priority(df: DataFrame, key: str = "score_id", anonymous: Column | None = None, hit: Column | None = None, graph: Column | None = None) -> DataFrame:
+    """The four part scores, the whitelist's factor, the fused score and its tier. The ends of the port risk come from one aggregate row.
+
+    ``anonymous``: rows with an anonymiser's port, whose network score is 100; ``hit``: watchlist hits, whose graph score is 100; ``graph``: the graph score of the others, 0 if none is given or known.
+    """
+    no = F.lit(False)
+    anonymous, hit, graph = (F.coalesce(x, d) if x is not None else d for x, d in ((anonymous, no), (hit, no), (graph, F.lit(0.0))))
     ends = df.agg(F.min(finite("port_risk_combined")).alias("lo"), F.max(finite("port_risk_combined")).alias("hi"))
     rows = with_row(df, ends).select(
         key,
         F.col("risk_score").alias("score_ml"),
         X.pattern_score("detected_type").alias("score_pattern"),
-        X.rounded(F.coalesce(X.scaled(finite("port_risk_combined"), "lo", "hi"), F.lit(0.0)) * 100, 1).alias("score_network"),
-        F.lit(0.0).alias("score_graph"),
+        F.when(anonymous, 100.0).otherwise(X.rounded(F.coalesce(X.scaled(finite("port_risk_combined"), "lo", "hi"), F.lit(0.0)) * 100, 1)).alias("score_network"),
+        F.when(hit, 100.0).otherwise(graph).alias("score_graph"),
         X.whitelist_factor(whitelisted_side()).alias("whitelist_factor"),
     )
     rows = rows.withColumn("priority", X.fused("score_ml", "score_pattern", "score_network", "score_graph", "whitelist_factor"))
@@ -121,5 +126,32 @@ def ego_network(df: DataFrame, entity: str) -> DataFrame:
     return by_entity.unionByName(by_ip).distinct()
 
 
-def iso(spark) -> DataFrame:
-    return spark.createDataFrame(list(K.COUNTRIES), "iso2 string, id string, country_name string")
+def ego_graph(edges: DataFrame, start: str, radius: int = 2) -> DataFrame:
+    """The edges (``src``, ``dst``) among the nodes within ``radius`` steps of ``start``: frontier joins, as many as the radius."""
+    scratch = Scratch(edges.sparkSession, "ego")
+    edges = scratch.cut(edges.select("src", "dst"), "edges")
+    ways = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = scratch.small(edges.sparkSession.range(1).select(F.lit(start).alias("node")), "near-0")
+    for k in range(radius):
+        step = ways.join(near.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
+        near = scratch.small(near.unionByName(step).distinct(), f"near-{k + 1}")
+    return edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").distinct()
+
+
+def tripartite(df: DataFrame) -> DataFrame:
+    """Edges (``src``, ``dst``) between entities, rows and addresses on the wire."""
+    rows = df.select(F.concat(F.lit("tx:"), F.col("score_id").cast("string")).alias("t"), trimmed("entity_id").alias("e"), trimmed("src_ip").alias("ip"))
+    by_entity = rows.where("e IS NOT NULL").select(F.concat(F.lit("entity:"), F.col("e")).alias("src"), F.col("t").alias("dst"))
+    return by_entity.unionByName(rows.where("ip IS NOT NULL").select(F.col("t").alias("src"), F.concat(F.lit("ip:"), F.col("ip")).alias("dst"))).distinct()
+
+
+def labelled(df: DataFrame, labels: DataFrame, key: str, label: str, default: str) -> DataFrame:
+    """``df`` with the ``label`` that ``labels`` gives its ``key``; ``default`` for rows without a key or a label. The join is split where a key holds many rows."""
+    named = labels.select(F.col(key).alias("_k"), F.col(label).alias("_l"))
+    return df.join(named, trimmed(key) == F.col("_k"), "left").withColumn(label, F.coalesce("_l", F.lit(default))).drop("_k", "_l")
+
+
+def home_address(df: DataFrame) -> DataFrame:
+    """``entity_id`` and the address on the wire that it uses most (the smallest of equals)."""
+    pairs = df.select(trimmed("entity_id").alias("entity_id"), trimmed("src_ip").alias("ip")).where("entity_id IS NOT NULL AND ip IS NOT NULL").groupBy("entity_id", "ip").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("entity_id").agg(F.min_by("ip", F.struct(-F.col("n"), F.col("ip"))).alias("ip"))

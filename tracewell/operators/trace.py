@@ -75,6 +75,15 @@ def both_ways(tx: DataFrame, starts: DataFrame, hops: int = 6) -> DataFrame:
     return trace(tx, starts, hops).unionByName(trace(tx, starts, hops, backward=True).where("hop < 0"))
 
 
+def advice(hops: DataFrame) -> DataFrame:
+    """``seed`` and ``advice`` on a trace: the last exchange endpoint behind the start asks for a request to it; else a mixer lowers confidence; else the trail goes on."""
+    reached = hops.where("row <> seed")
+    last = F.max_by(F.coalesce("whitelisted_entity", F.lit("regulated exchange")), F.when(F.col("role") == "Exchange endpoint", F.struct(F.abs("hop"), F.col("row"))))
+    per = reached.groupBy("seed").agg(last.alias("endpoint"), F.count_if(F.col("role") == "Exchange endpoint").alias("n"), F.count_if(F.col("role") == "Mixer").alias("m"))
+    text = F.when(F.col("n") > 0, F.concat(F.lit("Funds reached "), F.col("endpoint"), F.lit(". Next step: lawful KYC request to this VASP."))).when(F.col("m") > 0, "Trail enters a mixer; further tracing has low confidence.")
+    return per.where(text.isNotNull()).select("seed", text.alias("advice"))
+
+
 def traceable(tx: DataFrame) -> DataFrame:
     """``row_idx`` of the transactions one of whose outputs is spent later: those whose forward trace has at least two hops."""
     made = tx.select("row_idx", "ts", F.explode(F.array_distinct("outs")).alias("addr"))

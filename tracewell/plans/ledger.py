@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tracewell import constants as K
 from tracewell.functions import columns as X
-from tracewell.operators import chains, entities, ingest, intel, order, trace
+from tracewell.operators import chains, entities, explain, ingest, intel, order, scoring, trace
 from tracewell.operators.correlate import correlate, first_seen, match_stats
 from tracewell.operators.features import feature_matrix, fold_of, port_frequency
 from tracewell.operators.reports import evidence
 from tracewell.plans import base
 from tracewell.plans.base import CHAINS, JUDGED, KINDS, MIX, TX, WATCHLIST, WHITELIST, r, with_
-from tracewell.runtime import read, small_side
+from tracewell.runtime import Scratch, read, small_side
 
 SEEDS = 10
 HOPS = 4
@@ -168,10 +168,20 @@ def explain_text(spark: SparkSession, d: str) -> DataFrame:
     return t.select("row_idx", F.when(F.size(s) > 0, F.array_join(s, "; ")).otherwise("No direct signal").alias("explanation"))
 
 
+def telemetry_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The noteworthy features of every transaction, with their percentile and the reason in words: 17 features."""
+    return explain.telemetry(_features(spark, d), "row_idx")
+
+
 def telemetry_json(spark: SparkSession, d: str) -> DataFrame:
-    t = base.tx(spark, d)
-    items = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("long").alias("value")) for n in ("fan_in", "fan_out", "src_port", "dst_port")])
-    return t.select("row_idx", F.to_json(F.filter(items, lambda x: x["value"] > 1)).alias("telemetry"))
+    """The same as one JSON list per transaction."""
+    return explain.telemetry_lists(_features(spark, d), "row_idx")
+
+
+def feature_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The data set's profile: 17 features."""
+    p = explain.dataset_profile(_features(spark, d))
+    return p.select("measure", *[X.rounded(x, 6).alias(x) for x in p.columns if x != "measure"])
 
 
 def split_folds(spark: SparkSession, d: str) -> DataFrame:
@@ -191,10 +201,55 @@ def observation_overlap(spark: SparkSession, d: str) -> DataFrame:
     return wire.groupBy("geo_country", "dst_port").agg(F.count(F.lit(1)).alias("n_obs"), F.countDistinct("txid").alias("n_tx"))
 
 
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    t = base.cut_tx(spark, d)
+    return Scratch(spark, "matrix").cut(feature_matrix(t, chains.peel_chains(t), entities.entities(t), first_seen(read(spark, d, "telemetry"))), "features")
+
+
 def full_features(spark: SparkSession, d: str) -> DataFrame:
     """All 23 features of every transaction, entities and chains included."""
+    f = _features(spark, d)
+    return f.select("row_idx", "entity_id", *[X.rounded(x, 5).alias(x) for x in f.columns if x not in ("row_idx", "entity_id")])
+
+
+def trace_both(spark: SparkSession, d: str) -> DataFrame:
+    """Backward and forward in one table, the start once."""
+    t = base.cut_classified(spark, d)
+    return trace.both_ways(t, _starts(t), HOPS).drop("whitelisted_entity", "txid")
+
+
+def trace_advice(spark: SparkSession, d: str) -> DataFrame:
+    t = base.cut_classified(spark, d)
+    return trace.advice(trace.trace(t, _starts(t), HOPS))
+
+
+def first_traceable(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 flagged transactions of highest risk whose forward trace has at least two hops."""
     t = base.cut_tx(spark, d)
-    return feature_matrix(t, chains.peel_chains(t), entities.entities(t), first_seen(read(spark, d, "telemetry")))
+    flagged = read(spark, d, "scored_rows").where("is_anomaly AND txid IS NOT NULL").groupBy("txid").agg(F.max("risk_score").alias("risk_score"))
+    rows = t.select("row_idx", "txid").join(trace.traceable(t), "row_idx", "left_semi").join(flagged, "txid")
+    return rows.orderBy(F.desc("risk_score"), "row_idx").limit(20).select("row_idx", "txid", "risk_score")
+
+
+def ledger_by_time(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger in the order of time: a global order without a sort in one task."""
+    rows = base.tx(spark, d).select("row_idx", F.lit(0).alias("g"), F.struct("ts", "row_idx").alias("o"))
+    return order.numbered(rows, "g", "o").select("row_idx", "row_no")
+
+
+def regulated_view(spark: SparkSession, d: str) -> DataFrame:
+    """Transactions whose explanation speaks of a regulated entity."""
+    t = base.classified(spark, d)
+    text = F.when(F.col("whitelisted_side").isNotNull(), F.concat(F.lit("Whitelisted "), F.col("whitelisted_side"), F.lit(": "), F.coalesce("whitelisted_entity", F.lit("unnamed"))))
+    return t.where(explain.regulated(text)).select("row_idx", text.alias("explanation"))
+
+
+def fused_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The fused priority of every scored row with what the ledger knows of it: anonymiser ports set the network's part, watchlist hits the graph's."""
+    t = base.cut_tx(spark, d)
+    hits = intel.watched(t, base.watchlist(t)).select("row_idx", F.lit(True).alias("hit"))
+    known = t.select("txid", "src_port", "dst_port", "row_idx").join(hits, "row_idx", "left").drop("row_idx")
+    return scoring.fused_priority(read(spark, d, "scored_rows").join(known, "txid", "left"), anonymous=F.col("src_port").isin(*K.FUSION_ANON_PORTS) | F.col("dst_port").isin(*K.FUSION_ANON_PORTS), hit=F.col("hit"))
 
 
 def evidence_package(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +284,7 @@ QUERIES = {
     for f in (
         pipe_parse, strict_totals, reject_reasons, ingestion_report, fan_stats, peel_disparity, fee_urgency, mixer_buckets, change_address, first_observation, correlate_layers, layer_match_stats, freq_encode, port_risk, port_frequencies,
         minmax_zscore, structural_type, whitelist_side, watchlist_hit, taint_hops, taint_pagerank, taint_converged, entity_components, entity_confidence, peel_chains, trace_forward, trace_backward, traceable_leads, rules_only, light_features,
-        explain_text, telemetry_json, split_folds, type_mix, observation_overlap, full_features, evidence_package, whitelist_coverage, chain_sizes, holdout,
+        explain_text, telemetry_rows, telemetry_json, feature_profile, trace_both, trace_advice, first_traceable, ledger_by_time, regulated_view, fused_ledger, split_folds, type_mix, observation_overlap, full_features, evidence_package, whitelist_coverage, chain_sizes, holdout,
     )
 }
 
@@ -269,7 +324,7 @@ rank{k} AS (SELECT s, deg, p, 0.85::DOUBLE * coalesce(x, 0) + 0.15::DOUBLE * p A
 )
 
 
-def _trace_sql(backward: bool) -> str:
+def _trace_sql(backward: bool, extra: str = "") -> str:
     made, spent, later = ("ins", "outs", "<") if backward else ("outs", "ins", ">")
     up = "" if not backward else "-"
     minutes = "abs(" if backward else "("
@@ -282,13 +337,48 @@ def _trace_sql(backward: bool) -> str:
     full_ AS (SELECT l.seed, l.row, parent, l.hop, t.*, (epoch_us(t.ts) - epoch_us(pt.ts)) / 6e7 AS minutes, CASE WHEN st.total_in > 0 THEN st.total_in WHEN t.total_in > 0 THEN t.total_in ELSE 1.0 END AS initial, coalesce({r('list_max(t.out_amts)', 8)}, 0) AS largest
       FROM lev l LEFT JOIN par USING (seed, row) JOIN typed t ON t.row_idx = l.row JOIN tx st ON st.row_idx = l.seed LEFT JOIN tx pt ON pt.row_idx = parent QUALIFY row_number() OVER (PARTITION BY l.seed ORDER BY l.hop, t.total_in DESC, l.row) <= 200)
     SELECT seed, row, parent, {up}hop AS hop, {r(f'greatest(0, {minutes}coalesce(minutes, 0)))', 1)} AS delta_t_minutes, {r('total_in', 8)} AS btc_in, largest AS largest_output_btc, {r('least(100.0::DOUBLE, greatest(0.0::DOUBLE, largest / initial * 100))', 4)} AS retained_pct,
-      greatest(0, {r(r('total_in', 8) + ' - largest - fee', 8)}) AS peeled_btc, CASE WHEN hop = 0 THEN 'Source' WHEN kind = 'CoinJoin_Mixer' THEN 'Mixer' WHEN whitelisted_side IS NOT NULL THEN 'Exchange endpoint' WHEN fan_out >= 5 THEN 'Dispersal' WHEN fan_in >= 5 THEN 'Consolidation' WHEN kind = 'Peel_Chain' THEN 'Layering (peel)' ELSE 'Intermediary' END AS role FROM full_"""
+      greatest(0, {r(r('total_in', 8) + ' - largest - fee', 8)}) AS peeled_btc, CASE WHEN hop = 0 THEN 'Source' WHEN kind = 'CoinJoin_Mixer' THEN 'Mixer' WHEN whitelisted_side IS NOT NULL THEN 'Exchange endpoint' WHEN fan_out >= 5 THEN 'Dispersal' WHEN fan_in >= 5 THEN 'Consolidation' WHEN kind = 'Peel_Chain' THEN 'Layering (peel)' ELSE 'Intermediary' END AS role{extra} FROM full_"""
 
 
 PORTS = f"""
 pf AS (SELECT port, count(*) / sum(count(*)) OVER ()::DOUBLE AS freq FROM (SELECT src_port AS port FROM tx UNION ALL SELECT dst_port FROM tx) GROUP BY 1),
 pr AS (SELECT port, CASE WHEN port IN ({_ports(K.ZERO_RISK_PORTS)}) THEN 0.0 WHEN port IN ({_ports(K.ANON_PORTS)}) THEN 1.0 ELSE {r('least(1.0 - freq, 0.8)', 4)} END AS risk FROM pf)"""
 ANON = _ports(K.FUSION_ANON_PORTS)
+ALL_FEATURES = "script_type_freq src_ip_freq amount_btc_scaled fee_scaled is_micro_tx src_port_risk dst_port_risk port_risk_combined peel_chain_disparity fan_in fan_out fan_ratio fee_rate_urgency value_zscore value_zscore_abs peel_chain_length peel_chain_hop_position fund_diminishment_ratio entity_ip_diversity ip_entity_diversity entity_tx_freq ip_observation_count observation_spread_s".split()
+_SHARE = lambda x: f"coalesce(CASE WHEN {x} IS NOT NULL THEN count({x}) OVER (PARTITION BY {x}) / count({x}) OVER ()::DOUBLE END, 0)"
+FEATS = f"""
+fs AS (SELECT min(total_in) AS lo, max(total_in) AS hi, avg(total_in) AS m, stddev_samp(total_in) AS sd, min(fee) AS flo, max(fee) AS fhi FROM tx),
+fa AS (SELECT row_idx, txid, src_ip, ins[1] AS first_in, {_SHARE('script_type')} AS script_type_freq, {_SHARE('src_ip')} AS src_ip_freq, coalesce((total_in - lo) / nullif(hi - lo, 0), 0) AS amount_btc_scaled, coalesce((fee - flo) / nullif(fhi - flo, 0), 0) AS fee_scaled,
+  (total_in < 0.006)::INT::DOUBLE AS is_micro_tx, a.risk::DOUBLE AS src_port_risk, b.risk::DOUBLE AS dst_port_risk, {r('0.6 * a.risk::DOUBLE + 0.4 * b.risk::DOUBLE', 4)} AS port_risk_combined,
+  CASE WHEN len(out_amts) = 2 AND total_out > 0 AND list_min(out_amts) / total_out < 0.01 AND list_max(out_amts) / total_out > 0.99 THEN {r('list_max(out_amts) / total_out - list_min(out_amts) / total_out', 6)} ELSE 0.0 END AS peel_chain_disparity,
+  fan_in::DOUBLE AS fan_in, fan_out::DOUBLE AS fan_out, CASE WHEN fan_out > 0 THEN {r('fan_in / fan_out::DOUBLE', 4)} ELSE 0 END AS fan_ratio, CASE WHEN total_in > 0 AND fee > 0 THEN {r('fee / total_in', 8)} ELSE 0.0 END AS fee_rate_urgency, coalesce({r('(total_in - m) / nullif(sd, 0)', 4)}, 0) AS value_zscore
+  FROM tx JOIN pr a ON a.port = src_port JOIN pr b ON b.port = dst_port, fs),
+fb AS (SELECT fa.*, abs(value_zscore) AS value_zscore_abs, coalesce('Entity_' || no, 'UnknownEntity') AS entity_id FROM fa LEFT JOIN comp ON v = first_in),
+fe AS (SELECT entity_id, count(DISTINCT src_ip)::DOUBLE AS entity_ip_diversity, count(*) / (SELECT count(*) FROM fb)::DOUBLE AS entity_tx_freq FROM fb GROUP BY 1),
+fi AS (SELECT src_ip, count(DISTINCT entity_id)::DOUBLE AS ip_entity_diversity FROM fb WHERE src_ip IS NOT NULL GROUP BY 1),
+feats AS (SELECT fb.*, coalesce(chain_length, 0)::DOUBLE AS peel_chain_length, coalesce(hop_position, 0)::DOUBLE AS peel_chain_hop_position, coalesce(fund_ratio, 0) AS fund_diminishment_ratio, entity_ip_diversity, entity_tx_freq, coalesce(ip_entity_diversity, 0) AS ip_entity_diversity,
+  coalesce(n_obs, 1)::DOUBLE AS ip_observation_count, coalesce(spread, 0) AS observation_spread_s FROM fb JOIN fe USING (entity_id) LEFT JOIN fi ON fi.src_ip = fb.src_ip LEFT JOIN chain USING (row_idx) LEFT JOIN counts USING (txid))"""
+LONG = " UNION ALL ".join(f"SELECT row_idx, '{f}' AS m, {f}::DOUBLE AS v FROM feats WHERE isfinite({f}::DOUBLE)" for f in explain.FEATURES)
+
+
+def _written(x: str, form: str) -> str:
+    return f"{x}::BIGINT::VARCHAR" if form == "%d" else f"printf('{form}', {r(x, int(form[2]))})"
+
+
+def _case(of) -> str:
+    return "CASE " + " ".join(f"WHEN m = '{f}' THEN {of(*x)}" for f, x in explain.FEATURES.items()) + " END"
+
+
+def _means(text: str) -> str:
+    a, _, b = text.partition("%d")
+    return f"'{a}' || v::BIGINT || '{b}'" if b else f"'{a}'"
+
+
+TELEMETRY = f"""{with_(TX, PORTS, SEEN, ENTITIES, CHAINS, FEATS)}, l AS ({LONG}), q AS (SELECT m, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.95) AS p95 FROM l GROUP BY 1),
+    k AS (SELECT row_idx, m, v, floor(count(*) OVER (PARTITION BY m ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / count(*) OVER (PARTITION BY m)::DOUBLE * 1000 + 0.5) / 10 AS rank FROM l),
+    n AS (SELECT * FROM k JOIN q USING (m) WHERE CASE WHEN m = 'fan_ratio' THEN rank <= 25 AND v < med ELSE rank >= 75 AND v > med END OR m IN ('peel_chain_disparity', 'observation_spread_s') AND v > 0 AND v > med OR m = 'peel_chain_length' AND v >= 2 OR m = 'ip_observation_count' AND v >= 2 AND v > med)
+    SELECT row_idx, m AS feature_name, {_case(lambda label, *_: f"'{label}'")} AS label, {r('v', 6)} AS observed_value, {r('med', 6)} AS dataset_median, {r('p95', 6)} AS dataset_p95, rank AS percentile_rank, {_case(lambda label, side, tag, *_: f"'{tag}'")} AS heuristic_flag,
+      {_case(lambda label, side, tag, form, means: f"'{label} of ' || {_written('v', form)} || ' is in the ' || printf('%.1f', rank) || 'th percentile (dataset median: ' || {_written('med', form)} || ')' || {_means(means)}")} AS audit_reason FROM n"""
 ORACLE = {
     "chain_sizes": f"{with_(TX, CHAINS)} SELECT count(*) AS n_chains, {r('avg(chain_length)', 4)} AS mean_length, min(chain_length) AS shortest, max(chain_length) AS longest FROM (SELECT chain_head, max(chain_length) AS chain_length FROM chain GROUP BY 1)",
     "holdout": f"{with_(TX)}, n AS (SELECT row_idx, (row_number() OVER (ORDER BY row_idx) - 1) / count(*) OVER ()::DOUBLE AS pos FROM tx) SELECT row_idx, CASE WHEN pos < 0.6 THEN 'train' WHEN pos < 0.8 THEN 'tune' ELSE 'test' END AS part FROM n",
@@ -339,8 +429,24 @@ ORACLE = {
         CASE WHEN fan_out >= 5 THEN 'High fan-out of ' || fan_out || ' output addresses' END, CASE WHEN fan_in >= 5 THEN 'High fan-in of ' || fan_in || ' input addresses' END,
         CASE WHEN chain_length >= 2 THEN 'Multi-hop peel chain trajectory (' || chain_length || ' linked hops)' END], lambda x: x IS NOT NULL) AS s FROM typed)
         SELECT row_idx, CASE WHEN len(s) > 0 THEN array_to_string(s, '; ') ELSE 'No direct signal' END AS explanation FROM s""",
-    "telemetry_json": f"""{with_(TX)}, l AS (SELECT row_idx, list_filter([{{'f': 'fan_in', 'v': fan_in::BIGINT}}, {{'f': 'fan_out', 'v': fan_out::BIGINT}}, {{'f': 'src_port', 'v': src_port::BIGINT}}, {{'f': 'dst_port', 'v': dst_port::BIGINT}}], lambda x: x.v > 1) AS l FROM tx)
-        SELECT row_idx, '[' || array_to_string(list_transform(l, lambda x: '{{"feature":"' || x.f || '","value":' || x.v || '}}'), ',') || ']' AS telemetry FROM l""",
+    "telemetry_rows": TELEMETRY,
+    "feature_profile": f"{with_(TX, PORTS, SEEN, ENTITIES, CHAINS, FEATS)}, l AS ({LONG}) SELECT m AS measure, {r('avg(v)', 6)} AS mean, {r('stddev_samp(v)', 6)} AS std, {r('min(v)', 6)} AS min, {r('max(v)', 6)} AS max, "
+    + ", ".join(f"{r(f'quantile_cont(v, {q})', 6)} AS {n}" for n, q in (("median", 0.5), ("p75", 0.75), ("p95", 0.95), ("p99", 0.99)))
+    + " FROM l GROUP BY 1",
+    "full_features": f"{with_(TX, PORTS, SEEN, ENTITIES, CHAINS, FEATS)} SELECT row_idx, entity_id, " + ", ".join(f"{r(f'{x}::DOUBLE', 5)} AS {x}" for x in ALL_FEATURES) + " FROM feats",
+    "trace_both": f"SELECT * FROM ({_trace_sql(False)}) UNION ALL SELECT * FROM ({_trace_sql(True)}) WHERE hop < 0",
+    "trace_advice": f"""SELECT seed, CASE WHEN count(*) FILTER (role = 'Exchange endpoint') > 0 THEN 'Funds reached ' || max_by(coalesce(whitelisted_entity, 'regulated exchange'), abs(hop) * 1000000000 + row) FILTER (role = 'Exchange endpoint') || '. Next step: lawful KYC request to this VASP.' ELSE 'Trail enters a mixer; further tracing has low confidence.' END AS advice
+        FROM ({_trace_sql(False, ', whitelisted_entity')}) WHERE row <> seed GROUP BY 1 HAVING count(*) FILTER (role IN ('Exchange endpoint', 'Mixer')) > 0""",
+    "first_traceable": f"{with_(TX)}, tr AS (SELECT DISTINCT m.row_idx FROM (SELECT row_idx, ts, unnest(outs) AS addr FROM tx) m JOIN (SELECT ts AS bts, unnest(ins) AS addr FROM tx) s USING (addr) WHERE bts > ts), fl AS (SELECT txid, max(risk_score) AS risk_score FROM scored_rows WHERE is_anomaly GROUP BY 1) SELECT row_idx, txid, risk_score FROM tx JOIN tr USING (row_idx) JOIN fl USING (txid) ORDER BY risk_score DESC, row_idx LIMIT 20",
+    "ledger_by_time": f"{with_(TX)} SELECT row_idx, row_number() OVER (ORDER BY ts, row_idx) - 1 AS row_no FROM tx",
+    "regulated_view": f"{with_(TX, WHITELIST)} SELECT row_idx, 'Whitelisted ' || whitelisted_side || ': ' || whitelisted_entity AS explanation FROM side WHERE contains(whitelisted_entity, 'Regulated')",
+    "fused_ledger": f"""{with_(TX, WATCHLIST)}, h AS (SELECT DISTINCT row_idx FROM (SELECT row_idx, lower(unnest(list_concat(ins, outs))) AS a FROM tx) JOIN watch ON type = 'address' AND a = lower(indicator) UNION SELECT row_idx FROM tx JOIN watch ON type = 'ip' AND lower(trim(src_ip)) = lower(indicator)),
+        e AS (SELECT min(port_risk_combined) AS lo, max(port_risk_combined) AS hi FROM scored_rows WHERE isfinite(port_risk_combined)),
+        part AS (SELECT score_id, s.risk_score AS score_ml, CASE WHEN detected_type IN ('CoinJoin_Mixer', 'Peel_Chain') THEN 100.0 WHEN detected_type IN ('FanOut_Dispersal', 'Fee_Spike') THEN 70.0 ELSE 0.0 END::DOUBLE AS score_pattern,
+          CASE WHEN tx.src_port IN ({_ports(K.FUSION_ANON_PORTS)}) OR tx.dst_port IN ({_ports(K.FUSION_ANON_PORTS)}) THEN 100.0::DOUBLE ELSE {r("coalesce((CASE WHEN isfinite(port_risk_combined) THEN port_risk_combined END - lo) / nullif(hi - lo, 0), 0) * 100", 1)} END AS score_network,
+          CASE WHEN h.row_idx IS NOT NULL THEN 100.0 ELSE 0.0 END::DOUBLE AS score_graph, CASE WHEN detected_type = 'Whitelisted_Institutional' THEN 0.15 ELSE 1.0 END::DOUBLE AS whitelist_factor FROM scored_rows s LEFT JOIN tx ON tx.txid = s.txid LEFT JOIN h ON h.row_idx = tx.row_idx, e),
+        p AS (SELECT *, {r('(0.5::DOUBLE * score_ml + 0.25::DOUBLE * score_pattern + 0.15::DOUBLE * score_network + 0.1::DOUBLE * score_graph) * whitelist_factor', 1)} AS priority FROM part)
+        SELECT *, CASE WHEN priority >= 80 THEN 'Critical' WHEN priority >= 60 THEN 'High' WHEN priority >= 40 THEN 'Medium' ELSE 'Low' END AS tier FROM p""",
     "split_folds": f"{with_(TX)} SELECT row_idx, coalesce(script_type, '') AS y, ((row_number() OVER (PARTITION BY coalesce(script_type, '') ORDER BY (row_idx * 7919 + 104729) % 1000003, row_idx) - 1) % 5)::INT AS fold FROM tx",
     "type_mix": f"{with_(TX, KINDS)} SELECT kind, coalesce(whitelisted_side, 'none') AS side, count(*) AS n_tx, sum(floor(total_in * 1e8 + 0.5)::BIGINT)::BIGINT AS sats_in, max(chain_length) AS longest_chain FROM typed GROUP BY 1, 2",
     "observation_overlap": f"{with_(TX)} SELECT geo_country, dst_port, count(*) AS n_obs, count(DISTINCT txid) AS n_tx FROM telemetry WHERE txid IN (SELECT txid FROM tx) GROUP BY 1, 2",

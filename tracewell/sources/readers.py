@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import mimetypes
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.functions import columns as X
+from tracewell.operators import records
+
 MAX_FILE_MB = 200
 MAX_ROWS = 2_000_000
 LISTS = ("input_addresses", "output_addresses", "input_amounts", "output_amounts")
@@ -65,8 +69,17 @@ def with_order(df: DataFrame) -> DataFrame:
 
 
 class CsvAdapter(Adapter):
+    """With a heading; tabs part the fields of files that end in ``.tsv``. Quoted fields may hold line breaks, so a file is one task's work; ``load_lines`` splits files without a heading."""
+
     def read(self, path: str) -> DataFrame:
-        return self.spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path)
+        tab = "\t" if path.lower().endswith(".tsv") else ","
+        return self.spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').option("sep", tab).csv(path)
+
+    def load_lines(self, path: str) -> tuple[DataFrame, DataFrame]:
+        """Ledger files without a heading, in byte ranges: the records that load, as strings with ``row_idx``, and those that fail, with file, place and reason."""
+        parsed = with_order(records.read_files(self.spark, path))
+        fields = [F.get("fields", F.lit(i)).alias(c) for i, c in enumerate(records.COLUMNS)]
+        return parsed.where("reason IS NULL").select("row_idx", *fields), parsed.where("reason IS NOT NULL").select("file_name", "at_byte", "record_no", "at", "reason")
 
 
 class JsonAdapter(Adapter):
@@ -80,8 +93,7 @@ class JsonAdapter(Adapter):
         shapes = [r[0] for r in text.select(F.coalesce(F.schema_of_variant("doc"), F.lit("INVALID"))).distinct().collect()]  # one per file
         if bad := [s for s in shapes if not s.startswith(("ARRAY", "OBJECT"))]:
             raise ValueError(f"{path}: no JSON array or object ({bad[0]})")
-        text.createOrReplaceTempView("tracewell_json")
-        each = self.spark.sql("SELECT schema_of_variant(doc) AS shape, doc, e.key AS key, e.value AS v FROM tracewell_json, LATERAL variant_explode(doc) AS e")
+        each = self.spark.sql("SELECT schema_of_variant(doc) AS shape, doc, e.key AS key, e.value AS v FROM {text}, LATERAL variant_explode(doc) AS e", text=text)
         nested = F.schema_of_variant("v").startswith("OBJECT")
         single = F.col("shape").startswith("OBJECT") & F.expr("variant_get(doc, '$.txid', 'string')").isNotNull()
         if each.where(~nested & ~single).limit(1).count():
@@ -142,6 +154,25 @@ def read_pair(spark: SparkSession, ledger: str, wire: str) -> tuple[DataFrame, D
     return get_adapter(spark, ledger).load(ledger), telemetry
 
 
+def iso_codes(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """``iso2``, ``id`` (the numeric code, without leading zeros), ``country_name`` of all countries: from a file with these columns, else the platform's own list, which has no numeric codes."""
+    if path is not None:
+        return spark.read.option("header", True).csv(path).select("iso2", "id", "country_name")
+    locale = spark.sparkContext._jvm.java.util.Locale
+    names = [(code, None, locale("", code).getDisplayCountry(locale.ENGLISH)) for code in locale.getISOCountries()]
+    return spark.createDataFrame(names, "iso2 string, id string, country_name string")
+
+
+def range_database(spark: SparkSession, names: Sequence[str], folders: Sequence[str]) -> tuple[DataFrame | None, dict[str, str | None]]:
+    """The first of the files ``names`` in the folders, in order, as ranges (``lo``, ``hi`` longs, ``country``, ``asn``, ``org``; CSV with heading ``first_ip, last_ip, ...``), and its status."""
+    at = next((f"{d}/{n}" for n in names for d in folders if file_bytes(spark, f"{d}/{n}") is not None), None)
+    status = {"path": at, "name": at and os.path.basename(at), "in_use": (at and os.path.basename(at)) or "none"}
+    if at is None:
+        return None, status
+    rows = spark.read.option("header", True).csv(at)
+    return rows.select(X.ip_number("first_ip").alias("lo"), X.ip_number("last_ip").alias("hi"), "country", "asn", "org").where("lo <= hi"), status
+
+
 def whitelist(spark: SparkSession, path: str) -> DataFrame:
     """A whitelist file; a missing one is an empty list."""
     if file_bytes(spark, path) is None:
