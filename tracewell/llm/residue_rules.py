@@ -8,6 +8,8 @@ from functools import lru_cache
 from re import _constants as C
 from re import _parser as parser
 
+import ahocorasick
+
 from tracewell.llm import residue_concepts as concepts
 
 _ = re.IGNORECASE
@@ -108,6 +110,7 @@ LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
 HOME_ROW = frozenset("asdfghjklqwe")
+NO_HOME = str.maketrans("", "", "".join(HOME_ROW))
 MASK = re.compile("⟨[a-z]+⟩")
 TAG = re.compile(r"</?[a-z][a-z0-9]*(?: [^<>]*)?>", _)
 WORD = re.compile(r"[^\W\d_]+")
@@ -197,15 +200,18 @@ def trie(texts: set[str]) -> str:
 
 #: What a text must hold for any of the patterns, and a first look for all of it at once.
 QUICK = quick_look(TITLE, NOTICE, ERROR, FILLER)
-FIRST = re.compile(trie({text for text, _ in QUICK}))
+LOOK = ahocorasick.Automaton()
+for _text in {text for text, _rest in QUICK}:
+    LOOK.add_word(_text or " ", [rest for text, rest in QUICK if text == _text])
+LOOK.make_automaton()
 
 
 def hopeless(u: str) -> bool:
-    """Whether it is certain that none of the patterns matches."""
+    """Whether it is certain that none of the patterns matches: one pass over the text for all that they need."""
     low = u.lower()
-    if FIRST.search(low):
-        for text, rest in QUICK:
-            if text in low and all(any(x in low for x in r) for r in rest):
+    for _end, rests in LOOK.iter(low):
+        for rest in rests:
+            if all(any(x in low for x in r) for r in rest):
                 return False
     return not OTHER_CASE.search(u)
 
@@ -281,8 +287,8 @@ def wording(unit: str) -> str | None:
     u = bare(unit)
     if not u:
         return None
-    words = [w.lower() for w in WORD.findall(MASK.sub(" ", u))]
-    latin = sum(w in LOREM for w in words)
+    words = [w.lower() for w in WORD.findall(MASK.sub(" ", u) if "⟨" in u else u)]
+    latin = sum(map(LOREM.__contains__, words))
     if latin >= 3 and latin >= 0.6 * len(words) or words[:2] == ["lorem", "ipsum"] and len(words) == 2:
         return "filler"
     if hopeless(u):
@@ -321,6 +327,12 @@ def constant(word: str) -> str:
 
 def mere_filler(form: str) -> bool:
     """Whether a line is a word over and over, pseudo-Latin, or keys beside each other: told by all of its words, so before any of them becomes variable."""
+    words = WORD.findall((MASK.sub(" ", form) if "⟨" in form else form).lower())
+    if len(words) < 3:
+        return False
+    letters = "".join(words)
+    if len(set(words)) == len(words) and len(letters.translate(NO_HOME)) >= 0.1 * len(letters):
+        return False
     words = [w.lower() for w in WORD.findall(MASK.sub(" ", bare(form)))]
     if len(words) < 3:
         return False
