@@ -178,4 +178,4 @@ def test_explanations(spark):
     got = {r.id: r.t for r in p.select("id", explain.explanation(F.col("score"), none, labels).alias("t")).collect()}
     assert got[1] == "Normal network traffic behavior." and "Input address count of 50" in got[99] and got[100].endswith("Multivariate anomaly.")
     noted = spark.range(1).select(explain.with_intelligence(F.lit("Old."), F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(3), F.lit("bad")).alias("t"), explain.with_outlier(F.lit("x"), F.lit("Outlier")).alias("o")).collect()[0]
-    assert noted.t == "3 hop(s) from known-bad indicator (bad). Old." and noted.o.endswith("every known group.")
+    assert noted.t == "3 hop(s) from known-bad indicator (bad). Old." and noted.o == "x. Entity behaves unlike every known group (HDBSCAN outlier)."

@@ -35,6 +35,25 @@ def probability(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
+def calibrated(train: DataFrame, parts: int, trees: int, depth: int) -> list[tuple]:
+    """``parts`` forests (rows as of ``assembled``), each with the isotonic regression fitted on the part it left out."""
+    found = []
+    for c in range(parts):
+        model = forest(trees, depth).fit(train.where(F.col("part") != c))
+        left = probability(model, train.where(F.col("part") == c)).withColumn("weight_one", F.lit(1.0))
+        found.append((model, IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight_one").fit(left)))
+    return found
+
+
+def predicted(models: list[tuple], rows: DataFrame) -> DataFrame:
+    """``key``, ``label``, ``raw`` and ``p``: the mean of the forests before and after calibration."""
+    out = None
+    for model, iso in models:
+        one = iso.transform(probability(model, rows)).select("key", "label", F.col("p").alias("raw"), F.col("prediction").alias("p"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("key", "label").agg(F.avg("raw").alias("raw"), F.avg("p").alias("p"))
+
+
 def out_of_fold(df: DataFrame, key: str, features: Sequence[str], label: str, folds: int = 5, parts: int = 3, trees: int = 300, depth: int = 30) -> DataFrame:
     """``key``, ``label``, ``ml_probability`` (0-100) of every labelled row by models that did not see its fold: the mean of ``parts`` forests, each calibrated by isotonic regression on the part it left out.
 
@@ -42,15 +61,9 @@ def out_of_fold(df: DataFrame, key: str, features: Sequence[str], label: str, fo
     """
     scratch = Scratch(df.sparkSession, "supervised")
     rows = scratch.cut(assembled(df, key, features, label, folds, parts), "rows")
-    found: list[DataFrame] = []
+    out: DataFrame | None = None
     for k in range(folds):
-        for c in range(parts):
-            model = forest(trees, depth).fit(rows.where((F.col("fold") != k) & (F.col("part") != c)))
-            left = probability(model, rows.where((F.col("fold") != k) & (F.col("part") == c))).withColumn("weight_one", F.lit(1.0))
-            iso = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight_one").fit(left)
-            scored = iso.transform(probability(model, rows.where(F.col("fold") == k)))
-            found.append(scratch.cut(scored.select("key", "label", F.col("prediction").alias("p")), f"scored-{k}-{c}"))
-    out = found[0]
-    for p in found[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("key", "label").agg((F.avg("p") * 100).alias("ml_probability")).select(F.col("key").alias(key), "label", "ml_probability")
+        scored = predicted(calibrated(rows.where(F.col("fold") != k), parts, trees, depth), rows.where(F.col("fold") == k))
+        scored = scratch.cut(scored, f"scored-{k}")
+        out = scored if out is None else out.unionByName(scored)
+    return out.select(F.col("key").alias(key), "label", (F.col("p") * 100).alias("ml_probability"))

@@ -165,9 +165,11 @@ def with_intelligence(text: Column, hit: Column, label: Column, indicator: Colum
 
 
 def with_outlier(text: Column, cluster: Column) -> Column:
-    """The text with a sentence on entities outside all clusters, once."""
-    note = "Entity behaves unlike every known group."
-    return F.when((cluster == "Outlier") & ~text.contains(note), F.concat(text, F.lit(" " + note))).otherwise(text)
+    """The text with a sentence on entities outside all clusters, once; in place of a text that says nothing."""
+    note = "Entity behaves unlike every known group (HDBSCAN outlier)"
+    old = F.coalesce(text, F.lit(""))
+    longer = F.when(F.trim(old).isin("", "Normal.", "Normal"), F.lit(note + ".")).otherwise(F.concat(old, F.when(old.endswith("."), " ").otherwise(". "), F.lit(note + ".")))
+    return F.when(F.coalesce(cluster == "Outlier", F.lit(False)) & ~old.contains(note), longer).otherwise(text)
 
 
 def display_country(country: Column) -> Column:

@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; at 200 bytes a row this is 20 MB.
@@ -47,13 +47,12 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def measured(self, df: DataFrame, slot: str, **metrics: Column) -> tuple[DataFrame, dict]:
-        """As ``cut``, with aggregates of the rows, taken while they are written."""
-        seen = Observation()
-        self.cut(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]), slot)
-        return self.spark.read.schema(df.schema).parquet(self.old[slot]), seen.get
+        """As ``cut``, with aggregates of what was written. (Not by ``observe``: a session that has observed once can no longer ship the models of Spark's forests.)"""
+        done = self.cut(df, slot)
+        return done, done.agg(*[m.alias(name) for name, m in metrics.items()]).collect()[0].asDict()
 
     def small(self, df: DataFrame, slot: str, most: int = BROADCAST_ROWS) -> DataFrame:
-        """As ``cut``, with a broadcast hint if the rows, counted while they are written, are at most ``most``: the plan runs once, not once to count and once to use."""
+        """As ``cut``, with a broadcast hint if the written rows are counted to be at most ``most``: the plan runs once, not once to count and once to use."""
         done, seen = self.measured(df, slot, n=F.count(F.lit(1)))
         return F.broadcast(done) if seen["n"] <= most else done
 
