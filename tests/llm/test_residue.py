@@ -23,7 +23,7 @@ REAL = [
     'A query such as {"from": 0, "size": 298} returns the leads of one page, and {} returns all of them.', "The patch (@@ -30,7 +99143,9 @@) renames __main__ to __run__ and leaves the fee column alone.", "The witness statement names the account holder as [redacted] and gives the amount as 2 BTC.",
     'The seized drainer kit shows victims a box saying "Please enable JavaScript to continue" before it asks for the seed phrase; we kept a copy under CF-1/20.', "The explorer answered 10.1.1.1 with a 503 Service Unavailable for 9 minutes, so the backward trace was repeated at 10:00.",
     "El 2026-07-19 el servidor del explorador respondió «error interno» 260 veces, sin pérdida de filas.", "The message field of 12ab34cd decodes to lorem ipsum words, most likely a test by the wallet's author.", "[13] relay log, sensor 9\n13:01 INFO relay[7]: inv tx=078e7c05 peer=10.230.1.1:8333",
-    '{"txid": "dcae292c", "score": 34, "tags": ["peel", "night"], "src": {"ip": "10.205.121.62", "port": 8333}}', 'In the log format "%s %d" the first value is the relay and the second its port.', "Relay <unknown> in the log stands for peers that never sent a version message; 3 of 9 rows have it.", "", " \n\t", "Xxx", "| 1 | 1V3AwAjP… | 0.2 |\n| 2 | 1V3AwAjQ… | 0.2 |",
+    '{"txid": "dcae292c", "score": 34, "tags": ["peel", "night"], "src": {"ip": "10.205.121.62", "port": 8333}}', 'In the log format "%s %d" the first value is the relay and the second its port.', "Relay <unknown> in the log stands for peers that never sent a version message; 3 of 9 rows have it.", "10:33 INFO relay[5Ω]: inv tx=c98acca98b0a peer=10.149.241.35:8333", "", " \n\t", "Xxx", "| 1 | 1V3AwAjP… | 0.2 |\n| 2 | 1V3AwAjQ… | 0.2 |",
 ]
 
 

@@ -259,7 +259,7 @@ def is_slot(s: str) -> bool:
             return True
         if name in NO_SLOT or not WORD.search(inner) or inner.startswith("-") or "|" in s or '"' in s or re.search(r"\d{2}", s):
             return False
-        return bool(FILL.search(inner)) or name in FIELDS or name.split("_")[-1] in FIELDS or (s.isupper() and len(inner) > 1)
+        return bool(FILL.search(inner)) or name in FIELDS or name.split("_")[-1] in FIELDS or (s.isupper() and len(inner) > 1 and inner[0].isalpha())
     if first == "(":
         return True
     if first == "<" and not s.startswith(("<<", "<%")):
