@@ -109,19 +109,54 @@ def test_profiles_are_whole():
     assert set(models.PROFILE) >= {"total_btc", "mean_risk"} and len(models.PROFILE) == 10
 
 
-def test_calibrated_forests_learn_from_all_other_folds(spark, monkeypatch):
+def test_trees_find_what_divides_the_labels():
+    from tracewell.ml import supervised as S
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(800, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.5)).astype(float)
+    edges = S.edges_of(x)
+    bins = S.binned(x, edges)
+    assert all((np.searchsorted(e, c, "left") == b).all() for e, c, b in zip(edges, x.T, bins.T))
+    tree = S.grow(bins, y, np.ones(800), np.random.default_rng(2), 64, 4)
+    assert np.abs(S.probability([tree], bins) - y).max() < 0.51 and np.mean((S.probability([tree], bins) > 0.5) == y) > 0.99
+    assert S.grow(bins, np.ones(800), np.ones(800), rng, 64, 4)["p"].tolist() == [1.0]
+    assert len(S.grow(bins, y, np.ones(800), rng, 1, 4)) == 3
+
+
+def test_isotonic_steps():
+    from tracewell.ml import supervised as S
+
+    place, level = S.isotonic(np.array([0.1, 0.2, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 0.0, 1.0]))
+    assert place.tolist() == [0.1, 0.2, 0.3, 0.4] and np.allclose(level, [0, 1 / 3, 1 / 3, 1])
+    assert np.interp(0.7, *S.isotonic(np.zeros(0), np.zeros(0))) == 0.7
+
+
+def test_calibrated_forests_learn_from_all_other_folds(spark):
     from tracewell.ml import supervised
 
-    asked, real = [], supervised.forest
-    monkeypatch.setattr(supervised, "forest", lambda trees, depth: (asked.append((trees, depth)), real(3, 3))[1])
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([(i, float(rng.normal() + 3 * (i % 6 == 0)), float(rng.normal()), i % 6 == 0) for i in range(180)], "id long, a double, b double, y boolean")
     dealt = supervised.assembled(df, "id", ["a", "b"], "y", 5, 3).groupBy("fold", "part", "label").count().collect()
     assert {(r.label, r["count"]) for r in dealt} == {(1.0, 2), (0.0, 10)} and len(dealt) == 30
-    got = supervised.out_of_fold(df, "id", ["a", "b"], "y").collect()
-    assert asked == [(300, 30)] * 15
-    assert sorted(r.id for r in got) == list(range(180)) and all(0 <= r.ml_probability <= 100 for r in got)
-    assert np.mean([r.ml_probability for r in got if r.label]) > 30 + np.mean([r.ml_probability for r in got if not r.label])
+    got = {r.id: r for r in supervised.out_of_fold(df, "id", ["a", "b"], "y", trees=12).collect()}
+    assert sorted(got) == list(range(180)) and all(0 <= r.ml_probability <= 100 for r in got.values())
+    assert np.mean([r.ml_probability for r in got.values() if r.label]) > 30 + np.mean([r.ml_probability for r in got.values() if not r.label])
+    again = {r.id: r for r in supervised.out_of_fold(df.repartition(7), "id", ["a", "b"], "y", trees=12).collect()}
+    assert again == got
+    few = supervised.out_of_fold(df, "id", ["a", "b"], "y", trees=12, most=60)
+    assert few.count() == 180
+
+
+def test_calibrated_forests_are_kept_as_plain_arrays(spark):
+    from tracewell.ml import supervised as S
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(120, 2))
+    model = S.fit(spark, x, (x[:, 0] > 0).astype(float), np.arange(120) % 3, 3, 5, 64)
+    back = S.unpacked(S.packed(model))
+    assert all((a == b).all() for a, b in zip(model.predict(x), back.predict(x)))
+    assert np.mean((model.predict(x)[1] > 0.5) == (x[:, 0] > 0)) > 0.9
 
 
 def test_louvain_finds_cliques(spark):

@@ -28,7 +28,7 @@ def prepared(tx: DataFrame, labels: DataFrame) -> DataFrame:
     return f.join(flags, "row_idx").join(labels.select("row_idx", F.col("label").cast("double").alias("label")), "row_idx")
 
 
-def report(rows: DataFrame, fresh: Mapping[str, DataFrame], names: Sequence[str], trees: int = 300, depth: int = 30, parts: int = 3) -> DataFrame:
+def report(rows: DataFrame, fresh: Mapping[str, DataFrame], names: Sequence[str], trees: int = 300, depth: int = 64, parts: int = 3) -> DataFrame:
     """One row per set and model: ``n``, precision, recall, f1, fpr, roc_auc, average_precision, ece. ``rows`` and the ``fresh`` sets are as of ``prepared``.
 
     70 % of the rows, stratified by label, are learnt from; the rest is the set "holdout". Models: the calibrated forests (``ece`` also before calibration, as "uncalibrated"), the isolation forest alone, the rules
@@ -38,15 +38,14 @@ def report(rows: DataFrame, fresh: Mapping[str, DataFrame], names: Sequence[str]
     scratch = Scratch(rows.sparkSession, "evaluation")
     rows = scratch.cut(features.fold_of(rows, "label", "row_idx", 10).withColumnRenamed("fold", "tenth"), "rows")
     train, test = rows.where("tenth < 7"), rows.where("tenth >= 7").drop("tenth")
-    learnt = scratch.cut(supervised.assembled(train, "row_idx", names, "label", 1, parts), "train")
-    models, trees_ = supervised.calibrated(learnt, parts, trees, depth), iforest.fit(train, "row_idx", names)
+    x, y, _, part_ = supervised.sampled(supervised.assembled(train, "row_idx", names, "label", 1, parts))
+    model_, trees_ = supervised.fit(rows.sparkSession, x, y, part_, parts, trees, depth), iforest.fit(train, "row_idx", names)
     scores = scratch.cut(iforest.score(train, "row_idx", names, trees_), "scores")
     cut = order.percentiles(scores, ["anomaly_score"], [1 - K.CONTAMINATION]).select(F.get("q", F.lit(0)).alias("cut"))
     ends = scores.agg(F.min("anomaly_score").alias("lo"), F.max("anomaly_score").alias("hi")).join(cut)
     out = None
     for name, part in (("holdout", test), *fresh.items()):
-        x = supervised.assembled(part, "row_idx", names, "label", 1, parts).select("key", "label", "x")
-        p = supervised.predicted(models, x).select(F.col("key").alias("row_idx"), "raw", "p")
+        p = supervised.predicted(model_, supervised.assembled(part, "row_idx", names, "label", 1, parts), len(names)).select(F.col("key").alias("row_idx"), "raw", "p")
         unusual = with_row(iforest.score(part, "row_idx", names, trees_), ends)
         unusual = unusual.select("row_idx", F.least(F.greatest(X.scaled("anomaly_score", "lo", "hi"), F.lit(0.0)), F.lit(1.0)).alias("unusual"), (F.col("anomaly_score") > F.col("cut")).alias("outlier"))
         joined = part.select("row_idx", "label", "rules", "pattern", "anonymous", "port_risk_combined").join(p, "row_idx").join(unusual, "row_idx")
