@@ -10,6 +10,9 @@ from tracewell.functions import columns as X
 from tracewell.runtime import Scratch, with_row
 
 
+TOGETHER = 3  # PageRank rounds between two writes
+
+
 def whitelist(df: DataFrame) -> DataFrame:
     """``address`` (trimmed, lower case) and ``label``, one row each (the smallest label); blank addresses are none. Accepts ``institution`` for ``entity_name``."""
     label = "institution" if "institution" in df.columns else "entity_name"
@@ -86,11 +89,12 @@ def taint_scores(tx: DataFrame, table: DataFrame, iterations: int = 100, toleran
     base = scratch.cut(degree.join(seeds, "s", "left").select("s", "deg", (F.coalesce("severity", F.lit(0.0)) / weight).alias("p")), "base")
     n = base.count()
     rank = base.select("s", "deg", "p", F.lit(1.0 / n).alias("r"))
-    for k in range(iterations):
-        sent = ways.join(rank.select("s", (F.col("r") / F.col("deg")).alias("x")), "s").groupBy(F.col("d").alias("s")).agg(F.sum("x").alias("x"))
-        new = rank.join(sent, "s", "left").select("s", "deg", "p", (K.TAINT_ALPHA * F.coalesce("x", F.lit(0.0)) + (1 - K.TAINT_ALPHA) * F.col("p")).alias("new"), F.col("r").alias("old"))
-        new, seen = scratch.measured(new, "rank", change=F.sum(F.abs(F.col("new") - F.col("old"))))
-        rank = new.select("s", "deg", "p", F.col("new").alias("r"))
+    for k in range(0, iterations, TOGETHER):
+        for _ in range(min(TOGETHER, iterations - k)):  # rounds of one plan: one write and one test for all of them
+            sent = ways.join(rank.select("s", (F.col("r") / F.col("deg")).alias("x")), "s").groupBy(F.col("d").alias("s")).agg(F.sum("x").alias("x"))
+            rank = rank.join(sent, "s", "left").select("s", "deg", "p", (K.TAINT_ALPHA * F.coalesce("x", F.lit(0.0)) + (1 - K.TAINT_ALPHA) * F.col("p")).alias("r"), F.col("r").alias("old"))
+        new, seen = scratch.measured(rank, "rank", change=F.sum(F.abs(F.col("r") - F.col("old"))))
+        rank = new.select("s", "deg", "p", "r")
         if tolerance and seen["change"] < n * tolerance:
             break
     own = touch.join(rank.select(F.col("s").alias("node"), "r"), "node").groupBy("row_idx", "t").agg(F.max("r").alias("r"))
