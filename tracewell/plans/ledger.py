@@ -10,7 +10,7 @@ from tracewell.functions import columns as X
 from tracewell.operators import chains, entities, explain, ingest, intel, order, scoring, trace
 from tracewell.operators.correlate import correlate, first_seen, match_stats
 from tracewell.operators.features import feature_matrix, fold_of, port_frequency
-from tracewell.operators.reports import evidence
+from tracewell.operators.reports import evidence, package
 from tracewell.plans import base
 from tracewell.plans.base import CHAINS, JUDGED, KINDS, MIX, TX, WATCHLIST, WHITELIST, r, with_
 from tracewell.runtime import Scratch, read, small_side
@@ -253,11 +253,32 @@ def fused_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_package(spark: SparkSession, d: str) -> DataFrame:
-    """The evidence file: leads with their traces, as one JSON text each."""
+    """Leads with their traces, as one JSON text each."""
     t = base.cut_classified(spark, d)
     return evidence(t, trace.trace(t, _starts(t), HOPS))
 
 
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Classified transactions with the highest score that any run gave them."""
+    best = F.max_by(F.struct("risk_score", "is_anomaly", "detected_type"), F.struct("risk_score", -F.col("score_id"))).alias("b")
+    scores = read(spark, d, "scored_rows").where("txid IS NOT NULL AND risk_score IS NOT NULL").groupBy("txid").agg(best).select("txid", "b.*")
+    signals = X.signals("src_port", "dst_port", "structural", "fee", "total_in", "fan_in", "fan_out", "chain_length")
+    return Scratch(spark, "ranked").cut(base.classified(spark, d).join(scores, "txid").withColumn("explanation", F.array_join(signals, "; ")), "rows")
+
+
+def evidence_file(spark: SparkSession, d: str) -> DataFrame:
+    """The whole evidence file as one JSON text."""
+    rows = _ranked(spark, d)
+    starts = rows.orderBy(F.desc("risk_score"), "row_idx").limit(SEEDS).select(F.col("row_idx").alias("seed"))
+    return package(rows, trace.trace(rows, starts, HOPS), {"case_id": "case", "analyst": "analyst", "source": "tx_ledger"})
+
+
+def evidence_funnel(spark: SparkSession, d: str) -> DataFrame:
+    """The numbers of the evidence file, read back from its JSON."""
+    got = evidence_file(spark, d).select(*[F.get_json_object("package", f"$.executive_summary.{p}").cast("long").alias(n) for n, p in (("total", "funnel_numbers.total_ingested"), ("cleared", "funnel_numbers.whitelisted_cleared"), ("flagged", "funnel_numbers.flagged_anomalies"), ("critical", "tier_counts.Critical"), ("high", "tier_counts.High"))], F.get_json_object("package", "$.ranked_leads_top25[0].txid").alias("first_lead"), F.get_json_object("package", "$.ranked_leads_top25[24].txid").alias("last_lead"))
+    return got
+
+
 def whitelist_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Per institution: transactions it stands in, by side."""
     t, table = base.tx(spark, d), small_side(intel.whitelist(read(spark, d, "institutional_whitelist")))
@@ -284,7 +305,7 @@ QUERIES = {
     for f in (
         pipe_parse, strict_totals, reject_reasons, ingestion_report, fan_stats, peel_disparity, fee_urgency, mixer_buckets, change_address, first_observation, correlate_layers, layer_match_stats, freq_encode, port_risk, port_frequencies,
         minmax_zscore, structural_type, whitelist_side, watchlist_hit, taint_hops, taint_pagerank, taint_converged, entity_components, entity_confidence, peel_chains, trace_forward, trace_backward, traceable_leads, rules_only, light_features,
-        explain_text, telemetry_rows, telemetry_json, feature_profile, trace_both, trace_advice, first_traceable, ledger_by_time, regulated_view, fused_ledger, split_folds, type_mix, observation_overlap, full_features, evidence_package, whitelist_coverage, chain_sizes, holdout,
+        explain_text, telemetry_rows, telemetry_json, feature_profile, trace_both, trace_advice, first_traceable, ledger_by_time, regulated_view, fused_ledger, split_folds, type_mix, observation_overlap, full_features, evidence_package, evidence_file, evidence_funnel, whitelist_coverage, chain_sizes, holdout,
     )
 }
 
@@ -429,6 +450,9 @@ ORACLE = {
         CASE WHEN fan_out >= 5 THEN 'High fan-out of ' || fan_out || ' output addresses' END, CASE WHEN fan_in >= 5 THEN 'High fan-in of ' || fan_in || ' input addresses' END,
         CASE WHEN chain_length >= 2 THEN 'Multi-hop peel chain trajectory (' || chain_length || ' linked hops)' END], lambda x: x IS NOT NULL) AS s FROM typed)
         SELECT row_idx, CASE WHEN len(s) > 0 THEN array_to_string(s, '; ') ELSE 'No direct signal' END AS explanation FROM s""",
+    "evidence_funnel": f"""{with_(TX, WHITELIST)}, sc AS (SELECT txid, arg_max({{'r': risk_score, 'a': is_anomaly}}, {{'r': risk_score, 'i': -score_id}}) AS b FROM scored_rows WHERE txid IS NOT NULL AND risk_score IS NOT NULL GROUP BY 1),
+        a AS (SELECT tx.row_idx, tx.txid, b.r AS r, b.a AS a, whitelisted_side, row_number() OVER (ORDER BY b.r DESC, tx.row_idx) AS k FROM tx JOIN sc USING (txid) LEFT JOIN side USING (row_idx))
+        SELECT count(*) AS total, count(*) FILTER (whitelisted_side = 'both') AS cleared, count(*) FILTER (a) AS flagged, count(*) FILTER (r >= 80) AS critical, count(*) FILTER (r >= 60 AND r < 80) AS high, max(txid) FILTER (k = 1) AS first_lead, max(txid) FILTER (k = 25) AS last_lead FROM a""",
     "telemetry_rows": TELEMETRY,
     "feature_profile": f"{with_(TX, PORTS, SEEN, ENTITIES, CHAINS, FEATS)}, l AS ({LONG}) SELECT m AS measure, {r('avg(v)', 6)} AS mean, {r('stddev_samp(v)', 6)} AS std, {r('min(v)', 6)} AS min, {r('max(v)', 6)} AS max, "
     + ", ".join(f"{r(f'quantile_cont(v, {q})', 6)} AS {n}" for n, q in (("median", 0.5), ("p75", 0.75), ("p95", 0.95), ("p99", 0.99)))
