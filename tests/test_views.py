@@ -112,3 +112,16 @@ def test_holdout_report(spark):
     got = {(r.part, r.model): r for r in evaluation.report(rows, {}, names, trees=10, depth=6).collect()}
     assert {m for _, m in got} == {"calibrated", "uncalibrated", "isolation_forest", "rules", "fused"}
     assert got["holdout", "calibrated"].f1 >= 0.8 and got["holdout", "calibrated"].passes and 110 <= got["holdout", "rules"].n <= 130
+
+
+def test_evidence_file(spark):
+    from tracewell.operators import reports
+
+    rows = spark.createDataFrame([(i, f"t{i}", float(i % 50), i % 2 == 0, "Fee_Spike", 1.0, 0.1, "10.0.0.1", None, 1, 2, "US", "both" if i == 3 else None, "Fee_Spike", "") for i in range(60)], "row_idx long, txid string, risk_score double, is_anomaly boolean, detected_type string, total_in double, fee double, src_ip string, dst_ip string, src_port int, dst_port int, geo_country string, whitelisted_side string, kind string, explanation string").withColumn("ts", F.lit("2026-07-01").cast("timestamp_ntz"))
+    hops = spark.createDataFrame([(49, 0, 49, "t49", "Source", 1.0, 90.0, 0.1, 0.0), (49, 1, 50, "t50", "Mixer", 0.9, 80.0, 0.1, 5.0)], "seed long, hop int, row long, txid string, role string, btc_in double, retained_pct double, peeled_btc double, delta_t_minutes double")
+    got = json.loads(reports.package(rows, hops, {"case_id": "c1"}).collect()[0].package)
+    assert got["metadata"] == {"case_id": "c1"} and got["executive_summary"]["funnel_numbers"] == {"total_ingested": 60, "whitelisted_cleared": 1, "flagged_anomalies": 30}
+    assert [x["rank"] for x in got["ranked_leads_top25"]] == list(range(1, 26)) and got["ranked_leads_top25"][0]["txid"] == "t49"
+    assert len(got["top_10_detailed_profiles"]) == 10 and [h["role"] for h in got["top_10_detailed_profiles"][0]["forward_flow_trace"]] == ["Source", "Mixer"] and len(got["limitations"]) == 3
+    none = json.loads(reports.package(rows.limit(0), hops.limit(0), {"case_id": "c1"}).collect()[0].package)
+    assert none["ranked_leads_top25"] == [] and none["executive_summary"]["funnel_numbers"]["total_ingested"] == 0
