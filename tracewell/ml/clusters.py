@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.ml import communities
 from tracewell.runtime import Scratch, partitions, small_side, with_row
 
 NEAR = 24  # nearest entities that are kept of each; edges beyond them are searched for where a tree needs them
@@ -18,6 +19,7 @@ CELLS = 4_000_000  # distances held at once
 LEAST_GAIN = 1e-7  # modularity that a round of moves must gain to count
 PATIENCE = 5  # rounds of moves without it after which a level of communities ends
 ALONE = 5_000_000  # distances that are no job of their own
+HELD = 5_000_000  # edges of a graph that one task divides into communities (about 200 bytes an edge)
 
 
 def standardised(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -236,64 +238,116 @@ def components_2d(profile: DataFrame, key: str, features: Sequence[str]) -> Data
     return out.select(key, F.col("a")[0].alias("pc1"), F.col("a")[1].alias("pc2"))
 
 
-def louvain(edges: DataFrame) -> DataFrame:
-    """``node``, ``community`` of a weighted undirected graph (``a``, ``b``, ``w``): synchronous Louvain moves until no node gains by one, then the same on the graph of communities, until none merge.
+def held_communities(graph: DataFrame) -> DataFrame:
+    """``a``, ``c``: the communities of a graph that one task holds."""
 
-    In a round only the half of the nodes chosen by a keyed hash may move, so that neighbours don't swap places; the share halves while moves made at once don't raise modularity. A level ends
-    when no node would gain, or after ``PATIENCE`` such rounds, with its best division. A community is named by its smallest node.
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if batches := list(it):
+            columns = [np.concatenate([np.asarray(b.column(i)) for b in batches]) for i in range(3)]
+            batches.clear()
+            node, found = communities.louvain(columns.pop(0), columns.pop(0), columns.pop(0))  # held once
+            for i in range(0, len(node), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(node[i : i + (1 << 16)]), pa.array(found[i : i + (1 << 16)])], ["a", "c"])
+
+    return graph.coalesce(1).mapInArrow(run, "a long, c long")
+
+
+def numbers(ends: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``node`` and ``id`` of all ends of edges, and the seed of the hash that gives the ids: the first by which no two nodes share one."""
+    seed = 0
+    while True:
+        nodes = ends.select(F.explode(F.array("a", "b")).alias("node")).select(F.xxhash64("node", F.lit(seed)).alias("id"), "node").groupBy("id", "node").agg(F.lit(1).alias("_one")).select("id", "node")
+        nodes = scratch.cut(nodes, "nodes")
+        if not nodes.groupBy("id").count().where("count > 1").limit(1).count():
+            return nodes, seed
+        seed += 1
+
+
+def louvain(edges: DataFrame, held: int = HELD) -> DataFrame:
+    """``node``, ``community`` of a weighted undirected graph (``a``, ``b``, ``w``): Louvain moves until no node gains by one, then the same on the graph of communities, until none merge.
+
+    A graph of up to ``held`` edges is divided by one task, where single nodes move last and all nodes are looked at again at the end. A larger one goes through levels of synchronous moves until its communities are such a graph, or
+    none merge. A community is named by its smallest node.
     """
     scratch = Scratch(edges.sparkSession, "louvain")
-    graph = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    ends = scratch.cut(edges.where("a <> b").select("a", "b", F.col("w").cast("double").alias("w")), "ends")
+    nodes, seed = numbers(ends, scratch)
+    a, b = F.xxhash64("a", F.lit(seed)), F.xxhash64("b", F.lit(seed))
+    graph, seen = scratch.measured(ends.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w")), "graph", n=F.count(F.lit(1)), w=F.sum("w"))
+    scratch.drop("ends")
+    n, twice = seen["n"], 2 * (seen["w"] or 0.0)
     names: DataFrame | None = None
     degree: DataFrame | None = None  # of communities: what lies inside them counts on
-    twice = 0.0
-    level = 0
+    level, merged = 0, True
+    while n > held and merged:
+        names, degree, graph, n, merged = one_level(scratch, graph, names, degree, twice, level)
+        level += 1
+    if merged and n:
+        rows = graph if degree is None else graph.unionByName(degree.select("a", F.col("a").alias("b"), F.col("k").alias("w")))
+        found = scratch.cut(held_communities(rows), "found")
+        names = scratch.cut(merged_names(names, found), "names")
+    if names is None:
+        return nodes.select("node", F.col("node").alias("community")).limit(0)
+    rows = scratch.cut(nodes.join(names.select(F.col("node").alias("id"), "community"), "id").select("node", F.col("community").alias("c")), "rows")
+    scratch.drop("nodes", "graph", "ways", "label", "found", "names")
+    named = rows.groupBy("c").agg(F.min("node").alias("community"))
+    done = scratch.cut(rows.join(named, "c").select("node", "community"), "named")
+    scratch.drop("rows")
+    return done
+
+
+def merged_names(names: DataFrame | None, label: DataFrame) -> DataFrame:
+    """Communities (``node``, ``community``) after those of a level (``a``) have merged into others (``c``)."""
+    if names is None:
+        return label.select(F.col("a").alias("node"), F.col("c").alias("community"))
+    return names.join(label.select(F.col("a").alias("community"), F.col("c").alias("up")), "community", "left").select("node", F.coalesce("up", "community").alias("community"))
+
+
+def one_level(scratch: Scratch, graph: DataFrame, names: DataFrame | None, degree: DataFrame | None, twice: float, level: int) -> tuple[DataFrame, DataFrame, DataFrame, int, bool]:
+    """A level of synchronous moves: names, the degrees, graph and number of edges of the communities, and whether any merged.
+
+    In a round only the half of the nodes chosen by a keyed hash may move, so that neighbours don't swap places; the share halves while moves made at once don't raise modularity. The level ends
+    when no node would gain, or after ``PATIENCE`` such rounds, with its best division.
+    """
+    ways = scratch.cut(graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "ways")
+    if degree is None:
+        degree = ways.groupBy("a").agg(F.sum("w").alias("k"))
+    label = scratch.cut(degree.withColumn("c", F.col("a")), "label")
+    r, stale, moved, top, kept, last = 0, 0, 0, float("-inf"), "", ""
     while True:
-        ways = scratch.cut(graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "ways")
-        if degree is None:
-            degree = ways.groupBy("a").agg(F.sum("w").alias("k"))
-            twice = ways.agg(F.sum("w")).collect()[0][0] or 0.0
-        if not ways.limit(1).count():
-            break
-        label = scratch.cut(degree.withColumn("c", F.col("a")), "label")
-        r, stale, moved, top, kept, last = 0, 0, 0, float("-inf"), "", ""
-        while True:
-            tot = label.groupBy("c").agg(F.sum("k").alias("tot"))
-            near = ways.where("a <> b").join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("into"))
-            own = label.select("a", F.col("c").alias("mine"), "k")
-            gain = near.join(tot, "c").join(own, "a").withColumn("g", F.col("into") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)) / twice)
-            same = F.col("c") == F.col("mine")
-            best = gain.groupBy("a").agg(F.max_by(F.struct("c", "g"), F.struct(F.col("g"), same)).alias("t"), F.max(F.when(same, F.col("g"))).alias("stay"), F.max(F.when(same, F.col("into"))).alias("inside"))
-            wants = F.coalesce(F.col("t.g") > F.coalesce("stay", F.lit(0.0)) + 1e-9, F.lit(False))
-            moves = wants & (F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2 << stale)) == 0)
-            new = label.join(best, "a", "left").select("a", "k", F.when(moves, F.col("t.c")).otherwise(F.col("c")).alias("c"), F.col("c").alias("old"), wants.alias("wants"), moves.alias("moves"), "inside")
-            slot = f"moved-{level}-{r}"
-            new = scratch.cut(new, slot)
-            inside, wanting, moving = new.agg(F.sum("inside"), F.count_if("wants"), F.count_if("moves")).collect()[0]
-            square = new.groupBy("old").agg(F.sum("k").alias("tot")).agg(F.sum(F.col("tot") * F.col("tot"))).collect()[0][0]
-            q = (inside or 0.0) / twice - square / twice**2  # of the labels before the moves, less what no move of this level changes
-            if q > top:
-                scratch.drop(kept)
-                stale, top, kept, found = 0 if q > top + LEAST_GAIN else stale + moved, q, slot, new.select("a", "k", F.col("old").alias("c"))
-            else:
-                stale += moved
-            if last != kept:
-                scratch.drop(last)
-            if not wanting or stale >= PATIENCE:
-                break
-            label, last, moved, r = new.select("a", "k", "c"), slot, int(moving > 0), r + 1
-        label = found
-        named = label.groupBy("c").agg(F.min("a").alias("name"))
-        label = scratch.cut(label.join(named, "c").select("a", F.col("name").alias("c"), "k"), f"named-{level}")
-        merged = label.where("a <> c").limit(1).count()
-        degree = label.groupBy(F.col("c").alias("a")).agg(F.sum("k").alias("k"))
-        names = label.select(F.col("a").alias("node"), F.col("c").alias("community")) if names is None else names.join(label.select(F.col("a").alias("community"), F.col("c").alias("up")), "community", "left").select("node", F.coalesce("up", "community").alias("community"))
-        names = scratch.cut(names, f"names-{level}")
-        graph = ways.where("a < b").join(label.select("a", F.col("c").alias("ca")), "a").join(label.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
-        if not merged:
+        tot = label.groupBy("c").agg(F.sum("k").alias("tot"))
+        near = ways.where("a <> b").join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("into"))
+        own = label.select("a", F.col("c").alias("mine"), "k")
+        gain = near.join(tot, "c").join(own, "a").withColumn("g", F.col("into") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)) / twice)
+        same = F.col("c") == F.col("mine")
+        best = gain.groupBy("a").agg(F.max_by(F.struct("c", "g"), F.struct(F.col("g"), same)).alias("t"), F.max(F.when(same, F.col("g"))).alias("stay"), F.max(F.when(same, F.col("into"))).alias("inside"))
+        wants = F.coalesce(F.col("t.g") > F.coalesce("stay", F.lit(0.0)) + 1e-9, F.lit(False))
+        moves = wants & (F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2 << stale)) == 0)
+        new = label.join(best, "a", "left").select("a", "k", F.when(moves, F.col("t.c")).otherwise(F.col("c")).alias("c"), F.col("c").alias("old"), wants.alias("wants"), moves.alias("moves"), "inside")
+        slot = f"moved-{level}-{r}"
+        new = scratch.cut(new, slot)
+        inside, wanting, moving = new.agg(F.sum("inside"), F.count_if("wants"), F.count_if("moves")).collect()[0]
+        square = new.groupBy("old").agg(F.sum("k").alias("tot")).agg(F.sum(F.col("tot") * F.col("tot"))).collect()[0][0]
+        q = (inside or 0.0) / twice - square / twice**2  # of the labels before the moves, less what no move of this level changes
+        if q > top:
+            scratch.drop(kept)
+            stale, top, kept, found = 0 if q > top + LEAST_GAIN else stale + moved, q, slot, new.select("a", "k", F.col("old").alias("c"))
+        else:
+            stale += moved
+        if last != kept:
+            scratch.drop(last)
+        if not wanting or stale >= PATIENCE:
             break
-        level += 1
-    return names if names is not None else edges.select(F.col("a").alias("node"), F.col("a").alias("community")).limit(0)
+        label, last, moved, r = new.select("a", "k", "c"), slot, int(moving > 0), r + 1
+    label = found
+    named = label.groupBy("c").agg(F.min("a").alias("name"))
+    label = scratch.cut(label.join(named, "c").select("a", F.col("name").alias("c"), "k"), f"named-{level}")
+    scratch.drop(kept, last)
+    names = scratch.cut(merged_names(names, label), "names")
+    degree = label.groupBy(F.col("c").alias("a")).agg(F.sum("k").alias("k"))
+    graph = ways.where("a < b").join(label.select("a", F.col("c").alias("ca")), "a").join(label.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    graph, seen = scratch.measured(graph, "graph", n=F.count(F.lit(1)))
+    return names, degree, graph, seen["n"], bool(label.where("a <> c").limit(1).count())
 
 
 def modularity(edges: DataFrame, names: DataFrame) -> float:
